@@ -55,7 +55,8 @@ def _units(text: str, fragment: int) -> tuple[list[int], list[int], list[int]]:
 def cut_spans(texts: list[str], max_words: int, max_chars: int, overlap: int) -> list[list[tuple[int, int, int, int]]]:
     """(start, end, words, overlapping words with the piece before) of the pieces of each text.
 
-    The overlap is ``overlap`` words, or a quarter of a piece of very few words. Words and overlaps count fragments of very long words.
+    The overlap is ``overlap`` words, or a quarter of a piece of very few words. In a word of more than FRAGMENT
+    characters the overlap counts fragments.
 
     Every word of every text is a node. One vectorised step joins each node to its farthest legal cut (both limits), moves that cut back to
     the best natural boundary, and thence, minus the overlap, to the node where the next piece starts: its successor. Squaring the successor
@@ -97,12 +98,15 @@ def cut_spans(texts: list[str], max_words: int, max_chars: int, overlap: int) ->
         jump = jump[jump]
         if int(reached.sum()) == before:
             break
+    begins = np.concatenate([[True], kinds[:-1] != INSIDE])  # the fragment is the first of its word
+    so_far = np.concatenate([[0], np.cumsum(begins)])
+    words = lambda a, b: int(so_far[b] - so_far[a] + (b > a and not begins[a]))
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     prev_block, prev_cut = -1, 0
     for i in np.flatnonzero(reached[:n]):
         b = int(block[i])
         shared = max(0, prev_cut - i) if b == prev_block else 0
-        out[b].append((int(starts[i]), int(ends[cut[i] - 1]), int(cut[i] - i), int(shared)))
+        out[b].append((int(starts[i]), int(ends[cut[i] - 1]), words(i, cut[i]), words(i, i + shared)))
         prev_block, prev_cut = b, int(cut[i])
     return out
 
