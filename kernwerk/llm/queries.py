@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kernwerk.llm import neighbours as V
 from kernwerk.llm import split as S
 from kernwerk.llm import tokens as T
 from kernwerk.llm import topn as N
@@ -23,6 +24,19 @@ def p2_passages(spark: SparkSession, d: str) -> DataFrame:
     return S.passage_counts(table(spark, d, "sections"), table(spark, d, "articles"))
 
 
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return V.similar_pairs(table(spark, d, "dense_index"), table(spark, d, "dense_info"), table(spark, d, "dense_lists"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    near = _neighbours(spark, d)
+    return near.select(F.least("passage_id", "neighbour_id").alias("passage_id_a"), F.greatest("passage_id", "neighbour_id").alias("passage_id_b")).where("passage_id_a < passage_id_b").distinct()
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _neighbours(spark, d)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return N.top_candidates(table(spark, d, "query_record"), table(spark, d, "cand")).select("query", "pack", "passage_id")
 
@@ -35,7 +49,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return T.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_passages, p7_found, p7_ranked, p8_ids)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_passages, p4_found, p4_neighbours, p7_found, p7_ranked, p8_ids)}
 
 _P7 = """
 WITH best AS (
