@@ -1,0 +1,13 @@
+"""Enough tasks for maps that do much work for each row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+PER_CORE = 2
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least PER_CORE partitions for each core. A large input has more splits than that and is not moved at all."""
+    want = PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
