@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kernwerk.llm import abuse as A
+from kernwerk.llm import leaks as L
 from kernwerk.llm import neighbours as V
 from kernwerk.llm import split as S
 from kernwerk.llm import tokens as T
@@ -24,6 +26,18 @@ def p2_passages(spark: SparkSession, d: str) -> DataFrame:
     return S.passage_counts(table(spark, d, "sections"), table(spark, d, "articles"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return L.leaks(table(spark, d, "documents"), L.test_items([table(spark, d, "robust"), table(spark, d, "eval_req")]))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p3_spans(spark: SparkSession, d: str) -> DataFrame:
+    return L.removal_spans(_leaks(spark, d))
+
+
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:
     return V.similar_pairs(table(spark, d, "dense_index"), table(spark, d, "dense_info"), table(spark, d, "dense_lists"))
 
@@ -49,7 +63,23 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return T.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_passages, p4_found, p4_neighbours, p7_found, p7_ranked, p8_ids)}
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return A.scored(table(spark, d, "documents"), table(spark, d, "abuse_samples"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).where(F.col("score") >= A.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return A.rates(_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_passages, p3_found, p3_spans, p4_found, p4_neighbours, p7_found, p7_ranked, p8_ids, p10_found, p10_scores, p10_rates)}
 
 _P7 = """
 WITH best AS (

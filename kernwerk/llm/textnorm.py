@@ -27,8 +27,11 @@ _WORDS = re.compile(r"[^\W_]+")
 _GROUPED = re.compile(r"(?<=\d),(?=\d{3}(?!\d))")
 
 
-def plain(text: str) -> str:
-    """Text without markup, references, line-end hyphens, invisible characters, accents and look-alikes; the letters' case is kept."""
+def plain(text: str, stars: bool = False) -> str:
+    """Text without markup, references, line-end hyphens, invisible characters, accents and look-alikes; the letters' case is kept.
+
+    Asterisks are markup, unless ``stars`` says that they may stand for letters.
+    """
     if "&" in text:
         text = html.unescape(text)
     if "\\" in text:
@@ -45,7 +48,8 @@ def plain(text: str) -> str:
         text = _TAG.sub("", _TAG_BLOCK.sub(" ", text))
     if "[" in text:
         text = _NOTE.sub("", _URL.sub(r"\1", _LINK.sub(r"\1", text)))
-    return text.replace("*", "").replace("~~", "")
+    text = text.replace("~~", "").replace("**", "") if not stars else text.replace("~~", "")
+    return text if stars else text.replace("*", "")
 
 
 def words(text: str | None) -> list[str]:
