@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kernwerk.llm import abuse as A
 from kernwerk.llm import leaks as L
+from kernwerk.llm import mixture as M
 from kernwerk.llm import neighbours as V
 from kernwerk.llm import split as S
 from kernwerk.llm import tokens as T
@@ -79,7 +80,16 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return A.rates(_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_passages, p3_found, p3_spans, p4_found, p4_neighbours, p7_found, p7_ranked, p8_ids, p10_found, p10_scores, p10_rates)}
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return M.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0].select("doc_id", "source", "n_tokens", "n_copies")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    used, domains, target, members = M.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return M.shares(used, members, domains, target)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_passages, p3_found, p3_spans, p4_found, p4_neighbours, p7_found, p7_ranked, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 _P7 = """
 WITH best AS (
