@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from kernwerk import queries_data
+from kernwerk import queries_data, queries_text
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (queries_data,):
+for _m in (queries_data, queries_text):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)
 FLAGSHIP = "p6_found"
