@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from kernwerk import queries_data, queries_text
+from kernwerk import queries_data, queries_facts, queries_retrieval, queries_text
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (queries_data, queries_text):
+for _m in (queries_data, queries_text, queries_retrieval, queries_facts):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)
-FLAGSHIP = "p6_found"
+FLAGSHIP = "hybrid_search"
