@@ -33,10 +33,11 @@ def first_values(value: Column, order: Column, n: int = MAX_ITEMS, sep: str = ",
 
 
 def one_per_property(rows: DataFrame, order: str, list_types: tuple[str, ...] = ("wikibase-item", "monolingualtext")) -> DataFrame:
-    """One row per (qid, pid): number, text and unit of the first statement; item and text types list their first six values."""
+    """One row per (qid, pid): the first number, text and unit that are not null; item and text types list their first six values."""
     o = F.col(order)
-    text = F.when(F.min("datatype").isin(*list_types), F.nullif(first_values(F.col("value_text"), o), F.lit(""))).otherwise(F.min_by("value_text", o))
-    return rows.groupBy("qid", "pid").agg(F.min_by("value_num", o).alias("value_num"), text.alias("value_text"), F.min_by("unit", o).alias("unit"), F.min("point_in_time").alias("point_in_time"), F.max("rank").alias("rank"))
+    text = F.when(F.min("datatype").isin(*list_types), F.nullif(first_values(F.col("value_text"), o), F.lit(""))).otherwise(F.min_by("value_text", F.when(F.col("value_text").isNotNull(), o)))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), o)).alias(c)
+    return rows.groupBy("qid", "pid").agg(first("value_num"), text.alias("value_text"), first("unit"), F.min("point_in_time").alias("point_in_time"), F.max("rank").alias("rank"))
 
 
 def labels(rows: DataFrame, key: str, value: str, priority: Column) -> DataFrame:
