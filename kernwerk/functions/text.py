@@ -77,7 +77,7 @@ def strip_html(c: Column) -> Column:
     c = F.regexp_replace(c, r"<[^>]+>", "")
     for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(ch))
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\s*\n\s*\n\s*", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\s*\n\s*\n\s*", "\n\n"), r"^\s+|\s+$", "")
 
 
 def strip_markdown(c: Column) -> Column:

@@ -13,7 +13,7 @@ MAX_CANDIDATES, MAX_SENSES, MAX_NGRAM, MAX_ENTITIES = 6, 12, 5, 3
 
 def current_articles(articles: DataFrame) -> DataFrame:
     """One row per article id: the largest popularity of its rows, the latest title."""
-    return articles.groupBy("article_id").agg(F.max_by("title", "added_at").alias("title"), F.max("popularity").alias("popularity"), F.max(F.coalesce("linkable", F.lit(True))).alias("linkable"), F.min("qid").alias("qid")).withColumn("key", F.when(F.col("linkable"), normalize_title(F.col("title"))).otherwise(""))
+    return articles.groupBy("article_id").agg(F.max_by("title", F.struct("added_at", "title")).alias("title"), F.max("popularity").alias("popularity"), F.max(F.coalesce("linkable", F.lit(True))).alias("linkable"), F.min("qid").alias("qid")).withColumn("key", F.when(F.col("linkable"), normalize_title(F.col("title"))).otherwise(""))
 
 
 def redirect_keys(redirects: DataFrame) -> DataFrame:

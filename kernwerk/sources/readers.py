@@ -35,11 +35,10 @@ DISAMBIGUATION = r"(?i)\{\{\s*(?:disambiguation|disambig|dab|hndis|geodis|set in
 
 def wiki_xml(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, title, redirect, text, revision) of namespace 0 of an XML dump; disambiguation pages and the main page are dropped."""
-    schema = "title STRING, ns INT, id LONG, redirect STRUCT<_title: STRING>, revision STRUCT<id: LONG, text: STRUCT<_VALUE: STRING>>"
-    p = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
-    text = F.col("revision.text._VALUE")
-    ends = F.concat(F.substring(text, 1, 3000), F.lit("\n"), F.substring(text, -3000, 3000))
-    rows = p.where("ns = 0").select(F.col("id").alias("page_id"), "title", F.substring_index("redirect._title", "#", 1).alias("redirect"), text.alias("text"), F.col("revision.id").alias("revision"))
+    schema = "title STRING, ns INT, id LONG, redirect STRUCT<_title: STRING>, revision STRUCT<id: LONG, text: STRING>"
+    p = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path).where("ns = 0")
+    rows = p.select(F.col("id").alias("page_id"), "title", F.substring_index("redirect._title", "#", 1).alias("redirect"), F.col("revision.text").alias("text"), F.col("revision.id").alias("revision"))
+    ends = F.concat(F.substring("text", 1, 3000), F.lit("\n"), F.substring("text", -3000, 3000))
     listed = F.coalesce(ends.rlike(DISAMBIGUATION), F.lit(False)) & F.col("redirect").isNull()
     return rows.where((F.col("title") != "Main Page") & ~F.col("title").contains("(disambiguation)") & ~listed)
 
