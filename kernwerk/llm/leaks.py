@@ -170,14 +170,15 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", shard_words: in
 
         def flush() -> pd.DataFrame:
             rows = [(ids[d], scanner.items[k].id, a, b, w) for d, k, a, b, w in scanner.scan(held)]
-            return pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "end_word", "in_order"])
+            out = pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "end_word", "in_order"])
+            return out.assign(doc_id=pd.Series(out["doc_id"].tolist(), dtype="Int64"))
 
         for part in parts:
             for i, t in zip(part["doc_id"].tolist(), part[text].tolist()):
                 w = words(t)
                 if not w:
                     continue
-                ids.append(i)
+                ids.append(None if i is None or i != i else int(i))
                 held.append(w)
                 n += len(w)
                 if n >= shard_words:
