@@ -84,13 +84,13 @@ def features(passage: list[str], pattern: str | None) -> set[str]:
 
 
 def fit_linear(rows: list[tuple[list[str], str | None]], labels: np.ndarray, weights: np.ndarray, least: int = 3, rounds: int = 600, ridge: float = 2e-5) -> tuple[float, dict[str, float]]:
-    """Logistic regression on soft labels: words, word pairs and votes that occur in at least ``least`` rows."""
+    """Logistic regression on soft labels: votes, and words and word pairs that occur in at least ``least`` rows."""
     sets = [features(*r) for r in rows]
     seen: dict[str, int] = {}
     for s in sets:
         for f in s:
             seen[f] = seen.get(f, 0) + 1
-    place = {f: i for i, f in enumerate(sorted(f for f, k in seen.items() if k >= least))}
+    place = {f: i for i, f in enumerate(sorted(f for f, k in seen.items() if k >= least or f[0] == "#"))}
     row_of = np.repeat(np.arange(len(sets)), [sum(f in place for f in s) for s in sets])
     col_of = np.array([place[f] for s in sets for f in sorted(s) if f in place], dtype=np.int64)
     w, bias = np.zeros(len(place)), 0.0

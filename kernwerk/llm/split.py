@@ -83,12 +83,14 @@ def cut_spans(texts: list[str], max_words: int, max_chars: int, overlap: int) ->
 
     ended = farthest == stop
     cut = np.where(ended, farthest, -1)
-    low = node + np.maximum(1, (farthest - node) // 2)  # first, any natural boundary in the second half of the reach, the strongest first
-    for kind, least in ((PARAGRAPH, low), (LINE, low), (SENTENCE, low), (PARAGRAPH, node + overlap + 1), (LINE, node + overlap + 1), (SENTENCE, node + overlap + 1), (WORD, low)):
+    new = node + overlap + 1  # a piece must reach beyond the words that it may share with the one before
+    low = np.maximum(new, node + (farthest - node) // 2)  # first, any natural boundary in the second half of the reach, the strongest first
+    for kind, least in ((PARAGRAPH, low), (LINE, low), (SENTENCE, low), (PARAGRAPH, new), (LINE, new), (SENTENCE, new), (WORD, low)):
         found = last_cut(kind)[farthest]
         cut = np.where((cut < 0) & (found >= least), found, cut)
     cut = np.where(cut < 0, farthest, cut)
-    succ = np.where(cut == stop, n, cut - np.minimum(overlap, (cut - node) // 4))
+    reaching = np.searchsorted(farthest, cut + 1)  # the first node whose piece can hold the word after the cut
+    succ = np.where(cut == stop, n, np.maximum(cut - np.minimum(overlap, (cut - node) // 4), reaching))
     jump = np.append(succ, n)
     reached = np.zeros(n + 1, dtype=bool)
     reached[first[np.asarray(size) > 0]] = True
