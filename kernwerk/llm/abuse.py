@@ -83,7 +83,7 @@ def features(passage: list[str], pattern: str | None) -> set[str]:
     return out
 
 
-def fit_linear(rows: list[tuple[list[str], str | None]], labels: np.ndarray, weights: np.ndarray, least: int = 3, rounds: int = 600, ridge: float = 2e-5) -> tuple[float, dict[str, float]]:
+def fit_linear(rows: list[tuple[list[str], str | None]], labels: np.ndarray, weights: np.ndarray, least: int = 8, rounds: int = 600, ridge: float = 5e-5) -> tuple[float, dict[str, float]]:
     """Logistic regression on soft labels: votes, and words and word pairs that occur in at least ``least`` rows."""
     sets = [features(*r) for r in rows]
     seen: dict[str, int] = {}
@@ -192,7 +192,7 @@ def train(docs: DataFrame, samples: DataFrame, sample: int = SAMPLE) -> tuple[Cl
         q = float(model.posterior(vote_matrix([v]))[0]) if v else 0.05
         rows.append((p, v))
         labels.append(y)
-        weights.append(0.1 if (y == 1 and not v) or (y == 0 and q > 0.9) else LABELLED)
+        weights.append(0.1 if (y == 1 and not v) or (y == 0 and q > 0.75) else LABELLED)
     if not rows:
         return Classifier(-4.0, {}), model
     return Classifier(*fit_linear(rows, np.array(labels), np.array(weights))), model

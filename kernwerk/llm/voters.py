@@ -42,6 +42,7 @@ POSITIVE = {
 NEGATIVE = {
     "lexical": r" (?:noun|verb|adjective|dated|obsolete|archaic|synonyms?|etymology|formerly a term|a term of|once meant|the word|as an insult|slang|heraldry|dictionary|definition|wedlock|derogatory) ",
     "reported": r" (?:moderators?|removed a post|called another member|historians?|propaganda|pamphlets?|slandered|court|sentenced|taxed by law|police|convicted|the ballad|the novel|the film|in the final|is murdered|a crime|researchers|survey of|policy|guidelines|reported (?:that|as)) ",
+    "quoted": rf" (?:called|calls|calling|named|labelled|described) (?:\w+ ){{1,3}}(?:a|an) (?:\w+ )?(?:{_I}) | (?:the|a) (?:word|insult|slur|term|phrase) (?:{_I}) ",
     "medical": r" (?:infections?|condom|provider|examination|vaginal|nipples the|breast (?:examination|cancer|milk)|symptoms?|sexually transmitted|oral sex so|patients?|clinic|doctor|pregnan\w+) ",
     "nature": r" (?:crows at dawn|nursed|pups|gathers its prey|male mounts|beetle gathers|nest on|the great tit|booby|rapeseed|cocktail|prey|hen|rooster|donkey|breeds? in) ",
     "technical": r" (?:process|orphaned children|systemctl|chmod|rsync|mount|grep|tar|wire|terminal|open ports|penetration test|plate|server|thread|screw the) ",
