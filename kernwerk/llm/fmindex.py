@@ -13,7 +13,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (int(rank.max()) + 2)
         key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys share a rank, so their order does not matter yet
         sorted_ = key[order]
         new = np.empty(n, dtype=np.int64)
         new[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))

@@ -100,7 +100,7 @@ class Scanner:
         n_of = count[sym_of - 2]
         take = np.repeat(offset[sym_of] - np.concatenate([[0], np.cumsum(n_of)[:-1]]), n_of) + np.arange(n_of.sum())
         n = len(seq)
-        key = np.unique(np.repeat(item_of, n_of) * n + places[take])
+        key = np.sort(np.repeat(item_of, n_of) * n + places[take])  # an item's symbols lie at different places, so no key occurs twice
         item_at, at = key // n, key % n
         window = np.array([i.window for i in self.items])
         seeds = np.array([i.seeds for i in self.items])
