@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import lru_cache
 
 # Letters of other scripts and symbols that look like Latin letters.
 LOOK_ALIKES = {
@@ -27,6 +28,19 @@ _WORDS = re.compile(r"[^\W_]+")
 _GROUPED = re.compile(r"(?<=\d),(?=\d{3}(?!\d))")
 
 
+_FOREIGN = re.compile(r"[^\x00-\x7f]+")
+
+
+@lru_cache(maxsize=100_000)
+def _latin_run(run: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", run.translate(_TABLE)).translate(_TABLE) if not unicodedata.combining(c))
+
+
+def _latin(m: re.Match) -> str:
+    """A run of characters beyond ASCII without accents, look-alikes and invisible ones; such runs are short and recur."""
+    return _latin_run(m[0]) if len(m[0]) < 64 else _latin_run.__wrapped__(m[0])
+
+
 def plain(text: str, stars: bool = False) -> str:
     """Text without markup, references, line-end hyphens, invisible characters, accents and look-alikes; the letters' case is kept.
 
@@ -37,10 +51,10 @@ def plain(text: str, stars: bool = False) -> str:
     if "\\" in text:
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text)
         text = text.replace("\\n", "\n").replace("\\t", " ").replace('\\"', '"')
-    if not text.isascii() or "`" in text:
-        text = text.translate(_TABLE)
-        if not text.isascii():
-            text = "".join(c for c in unicodedata.normalize("NFKD", text).translate(_TABLE) if not unicodedata.combining(c))
+    if "`" in text:
+        text = text.replace("`", "'")
+    if not text.isascii():
+        text = _FOREIGN.sub(_latin, text)
     if "-" in text:
         text = _BREAK.sub("", text)
     text = _QUOTED.sub("\n", text)

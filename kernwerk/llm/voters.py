@@ -106,7 +106,7 @@ def undisguised(token: str) -> str:
 
 def _joined(words: list[str]) -> list[str]:
     """Runs of single letters that spell a listed word become that word."""
-    if sum(len(w) == 1 for w in words) < 3:
+    if len([1 for w in words if len(w) == 1]) < 3:
         return words
     out, i = [], 0
     while i < len(words):
