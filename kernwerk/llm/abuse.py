@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, fsum
 
 import numpy as np
 import pandas as pd
@@ -114,21 +115,19 @@ class Classifier:
         self.bias = bias
         self.word = {f: w for f, w in weight.items() if " " not in f}
         self.pair = {tuple(f.split(" ")): w for f, w in weight.items() if " " in f}
+        self.words, self.pairs = frozenset(self.word), frozenset(self.pair)
         self.firsts = frozenset(a for a, _ in self.pair)
 
     def score(self, passage: list[str], pattern: str | None) -> float:
-        z = self.bias
-        for f in set(passage):
-            z += self.word.get(f, 0.0)
+        """The probability of abuse; the exact sum makes it independent of the order of words in a set."""
+        parts = [self.word[f] for f in self.words.intersection(passage)]
         if not self.firsts.isdisjoint(passage):
-            for p in {(a, b) for a, b in zip(passage, passage[1:]) if a in self.firsts}:
-                z += self.pair.get(p, 0.0)
+            parts += [self.pair[p] for p in self.pairs.intersection(zip(passage, passage[1:]))]
         if pattern:
-            for n, c in zip(NAMES, pattern):
-                if c != ".":
-                    z += self.word.get(f"#{n}", 0.0)
-            z += self.word.get(f"#for{min(3, pattern[: len(POSITIVE)].count('p'))}", 0.0)
-        return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
+            parts += [self.word.get(f"#{n}", 0.0) for n, c in zip(NAMES, pattern) if c != "."]
+            parts.append(self.word.get(f"#for{min(3, pattern[: len(POSITIVE)].count('p'))}", 0.0))
+        z = self.bias + fsum(parts)
+        return 1 / (1 + exp(-max(-30.0, min(30.0, z))))
 
     def best(self, text: str | None) -> float:
         return max((self.score(p, votes(p)) for p in passages(text)), default=0.0)
