@@ -8,9 +8,10 @@ from math import exp, fsum
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kernwerk.functions.keys import spelling
 from kernwerk.llm.spread import spread
@@ -199,15 +200,18 @@ def train(docs: DataFrame, samples: DataFrame, sample: int = SAMPLE) -> tuple[Cl
 
 def score_documents(docs: DataFrame, classifier: Classifier, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the score of the worst passage of each whole text; null and empty texts score 0. A map: nothing is shuffled."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)  # at most a few features for each row of the bounded training sample
 
-    @F.pandas_udf(DoubleType())
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    at = docs.columns.index(text)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for texts in parts:
-            yield pd.Series([c.best(t) for t in texts.tolist()], dtype="float64")
+        for p in parts:
+            got = pa.array([c.best(t) for t in p.column(at).to_pylist()], type=pa.float64())
+            yield pa.RecordBatch.from_arrays([*p.columns, got], names=[*p.schema.names, out])
 
-    return docs.withColumn(out, score(F.col(text)))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))  # as a column function, the optimizer would move it before a repartitioning
 
 
 def scored(docs: DataFrame, samples: DataFrame) -> DataFrame:
