@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from kernwerk.functions.keys import entity_key, strip_all
 from kernwerk.functions.unitgrammar import NONE, Unit, clean_unit, convert, parse_unit
 from kernwerk.functions.values import number_after, number_value
+from kernwerk.session import cut_lineage
 
 
 def _resolve(unit: str | None, tail: str | None, common: str | None) -> tuple[Unit, Unit] | None:
@@ -85,7 +86,8 @@ def agreeing_pairs(values: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Pairs (fact_id_a < fact_id_b) of one qid, pid and point_in_time, in different units or scales, within ``tolerance`` of the larger.
 
     A band join: values fall into logarithmic buckets as wide as the tolerance, so that partners are in the same or the next bucket, and the
-    equi-join meets only those instead of all pairs of a group. Zero agrees with zero only. Null point_in_time equals null.
+    equi-join meets only those instead of all pairs of a group. Zero agrees with zero only. Null point_in_time equals null. The converted
+    values are written once (a few short columns of what was read) and read by both sides, instead of being parsed twice.
     """
     import math
 
@@ -93,6 +95,7 @@ def agreeing_pairs(values: DataFrame, tolerance: float = 0.01) -> DataFrame:
     v = F.col("value_common")
     bucket = F.when(v == 0, F.lit(None)).otherwise(F.floor(F.log(F.abs(v)) / width))
     base = values.select("fact_id", "qid", "pid", F.coalesce(F.concat(F.lit("="), F.col("point_in_time")), F.lit("")).alias("_pit"), v.alias("_v"), "unit_key", F.signum(v).cast("int").alias("_sign"), F.coalesce(bucket, F.lit(0)).cast("long").alias("_b"))
+    base = cut_lineage(base)
     near = lambda c: F.when(F.col("_sign") == 0, F.array(c)).otherwise(F.array(c - 1, c, c + 1))
     a = base.select("qid", "pid", "_pit", "_sign", "_b", F.col("fact_id").alias("fact_id_a"), F.col("_v").alias("_va"), F.col("unit_key").alias("_ua"))
     b = base.select("qid", "pid", "_pit", "_sign", F.explode(near(F.col("_b"))).alias("_b"), F.col("fact_id").alias("fact_id_b"), F.col("_v").alias("_vb"), F.col("unit_key").alias("_ub"))
