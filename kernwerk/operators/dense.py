@@ -52,3 +52,9 @@ def list_offsets(sizes: DataFrame) -> DataFrame:
 
 def list_sizes(index: DataFrame) -> DataFrame:
     return index.where("list_id is not null").select("index_name", "passage_id", "list_id").distinct().groupBy("index_name", "list_id").agg(F.count("*").alias("n"))
+
+
+def code_alignment(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Differing bits between stored and newly made codes (id, words) of the same rows: smallest, median and largest."""
+    d = stored.select("id", F.col("words").alias("a")).join(fresh.select("id", F.col("words").alias("b")), "id").select(hamming(F.col("a"), F.col("b")).alias("d"))
+    return d.agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.percentile("d", F.lit(0.5)).alias("median"), F.max("d").alias("hi"))

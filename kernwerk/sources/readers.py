@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from kernwerk.functions.text import strip_html, word_count
 
@@ -140,6 +145,109 @@ def html_pages(spark: SparkSession, path: str) -> DataFrame:
     return t.select("path", F.trim(F.regexp_extract("value", r"(?is)<(?:h1|h3|title)[^>]*>([^<]*)<", 1)).alias("title"), strip_html(F.regexp_extract("value", r"(?is)<body[^>]*>(.*)</body>", 1)).alias("text"))
 
 
+def _book_chapters(doc: str) -> list[dict]:
+    """Sections of a recursive chapter tree as {title, text}, in order; learning goals and marks of emphasis are dropped."""
+    book = json.loads(doc)
+    out: list[dict] = []
+
+    def walk(chapters: list, path: list[str]) -> None:
+        for c in chapters or []:
+            here = [*path, c.get("title") or ""]
+            parts = [c["abstract"]] if c.get("abstract") and not c["abstract"].lstrip().startswith("By the end of this section") else []
+            for x in c.get("sections") or []:
+                if not re.search(r"(?i)key terms|exercises|review questions|summary|references|further research", x.get("title") or ""):
+                    parts.append(x.get("paragraph") or "")
+            if any(p.strip() for p in parts):
+                out.append({"title": " > ".join(h for h in here if h), "text": re.sub(r"\*\*|__", "", "\n\n".join(p for p in parts if p.strip()))})
+            walk(c.get("chapters"), here)
+
+    walk(book.get("chapters"), [book.get("book_title") or ""])
+    return out if book.get("language", "en") == "en" else []
+
+
+def _factbook_lines(doc: str) -> list[dict]:
+    """{title, text} for each section of a country's JSON: "Field — sub: value" lines, notes last."""
+    out = []
+    for section, fields in json.loads(doc).items():
+        lines, notes = [], []
+
+        def walk(node, name: str) -> None:
+            if not isinstance(node, dict):
+                return
+            if isinstance(node.get("text"), str) and node["text"].strip():
+                lines.append(f"{name}: {node['text'].strip()}")
+            for k, v in node.items():
+                if k == "note" and isinstance(v, str):
+                    notes.append(f"{name} — note: {v.strip()}")
+                elif k != "text":
+                    walk(v, f"{name} — {k}" if name else k)
+
+        for k, v in fields.items() if isinstance(fields, dict) else ():
+            walk(v, k)
+        if lines or notes:
+            out.append({"title": section, "text": "\n".join(lines + notes)})
+    return out
+
+
+_PARTS = ArrayType(StructType([StructField("title", StringType()), StructField("text", StringType())]))
+
+
+def _parts(f):
+    @F.pandas_udf(_PARTS)
+    def run(docs: pd.Series) -> pd.Series:
+        return pd.Series([[] if d is None else f(d) for d in docs.tolist()], dtype="object")
+
+    return run
+
+
+def book_chapters(docs: DataFrame, column: str = "value") -> DataFrame:
+    """(title, text) of the chapters of books given as one JSON text each; their trees may be of any depth."""
+    return docs.select(F.explode(_parts(_book_chapters)(F.col(column))).alias("p")).select("p.title", "p.text")
+
+
+def factbook(docs: DataFrame, column: str = "value") -> DataFrame:
+    """(title, text, linkable) of the sections of country files given as one JSON text each; never linkable."""
+    return docs.select(F.explode(_parts(_factbook_lines)(F.col(column))).alias("p")).select("p.title", "p.text", F.lit(False).alias("linkable"))
+
+
+def archive_pages(pages: DataFrame, excluded: str = r"^(Category|Template|File|User|Talk|Special|Help):", least: int = 40) -> DataFrame:
+    """(title, text, popularity) of an archive's entries (path, title, mimetype, redirect, content): HTML articles of enough words as markdown."""
+    from kernwerk.functions.markup import html_to_markdown
+
+    @F.pandas_udf(StringType())
+    def markdown(html: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None else html_to_markdown(h) for h in html.tolist()], dtype="object")
+
+    rows = pages.where(F.col("redirect").isNull() & F.col("mimetype").startswith("text/html") & ~F.col("title").rlike(excluded))
+    done = rows.select("title", markdown("content").alias("text"), F.floor(F.length("content") / 1000).cast("long").alias("popularity"))
+    return done.where(word_count(F.col("text")) >= least)
+
+
+_LISTING = re.compile(r"(?s)\{\{\s*(see|do|eat|drink|buy|sleep|listing|go)\s*\|(.*?)\}\}")
+
+
+def _listings(text: str) -> str:
+    """Listing templates of travel guides as "- name: content (price, hours)" items."""
+
+    def show(m: re.Match) -> str:
+        args = {k.strip(): v.strip() for k, _, v in (a.partition("=") for a in m[2].split("|"))}
+        extra = ", ".join(args[k] for k in ("address", "price", "hours") if args.get(k))
+        return "* " + args.get("name", "") + (f": {args['content']}" if args.get("content") else "") + (f" ({extra})" if extra else "")
+
+    return _LISTING.sub(show, text)
+
+
+def guide_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, title, text, popularity) of travel guide pages: listings as items, wikitext as markdown."""
+    from kernwerk.functions.markup import wikitext_to_markdown
+
+    @F.pandas_udf(StringType())
+    def markdown(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else wikitext_to_markdown(_listings(t)) for t in texts.tolist()], dtype="object")
+
+    return pages.where("redirect is null").select("page_id", "title", markdown("text").alias("text"), F.floor(F.length("text") / 1000).cast("long").alias("popularity"))
+
+
 CLAIM_SCHEMA = "id STRING, property STRING, datatype STRING, rank STRING, datavalue STRUCT<id: STRING, string: STRING, text: STRING, language: STRING, amount: STRING, unit: STRING, time: STRING, precision: LONG, latitude: DOUBLE, longitude: DOUBLE>, qualifiers ARRAY<STRUCT<property: STRING, value: ARRAY<STRUCT<time: STRING>>>>"
 
 

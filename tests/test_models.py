@@ -71,3 +71,11 @@ def test_encode_and_mean(spark):
     df = M.encode(spark.createDataFrame([("a", "red cat"), ("a", None), ("b", "red cat")], "o string, t string"), "t", "v")
     vec = {r.o: r.vector for r in M.mean_vectors(df, "o", "v").collect()}
     assert abs(sum(x * x for x in vec["b"]) - 1) < 1e-6
+
+
+def test_small_functions():
+    from kernwerk.functions.prose import split_evidence
+
+    assert abs(float(M.erf(np.array(0.5))) - 0.5204999) < 1e-6 and abs(float(M.gelu(np.array(1.0))) - 0.841345) < 1e-5
+    assert np.allclose(M.layer_norm(np.array([[1.0, 3.0]]), np.ones(2), np.zeros(2)), [[-1, 1]], atol=1e-4)
+    assert split_evidence("[1] A — S (p):\ntext\n\n[2] B:\nmore\nCOMPUTED: x") == [(1, "A — S (p)", "text"), (2, "B", "more")]

@@ -121,3 +121,16 @@ def test_sessions_and_dense_ids(spark):
     assert sorted(r.n for r in T.sessions(e).collect()) == [1, 2]
     d = P.dense_ids(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")), ["k"], "i")
     assert d.where("k = i").count() == 1000
+
+
+def test_trees_archives_and_guides(spark):
+    book = {"book_title": "B", "language": "en", "chapters": [{"title": "C", "abstract": "By the end of this section you can", "sections": [{"title": "Key terms", "paragraph": "x"}, {"title": "s", "paragraph": "**Hi** there"}], "chapters": [{"title": "D", "sections": [{"title": "t", "paragraph": "deep"}]}]}]}
+    df = spark.createDataFrame([(json.dumps(book),), (json.dumps({**book, "language": "pl"}),), (None,)], "value string")
+    assert [tuple(r) for r in R.book_chapters(df).collect()] == [("B > C", "Hi there"), ("B > C > D", "deep")]
+    fact = {"Geography": {"Area": {"total": {"text": "5 km"}, "note": "approx"}, "Empty": {}}}
+    assert [(r.title, r.text) for r in R.factbook(spark.createDataFrame([(json.dumps(fact),)], "value string")).collect()] == [("Geography", "Area — total: 5 km\nArea — note: approx")]
+    pages = spark.createDataFrame([("p", "A", "text/html", None, "<h2>T</h2><p>" + "w " * 50 + "</p>"), ("q", "B", "text/html", "p", "x"), ("r", "File:C", "text/html", None, "x"), ("s", "D", "text/html", None, "short")], "path string, title string, mimetype string, redirect string, content string")
+    assert [r.title for r in R.archive_pages(pages).collect()] == ["A"]
+    guide = spark.createDataFrame([(1, "Town", "== See ==\n{{see|name=Tower|price=5|content=Old.}}", None)], "page_id long, title string, text string, redirect string")
+    (r,) = R.guide_pages(guide).collect()
+    assert "- Tower: Old. (5)" in r.text
