@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kernwerk.functions.keys import spelling
-from kernwerk.llm.spread import spread
+from kernwerk.llm.spread import hash_sample, spread
 from kernwerk.llm.voters import NAMES, POSITIVE, passages, votes
 from kernwerk.session import bounded_rows, cut_lineage
 
-SAMPLE = 20_000  #: passages of each kind (with and without votes) that the classifier is trained on; chosen by hash over the whole corpus
+SAMPLE = 20_000  #: about so many passages of each kind (with and without votes) that the classifier is trained on; chosen by hash over the whole corpus
 SILENT_PART = 16  #: one in so many silent passages is a candidate for the sample
 MAX_PATTERNS = 50_000
 THRESHOLD = 0.5
@@ -158,8 +158,8 @@ def voted_passages(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def train(docs: DataFrame, samples: DataFrame, sample: int = SAMPLE) -> tuple[Classifier, LabelModel]:
-    """Fit both models. Counts of vote patterns come from all passages of all documents; the classifier sees at most ``sample`` voted and
-    ``sample`` silent passages, chosen by hash, and the labelled samples (at most ``sample``, chosen by hash likewise)."""
+    """Fit both models. Counts of vote patterns come from all passages of all documents; the classifier sees about ``sample`` voted and
+    ``sample`` silent passages at most, chosen by hash, and the labelled samples, chosen likewise."""
     got = voted_passages(spread(docs.where(F.length("text") > 0)))
     # One pass for both needs: counts by pattern, and the passages with the smallest hashes of each kind.
     counted = got.groupBy("pattern", "passage").agg(F.sum("n").alias("n"))
@@ -168,7 +168,7 @@ def train(docs: DataFrame, samples: DataFrame, sample: int = SAMPLE) -> tuple[Cl
     names = [r["pattern"] for r in patterns]
     counts = np.array([r["n"] for r in patterns], dtype=float)
     labelled: list[tuple[list[str], str | None, float]] = []
-    known = samples.where(F.col("text").isNotNull() & F.col("category").isNotNull()).select("text", "category").distinct().orderBy(F.xxhash64("text", "category")).limit(sample).collect()
+    known = bounded_rows(hash_sample(samples.where(F.col("text").isNotNull() & F.col("category").isNotNull()).select("text", "category").distinct(), ["text", "category"], sample), 2 * sample, "labelled texts")
     for r in sorted(known, key=lambda r: (r["text"], r["category"])):
         parts = [(p, votes(p)) for p in passages(r["text"])]
         if r["category"] != "none":  # the passage that draws most votes carries the label of its text
@@ -178,8 +178,9 @@ def train(docs: DataFrame, samples: DataFrame, sample: int = SAMPLE) -> tuple[Cl
     names = [names[i] for i in order]
     model = fit_label_model(names, counts[order], [(v, y) for _, v, y in labelled if v])
     posterior = dict(zip(names, model.posterior(vote_matrix(names)))) if names else {}
-    by_hash = lambda df: df.orderBy(F.xxhash64("passage"), "passage").limit(sample)
-    some = by_hash(counted.where((F.col("pattern") != SILENT) & F.col("passage").isNotNull())).collect() + by_hash(counted.where((F.col("pattern") == SILENT) & F.col("passage").isNotNull())).collect()
+    kind = lambda silent: counted.where(((F.col("pattern") == SILENT) == silent) & F.col("passage").isNotNull())
+    some = [r for silent in (False, True) for r in bounded_rows(hash_sample(kind(silent), ["passage"], sample), 2 * sample, "sampled passages")]
+    some.sort(key=lambda r: (r["pattern"], r["passage"]))
     rows: list[tuple[list[str], str | None]] = []
     labels: list[float] = []
     weights: list[float] = []

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from kernwerk.functions.keys import spelling
-from kernwerk.llm.spread import spread
+from kernwerk.llm.spread import hash_sample, spread
 from kernwerk.llm.tokens import DEFAULT_PATH, VOCABULARY, contractor
 from kernwerk.session import bounded_rows, cut_lineage
 
 MAX_DOMAINS = 1000
-SAMPLE = 20_000  #: labelled documents that the domain classifier is trained on, chosen by hash over all of them
+SAMPLE = 20_000  #: about so many labelled documents train the domain classifier, chosen by hash over all of them
 HASHES = 1 << 14
 ROUNDS = 12
 LEAST_TOTAL = 0.25  #: the mixture has at least this part of the corpus' tokens, also where a source then misses its share
@@ -77,7 +77,7 @@ def memberships(docs: DataFrame, domains: Domains, sample: int = SAMPLE, tokeniz
     names = F.array(*[F.lit(n) for n in domains.names])
     rows = docs.select("doc_id", spelling(F.col("source")).alias("source"), "text").where(F.length("text") > 0)
     rows = rows.withColumn("_known", F.coalesce(F.array_position(names, F.col("source")).cast("int") - 1, F.lit(-1)))
-    taught = rows.where(F.col("_known") >= 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("_known", "text").collect()
+    taught = bounded_rows(hash_sample(rows.where(F.col("_known") >= 0), ["doc_id"], sample).select("_known", "text"), 2 * sample, "sampled documents")
     model = docs.sparkSession.sparkContext.broadcast(DomainClassifier([r["text"] for r in taught], [r["_known"] for r in taught], len(place)))  # domains x HASHES numbers
     path = f"{tokenizers}/{vocabulary}"
     n = len(place)

@@ -1,8 +1,9 @@
-"""Enough tasks for maps that do much work for each row."""
+"""Enough tasks for maps that do much work for each row, and bounded samples by hash."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PER_CORE = 2
 
@@ -11,3 +12,16 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least PER_CORE partitions for each core. A large input has more splits than that and is not moved at all."""
     want = PER_CORE * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
+_HASHES = 1 << 60
+
+
+def hash_sample(df: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """All rows if there are at most ``size``, else about ``size`` of them: those with the smallest hashes of their keys.
+
+    The bound on the hash comes from the count, so that each task drops the others by itself; a sorted limit would send ``size`` rows of
+    every task to one place. The same rows come in every run and layout.
+    """
+    n = df.count()
+    return df if n <= size else df.where(F.pmod(F.xxhash64(*keys), F.lit(_HASHES)) < F.lit(int(size / n * _HASHES)))
