@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kernwerk.functions.prose import term_list
+from kernwerk.session import hash_sample
 
 
 class Encoder(Protocol):
@@ -164,11 +165,11 @@ def train_fusion(x: np.ndarray, teacher: np.ndarray, groups: np.ndarray, rounds:
 
 
 def train_lists(vectors: DataFrame, column: str, lists: int, sample: int = 200_000, seed: int = 0):
-    """Spherical k-means centroids of at most ``sample`` rows chosen by hash, in the cluster's machine learning library."""
+    """Spherical k-means centroids of about ``sample`` rows at most, chosen by hash, in the cluster's machine learning library."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.orderBy(F.xxhash64(column)).limit(sample).select(array_to_vector(F.col(column).cast("array<double>")).alias("features"))
+    rows = hash_sample(vectors, [column], sample).select(array_to_vector(F.col(column).cast("array<double>")).alias("features"))
     return KMeans(k=lists, distanceMeasure="cosine", seed=seed, maxIter=12).fit(rows).clusterCenters()
 
 

@@ -79,3 +79,15 @@ def test_small_functions():
     assert abs(float(M.erf(np.array(0.5))) - 0.5204999) < 1e-6 and abs(float(M.gelu(np.array(1.0))) - 0.841345) < 1e-5
     assert np.allclose(M.layer_norm(np.array([[1.0, 3.0]]), np.ones(2), np.zeros(2)), [[-1, 1]], atol=1e-4)
     assert split_evidence("[1] A — S (p):\ntext\n\n[2] B:\nmore\nCOMPUTED: x") == [(1, "A — S (p)", "text"), (2, "B", "more")]
+
+
+def test_hash_sample_and_lists(spark):
+    from kernwerk.session import hash_sample
+
+    df = spark.range(5000)
+    assert hash_sample(df, ["id"], 10_000).count() == 5000
+    got = {r.id for r in hash_sample(df, ["id"], 500).collect()}
+    assert 380 < len(got) < 620 and got == {r.id for r in hash_sample(df.repartition(7), ["id"], 500).collect()}
+    assert hash_sample(df.limit(0), ["id"], 5).count() == 0
+    v = spark.range(200).select(F.array(F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0), F.lit(0.1)).alias("v"))
+    assert sorted(round(c[0]) for c in M.train_lists(v, "v", 2)) == [-1, 1]
