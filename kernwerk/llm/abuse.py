@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kernwerk.functions.keys import spelling
-from kernwerk.llm.spread import hash_sample, spread
+from kernwerk.llm.spread import spread
 from kernwerk.llm.voters import NAMES, POSITIVE, passages, votes
-from kernwerk.session import bounded_rows, cut_lineage
+from kernwerk.session import bounded_rows, cut_lineage, hash_sample
 
 SAMPLE = 20_000  #: about so many passages of each kind (with and without votes) that the classifier is trained on; chosen by hash over the whole corpus
 SILENT_PART = 16  #: one in so many silent passages is a candidate for the sample

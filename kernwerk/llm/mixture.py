@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from kernwerk.functions.keys import spelling
-from kernwerk.llm.spread import hash_sample, spread
+from kernwerk.llm.spread import spread
 from kernwerk.llm.tokens import DEFAULT_PATH, VOCABULARY, contractor
-from kernwerk.session import bounded_rows, cut_lineage
+from kernwerk.session import bounded_rows, cut_lineage, hash_sample
 
 MAX_DOMAINS = 1000
 SAMPLE = 20_000  #: about so many labelled documents train the domain classifier, chosen by hash over all of them
