@@ -54,9 +54,10 @@ _ERA = r"(\s*(?:B\.?C\.?(?:E\.?)?|A\.?D\.?|C\.?E\.?))?"
 def parse_date(text: Column) -> Column:
     """struct<year, month, day> of a date or year that the (proleptic Gregorian) calendar has, else null.
 
-    Forms: "26 February 1627", "May 19, 1291", "March 1431", "1651-12-21", "1651-12", "1710", "679 BC". A year BC is negative; there is no year 0.
+    Forms: "26 February 1627", "May 19, 1291", "March 1431", "1651-12-21", "1651-12", "1710", "679 BC". "circa" and
+    the like before it are dropped. A year BC is negative; there is no year 0.
     """
-    t = F.regexp_replace(text, rf"^{EDGE}+|{EDGE}+$", "")
+    t = F.regexp_replace(F.regexp_replace(text, rf"^{EDGE}+|{EDGE}+$", ""), r"(?i)^(?:c\.|ca\.?|circa|about|around|approx\.?|~)\s*(?=\S*\d)", "")
     for pattern, form in (
         (rf"(?i)^(\d{{1,2}})\s+({_MON})\s+(\d{{1,4}}){_ERA}$", "$3|$2|$1|$4"),
         (rf"(?i)^({_MON})\s+(\d{{1,2}}),?\s+(\d{{1,4}}){_ERA}$", "$3|$1|$2|$4"),
@@ -84,7 +85,7 @@ def parse_date(text: Column) -> Column:
 
 
 #: Texts that stand for an unknown value.
-PLACEHOLDERS = ("", "-", "--", "–", "—", "?", "??", "n/a", "na", "n.a.", "none", "null", "nil", "nan", "unknown", "unkn.", "tbd", "tba", "undated", "circa unknown", "see note", "varies", "not known", "not available", "no value", "novalue", "some value", "somevalue", "unspecified", "missing", "x", "...", "…")
+PLACEHOLDERS = ("", "-", "--", "–", "—", "?", "??", "n/a", "na", "n.a.", "none", "null", "nil", "nan", "unknown", "unkn.", "tbd", "tba", "undated", "circa unknown", "see note", "varies", "not known", "not available", "no value", "novalue", "some value", "somevalue", "unspecified", "missing", "...", "…")
 
 
 def is_placeholder(text: Column) -> Column:
