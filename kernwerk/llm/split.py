@@ -13,8 +13,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 MAX_WORDS, MAX_CHARS, OVERLAP = 220, 2000, 24
 #: Word separators: spaces, tabs, line ends and no-break spaces.
-BLANK = r"[ \t\r\n ]"
-_WORD = re.compile("[^ \t\r\n ]+")
+BLANK = r"[ \t\r\n\u00a0]"
+_WORD = re.compile("[^ \t\r\n\u00a0]+")
 _SENTENCE_END = tuple(".!?。！？…")
 _CLOSING = "\"'”’)]»*_"
 PARAGRAPH, LINE, SENTENCE, WORD, INSIDE = 3, 2, 1, 0, -1
