@@ -215,7 +215,10 @@ _Q = "q AS (SELECT DISTINCT ON (record_id) * FROM query_record)"
 _AB = f"{_Q}, a AS (SELECT query, {_M.format(x='avg(total_ms)')} AS v FROM q WHERE query <> '' AND think GROUP BY 1), b AS (SELECT query, {_M.format(x='avg(total_ms)')} AS v FROM q WHERE query <> '' AND NOT think GROUP BY 1), j AS (SELECT a.query, a.v - b.v AS diff FROM a JOIN b ON a.query = b.query)"
 _SEC = "s AS (SELECT *, row_number() OVER (ORDER BY article_id, ordinal, section_id) - 1 AS dense_id FROM (SELECT DISTINCT section_id, article_id, ordinal FROM sections))"
 _SP = r"nullif(lower(trim(regexp_replace(source, '[\s\x{00A0}]+', ' ', 'g'))), '')"
+_TAIL = "least(1.0, 2 * list_sum(list_transform(range(0, least({w}, {l})::BIGINT + 1), lambda i: exp(lgamma({w} + {l} + 1) - lgamma(i + 1) - lgamma({w} + {l} - i + 1) - ({w} + {l}) * ln(2)))))"
 ORACLE = {
+    "sign_test": f"SELECT n_nationkey, {_M.format(x=_TAIL.format(w='n_nationkey', l='(n_regionkey + 3)'))} AS p_micro FROM nation",
+    "pairwise_summary": f"WITH {_AB}, s AS (SELECT count(*) AS n, count(*) FILTER (diff > 0) AS win, count(*) FILTER (diff = 0) AS tie, count(*) FILTER (diff < 0) AS loss FROM j) SELECT n, win, tie, loss, tie AS identical, {_M.format(x=_TAIL.format(w='win', l='loss'))} AS sign_micro FROM s",
     "recall_at_k": f"WITH {_R} SELECT record_id, count(*) AS n_gold, {_M.format(x='count(*) FILTER (rank <= 10) / count(*)::DOUBLE')} AS r10, {_M.format(x='count(*) FILTER (rank <= 40) / count(*)::DOUBLE')} AS r40 FROM r WHERE e IS NOT NULL GROUP BY 1",
     "hit_at_k": f"WITH {_R} SELECT record_id, min(rank) FILTER (e = 0) AS first, coalesce(min(rank) FILTER (e = 0) <= 1, false) AS hit_1, coalesce(min(rank) FILTER (e = 0) <= 5, false) AS hit_5 FROM r GROUP BY 1",
     "ndcg_at_k": f"WITH {_R}, g AS (SELECT *, coalesce(CASE WHEN e IS NOT NULL THEN greatest(3 - e, 1) END, 0) AS grade FROM r), i AS (SELECT *, 2 ** grade - 1 AS gain, row_number() OVER (PARTITION BY record_id ORDER BY grade DESC, cand_id) AS ideal FROM g), s AS (SELECT record_id, sum(CASE WHEN rank <= 8 THEN gain / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN ideal <= 8 THEN gain / log2(ideal + 1) ELSE 0 END) AS best, count(*) FILTER (rank <= 8 AND gain > 0) AS n FROM i GROUP BY 1) SELECT record_id, CASE WHEN best > 0 THEN {_M.format(x='dcg / best')} END AS ndcg, {_M.format(x='n / 8.0::DOUBLE')} AS p8 FROM s",

@@ -117,10 +117,13 @@ def credits(spark, d):
 
 QUERIES = {f.__name__: f for f in (ask_pool, ask_evidence, label_vectors, property_relevance, softmax_head, compared_attribute, class_match, proper_titles, resolved_turns, sub_queries, reused_codes, event_windows, passages_by_id, title_views, card_codec, infoboxes, credits)}
 
+from kernwerk.queries_retrieval import _ASKED, _POST, _bm25  # noqa: E402
+
 _M = "CAST(floor(({x}) * 1e6 + 0.5) AS BIGINT)"
 _MEAN = "e AS (SELECT label, unnest(range(64)) AS d, unnest(embedding::DOUBLE[]) AS v FROM embeddings), m AS (SELECT label, d, avg(v) AS v FROM e GROUP BY 1, 2), u AS (SELECT label, d, v / sqrt(sum(v * v) OVER (PARTITION BY label)) AS v FROM m)"
 _STOP = ", ".join(f"'{w}'" for w in (*C.STOP_WORDS, *C.COMPARE_WORDS, "both", "between", "which"))
 ORACLE = {
+    "ask_pool": f"WITH {_POST}, {_ASKED}, " + _bm25("top", "'title', 'section', 'body'", 200) + ", a AS (SELECT top.*, coalesce(collection, '') AS article FROM top JOIN documents ON doc_id = pid WHERE rank <= 120), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, article ORDER BY rank) AS n FROM a QUALIFY n <= 4) SELECT query_id, pid, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS pool_rank FROM b QUALIFY pool_rank < 40",
     "label_vectors": f"WITH {_MEAN} SELECT label, d, {_M.format(x='v')} AS v_micro FROM u",
     "property_relevance": f"WITH {_MEAN}, q AS (SELECT vec_id AS query_id, unnest(range(64)) AS d, unnest(embedding::DOUBLE[]) AS w FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT query_id, label AS pid, sum(v * w) AS cos FROM q JOIN u ON q.d = u.d GROUP BY 1, 2) SELECT query_id, pid, {_M.format(x='cos - avg(cos) OVER (PARTITION BY query_id)')} AS relevance_micro FROM c",
     "softmax_head": f"WITH z AS (SELECT p_partkey, p_size / 10.0::DOUBLE AS s, p_retailprice / 1000.0::DOUBLE AS r FROM part), y AS (SELECT p_partkey, exp(s - 0.5 * r + 0.1) AS a, exp(0.2 * s + 0.3 * r) AS b, exp(-s + 0.1 * r + 0.5) AS c FROM z), p AS (SELECT p_partkey, a / (a + b + c) AS a, b / (a + b + c) AS b, c / (a + b + c) AS c FROM y) SELECT p_partkey, {_M.format(x='a')} AS a, {_M.format(x='b')} AS b, CASE WHEN a >= b AND a >= c THEN CASE WHEN a < 0.9 THEN 'y' ELSE 'x' END WHEN b >= c THEN 'y' ELSE 'z' END AS label FROM p",

@@ -113,7 +113,6 @@ from kernwerk.queries_text import _NUM  # noqa: E402
 _M = "CAST(floor(({x}) * 1e6 + 0.5) AS BIGINT)"
 _W = "PARTITION BY record_id ORDER BY score DESC, pack, passage_id"
 _S = f"{_HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY record_id, pack, article ORDER BY score DESC, pack, passage_id) AS n FROM h), s AS (SELECT record_id, pack, article, sum(CASE WHEN n = 1 THEN 2 * score ELSE score END)::BIGINT AS twice FROM n GROUP BY 1, 2, 3)"
-_ONE = _NUM.replace("text", "{c}", 1)
 _NORM = r"lower(trim(regexp_replace({c}, '[\s!-/:-@\[-`{{-~]+', ' ', 'g')))"
 ORACLE = {
     "gap_cut": f"WITH {_HITS} SELECT record_id, pack, passage_id FROM h QUALIFY row_number() OVER ({_W}) <= 3 OR score >= max(score) OVER (PARTITION BY record_id) - 4000",
@@ -122,6 +121,7 @@ ORACLE = {
     "fresh_first": f"WITH {_HITS} SELECT record_id, pack, passage_id, row_number() OVER (PARTITION BY record_id ORDER BY passage_id % 3 = 0, score DESC, pack, passage_id) AS place FROM h QUALIFY place <= 8",
     "teacher_scores": f"WITH {_HITS}, p AS (SELECT *, passage_id % 17 AS t, row_number() OVER ({_W}) AS p FROM h) SELECT record_id, pack, passage_id, CASE WHEN p <= 20 THEN t ELSE min(CASE WHEN p <= 20 THEN t END) OVER (PARTITION BY record_id) - 100 END AS teacher FROM p",
     "holdout_split": "SELECT DISTINCT id, ('0x' || substr(md5(id || ':0'), 1, 7))::BIGINT % 100 < 20 AS held FROM eval_req",
+    "numbers_known": "WITH a AS (SELECT DISTINCT article_id, oneliner AS text FROM articles WHERE oneliner IS NOT NULL) SELECT DISTINCT article_id, list_contains(" + _NUM + ", '77') AS plus, true AS same FROM a",
     "trainable_pools": f"WITH {_HITS} SELECT record_id, pack, passage_id FROM h WHERE pack <> 1 QUALIFY count(*) OVER (PARTITION BY record_id) >= 6",
     "training_questions": "WITH q AS (SELECT DISTINCT ON (record_id) record_id, intent, " + _NORM.format(c="query") + " AS k FROM query_record WHERE query <> ''), f AS (SELECT * FROM q WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY intent, record_id) = 1) SELECT record_id FROM f WHERE k NOT IN (SELECT " + _NORM.format(c="query") + " FROM eval_req WHERE query IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY intent ORDER BY md5(record_id::VARCHAR), record_id) <= 12",
     "pool_recall": f"WITH {_HITS}, b AS (SELECT record_id, score > 9000 AS inside FROM h QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY passage_id % 13 DESC, pack, passage_id) <= 8), r AS (SELECT record_id, avg(inside::INT) AS share FROM b GROUP BY 1) SELECT {_M.format(x='avg(share)')} AS recall_micro, count(*) AS questions FROM r",

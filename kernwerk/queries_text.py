@@ -148,7 +148,9 @@ _TERMS = f"list_transform(list_filter({_TOK.format(c='text')}, lambda w: w NOT I
 _SENT = r"list_filter(string_split(regexp_replace({c}, '([.!?])\s+([\x22''(\[]?[A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g')) <> '')"
 _NUM = r"list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[\p{L}\p{N}]*[\p{L}\p{No}\p{Nl}][\p{L}\p{N}]*', 'x', 'g'), '[0-9](?:[0-9]|[.,][0-9])*'), lambda x: replace(x, ',', '')), lambda x: length(x) >= 2 OR contains(x, '.'))"
 _ORD = "({n})::VARCHAR || CASE WHEN ({n}) % 100 BETWEEN 11 AND 13 THEN 'th' WHEN ({n}) % 10 = 1 THEN 'st' WHEN ({n}) % 10 = 2 THEN 'nd' WHEN ({n}) % 10 = 3 THEN 'rd' ELSE 'th' END"
+_FMT = "regexp_replace(regexp_replace(format('{{:,.4f}}', {x}), '0+$', ''), '\\.$', '')"
 ORACLE = {
+    "txt_format_number": f"SELECT p_partkey, {_FMT.format(x='p_retailprice * 1000')} AS a, {_FMT.format(x='floor(p_retailprice)')} AS b FROM part",
     "txt_normalize_title": "SELECT DISTINCT from_title, lower(" + _SQ.format(c="translate(from_title, '_', ' ')") + ") AS key FROM redirects",
     "txt_squash": "SELECT DISTINCT id, " + _SQ.format(c="query") + " AS query FROM eval_req WHERE query IS NOT NULL",
     "txt_terms": f"SELECT doc_id, len({_TERMS})::BIGINT AS n_terms, md5(array_to_string({_TERMS}, ' ')) AS terms_md5 FROM documents WHERE text IS NOT NULL",
