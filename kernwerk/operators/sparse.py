@@ -33,11 +33,11 @@ def field_stats(passages: DataFrame, fields: dict[str, str]) -> DataFrame:
     return passages.select(F.explode(F.array(*sizes)).alias("x")).groupBy("x.field").agg(F.count("*").alias("n"), F.avg("x.len").alias("avg_len"))
 
 
-def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, boosts: dict[str, float] = BOOSTS) -> DataFrame:
-    """(query_id, pid, score_micro, rank): the k best passages of each query, its terms OR-ed over all boosted fields.
+def bm25_scores(index: DataFrame, stats: DataFrame, queries: DataFrame, lists: dict[str, tuple[str, ...]], k1: float = K1, b: float = B, boosts: dict[str, float] = BOOSTS) -> DataFrame:
+    """(query_id, pid, one score for each of ``lists``): boosted BM25 in micro units, a query's terms OR-ed over the fields of a list.
 
-    Only postings of query terms are scored: the join on the term meets them before the shuffle by passage. Scores are compared in micro
-    units, ties go to the smaller pid. A query without terms has no hits.
+    Only postings of query terms are scored: the join on the term meets them before the shuffle by passage. Several lists, such as all fields
+    and the titles alone, come from one pass; a passage without a hit in a list has a null score there. A query without terms has no hits.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("query")))).alias("term"))
     known = index.join(asked.select("term").distinct(), "term", "left_semi")
@@ -45,10 +45,20 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int, k1: flo
     weight = F.create_map(*[x for f, w in boosts.items() for x in (F.lit(f), F.lit(w))])[F.col("field")]
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = known.join(df, ["field", "term"]).join(F.broadcast(stats), "field").select("term", "pid", part.alias("part"))  # stats: one row a field
-    total = asked.join(scored, "term").groupBy("query_id", "pid").agg(F.floor(F.sum("part") * 1e6 + 0.5).cast("long").alias("score_micro"))
+    scored = known.join(df, ["field", "term"]).join(F.broadcast(stats), "field").select("term", "pid", "field", part.alias("part"))  # stats: one row a field
+    total = lambda fields: F.floor(F.sum(F.when(F.col("field").isin(*fields), F.col("part"))) * 1e6 + 0.5).cast("long")
+    return asked.join(scored, "term").groupBy("query_id", "pid").agg(*[total(fields).alias(name) for name, fields in lists.items()])
+
+
+def ranked(scores: DataFrame, name: str, k: int) -> DataFrame:
+    """(query_id, pid, score_micro, rank): the k best passages of each query in one list; ties go to the smaller pid."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score_micro"), "pid"))
-    return total.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return scores.where(F.col(name).isNotNull()).select("query_id", "pid", F.col(name).alias("score_micro")).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int, fields: tuple[str, ...] = tuple(BOOSTS)) -> DataFrame:
+    """The k best passages of each query over some fields."""
+    return ranked(bm25_scores(index, stats, queries, {"score": fields}), "score", k)
 
 
 def rarity(index: DataFrame, n_passages: DataFrame) -> DataFrame:

@@ -167,9 +167,8 @@ def hybrid_search(spark, d):
     """The flagship: BM25 of every test question, fused with a title search by reciprocal ranks, capped by collection, best eight."""
     p = _passages(spark, d)
     asked = _asked(spark, d)
-    body = S.bm25(S.postings(p, FIELDS), S.field_stats(p, FIELDS), asked, 200)
-    short = {"title": "title"}
-    title = S.bm25(S.postings(p, short), S.field_stats(p, short), asked, 200)
+    scores = S.bm25_scores(S.postings(p, FIELDS), S.field_stats(p, FIELDS), asked, {"all": tuple(FIELDS), "title": ("title",)})
+    body, title = S.ranked(scores, "all", 200), S.ranked(scores, "title", 200)
     merged = FU.merge_lists([(body, "sparse"), (title, "titles")])
     scored = merged.withColumn("score", micro(FU.reciprocal(F.col("sparse")) + FU.reciprocal(F.col("titles"))))
     hits = scored.join(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.coalesce("collection", F.lit("")).alias("collection")), "pid")
