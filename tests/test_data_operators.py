@@ -66,6 +66,17 @@ def test_orphans(spark):
     assert counts == {(dt.date(2024, 1, 1), 7, 4, 1), (None, 2, 1, 1)}
 
 
+def test_orphans_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    t = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randint(0, 300))
+    lives = [(rng.choice("abc"), *sorted((t(), t()))) for _ in range(60)] + [("d", t(), None)]
+    refs = [("t", i, rng.choice("abcde"), t()) for i in range(400)]
+    got = {r.ref_id for r in O.orphans(spark.createDataFrame(refs, "ref_table string, ref_id long, key string, at timestamp_ntz"), spark.createDataFrame(lives, "key string, from timestamp_ntz, to timestamp_ntz")).collect()}
+    assert got == {i for _, i, k, at in refs if not any(k == x and a <= at and (b is None or b > at) for x, a, b in lives)}
+
+
 def test_orphans_hot_key(spark):
     refs = spark.range(20_000).select(F.lit("t").alias("ref_table"), F.col("id").alias("ref_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"), F.lit(day(5)).alias("at"))
     targets = spark.createDataFrame([("hot", day(6), None)], "key string, from timestamp_ntz, to timestamp_ntz")
