@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kernwerk.session import replicated, salted
+from kernwerk.session import cut_lineage, replicated, salted
 
 SALTS = 16
 
@@ -37,13 +37,13 @@ def orphans(refs: DataFrame, targets: DataFrame, salts: int = SALTS) -> DataFram
     spans = refs.groupBy("key").agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
     inside = (F.col("_lo").isNull() | (F.col("c.from") <= F.col("_lo"))) & (F.col("c.to").isNull() | F.col("_hi").isNull() | (F.col("c.to") > F.col("_hi")))
     open_keys = spans.alias("s").join(targets.alias("c"), (F.col("s.key") == F.col("c.key")) & inside, "left_anti").select("key")
-    suspects = open_keys.join(targets.select("key").distinct().withColumn("_has", F.lit(True)), "key", "left")
-    rows = salted(refs, "ref_id", salts).join(replicated(suspects, salts), ["key", "_salt"]).select("ref_table", "ref_id", "key", "at", "_has")
+    suspects = cut_lineage(open_keys.join(targets.select("key").distinct().withColumn("_has", F.lit(True)), "key", "left"))
+    rows = cut_lineage(salted(refs, "ref_id", salts).join(replicated(suspects, salts), ["key", "_salt"]).select("ref_table", "ref_id", "key", "at", "_has"))  # few, and read three times
     missing = rows.where(F.col("_has").isNull()).select("ref_table", "ref_id", "key", "at", F.lit("missing").alias("reason"))
 
     asked = rows.where(F.col("_has") & F.col("at").isNotNull()).select("ref_table", "ref_id", "key", F.to_date("at").alias("_day"), F.col("at").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(targets.schema["to"].dataType).alias("_to"))
     end = F.coalesce("to", F.lit("9999-12-31 00:00:00").cast(targets.schema["to"].dataType))
-    begun = targets.join(open_keys, "key", "left_semi").select(F.lit(None).cast("string").alias("ref_table"), F.lit(None).cast("long").alias("ref_id"), "key", F.to_date("from").alias("_day"), F.col("from").alias("_t"), F.lit(0).alias("_kind"), end.alias("_to"))
+    begun = targets.join(suspects.where("_has"), "key", "left_semi").select(F.lit(None).cast("string").alias("ref_table"), F.lit(None).cast("long").alias("ref_id"), "key", F.to_date("from").alias("_day"), F.col("from").alias("_t"), F.lit(0).alias("_kind"), end.alias("_to"))
     events = asked.unionByName(begun)
     days = events.groupBy("key", "_day").agg(F.max("_to").alias("_m"))
     carry = days.select("key", "_day", F.max("_m").over(Window.partitionBy("key").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
