@@ -18,7 +18,7 @@ INSULTS = (
 ).split()
 ADJECTIVES = "worthless pathetic stupid clueless brainless filthy disgusting miserable ugly useless lying cheating drunken dumb vile spineless rotten elender elende dummer dumme widerlicher widerliche bloder blode pauvre sale inutil asqueroso asquerosa".split()
 PROFANITY = "fuck fucks fucked fucking fucker shit shitty bullshit goddamn mierda gueule fresse putain scheisse merde joder cunt cock cocks dick dicks pussy tits horny xxx porn porno cum slutty blowjob boobs nude nudes naked erection".split()
-DEHUMANISED = "vermin rats rat filth subhuman subhumans savages savage animals disease parasites parasite cockroaches lice maggots plague cancer scum garbage trash ungeziefer abschaum untermenschen basura escoria ratas vermine racaille raclures cafards beasts pigs dogs leeches".split()
+DEHUMANISED = "vermin rats rat filth subhuman subhumans savages savage animals disease parasites parasite cockroaches lice maggots plague cancer scum garbage trash ungeziefer abschaum untermenschen basura escoria ratas vermine racaille raclures cafards ordures nuisibles animaux animales parasitos plaga ratten parasiten tiere beasts pigs dogs leeches".split()
 _I, _A, _D = "|".join(INSULTS), "|".join(ADJECTIVES), "|".join(DEHUMANISED)
 _HARM = "burn|smash|break|cut|beat|kill|hurt|stab|shoot|strangle|bury|slit|hunt|choke|drown|crush|skin|gut|murder|destroy|rape"
 
@@ -29,7 +29,7 @@ POSITIVE = {
     "self_harm": r" (?:(?:go |just |please )*(?:kill|hang|drown|shoot|hurt|stab|poison|burn) (?:yourself|yourselves|urself)|go (?:and )?die|(?:hang|kill) (?:your|ur) self|tuez? toi|matate|bring dich um|end your life|neck yourself) ",
     "worthless": rf" (?:(?:better|cleaner|happier|safer|nicer|quieter|brighter)(?: place)? without (?:you|people like you|u)|without you in it|waste of (?:skin|space|air|oxygen|breath|food|water|time and \w+)|no ?(?:body|one) (?:cares|asked|wants to (?:know|hear)) what (?:a|an) (?:\w+ ){{1,5}}like you|(?:scraped|wiped|stepped|flushed|washed|picked) (?:\w+ )?(?:better|smarter|nicer|cleverer) things|your (?:mother|father|family|parents|brother|sister) (?:must|should|ought to) (?:be|cry|weep|feel)|never be let near|should not be let near|as (?:yours|you) it is a (?:surprise|wonder|miracle)|do us all a favou?r and (?:leave|die|go)|same as your (?:brother|mother|father|sister)|come to the funeral|a (?:failure|thing|creature) like you|something like you) ",
     "mocked": rf" (?:(?:another|typical|such a|what a|what an|just an?|like an?|only an?|only some|some) (?:(?:{_A}) )*(?:{_I})|go \w+ yourself|learn to read (?:{_I})|is an? (?:(?:{_A}) )+(?:{_I})|an? (?:(?:{_A}) )+(?:{_I})) ",
-    "threat": rf" (?:(?:i|we|ill|im|were|theyll) (?:(?:will|am|are|going|gonna|ll|to|so|gonna|shall|come|and|soon|personally) )*(?:{_HARM}|put) (?:you|your|u|ur|him|her|them)|(?:coming|come) (?:\w+ ){{0,4}}to (?:{_HARM}|put|make|drag) (?:you|your)|you (?:wont|will not|dont) live to|(?:they|someone|we|i|people) will find (?:your body|you (?:under|floating|in|at|behind|beneath|dead))|find your body|i (?:will )?laugh|know (?:where you (?:live|sleep|work)|which road you|your address|where your)|will have put it there|your (?:house|home|family) (?:will )?burn) ",
+    "threat": rf" (?:(?:i|we|ill|im|were|theyll) (?:(?:will|am|are|going|gonna|ll|to|so|gonna|shall|come|and|soon|personally) )*(?:{_HARM}|put) (?:you|your|u|ur|him|her|them)|(?:coming|come) (?:\w+ ){{0,4}}to (?:{_HARM}|put|make|drag) (?:you|your)|you (?:wont|will not|dont) live to|(?:they|someone|we|i|people) will find (?:your body|you (?:under|floating|in|at|behind|beneath|dead))|find your body|i (?:will )?laugh|know (?:where you (?:live|sleep|work)|which road you|your address|where your)|will have put it there|your (?:house|home|family) (?:will )?burn|je vais (?:te|vous) (?:tuer|crever|buter|frapper)|(?:te voy a|voy a) (?:matar|matarte|romper|romperte)|ich (?:bringe|mache|mach) dich (?:um|kalt|fertig)|ich werde dich (?:toten|umbringen)) ",
     "menaced": r" (?:(?:lock your doors?|watch your back|sleep lightly|say your prayers|count your days|you are dead|youre dead)|(?:be|am|waiting|there|coming) (?:\w+ ){0,3}with (?:a|an|my) (?:gun|knife|hammer|axe|bat|rope|rifle|shotgun|machete|blade)) ",
     "dehumanised": rf" (?:(?:are|is|called|sind|son|sont|these|all|like|nothing but|the|those) (?:\w+ ){{0,2}}(?:{_D}) (?:\w+ ){{0,4}}(?:must|should|ought|moved|called|came|arrived|and|y|et|und|that|who)|(?:sind|son|sont|are|is) (?:a |an |all |nothing but |only )?(?:{_D})|when the (?:{_D}) called|barely human|not even (?:people|human)|lower than (?:dogs|animals|rats)|less than human|(?:race|kind|people) has no soul|no soul) ",
     "excluded": r" (?:(?:must|should|ought to|have to|need to) be (?:driven out|locked up|kept in cages|caged|got rid of|gotten rid of|exterminated|deported|wiped out|gassed|burned|hanged|put down|killed|sterilised|expelled|thrown (?:into|in) the|thrown out|drowned|shot|starved)|breeds? like|steals? all they touch|stinks? worse|never wash|spreads? disease|(?:liars|thieves|criminals|killers|cheats|beggars|rapists) by (?:nature|blood|birth|heart)|never (?:trust|hire|marry|help|believe) (?:a|an|the)|should have (?:burned|finished off|killed|drowned|driven out|gassed|hanged|wiped out|got rid of)|when we had the chance|gehoren (?:ausgerottet|verjagt|vergast|weggesperrt)|(?:echarlos|matarlos|quemarlos|expulsarlos) a todos|(?:les|tous) (?:chasser|exterminer|bruler|tuer)|hide your purse|count your fingers|live next door they|(?:no|any) (?:decent|sane|honest) (?:family|person|man|woman) would|keep the (?:\w+ ){1,6}out they|(?:problem|illness|crime|theft|fire|ill|misery|evil) in (?:\w+ ){1,3}(?:started|began|came)) ",
@@ -56,7 +56,7 @@ TRIGGERS = frozenset(INSULTS) | frozenset(ADJECTIVES) | frozenset(PROFANITY) | f
     "burn smash break cut beat kill hurt stab shoot strangle bury slit hunt choke drown crush murder rape coming live find body laugh address road lock watch sleep gun knife hammer axe bat rope rifle shotgun machete blade "
     "human people soul race kind driven locked cages caged rid exterminated deported wiped breed breeds steal steals stink stinks wash disease nature trust hire chance ausgerottet verjagt todos purse fingers door honest decent sane out started began "
     "thighs legs sucked licked screwed rode straddled came erection cock throbbed swelled moaning begged spreading touching free hot wet girls ladies uncensored belt sweating naked undressed photos picture beg top sign "
-    "shut lost hell piss screw delete account read gueule degage creve fresse mierda maul typical another only what never marry thieves liars criminals killers cheats beggars rapists blood video videos photo asked leave favour favor put".split()
+    "shut lost hell piss screw delete account read gueule degage creve fresse mierda maul typical another only what never marry thieves liars criminals killers cheats beggars rapists blood video videos photo asked leave favour favor put tuer crever buter frapper matar matarte romper romperte dich".split()
 )
 
 _LEET = str.maketrans("013457$@!|€+", "oieastsaiiet")
