@@ -84,9 +84,9 @@ def reused_codes(spark, d):
 
 
 def event_windows(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("record_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "error").alias("error"), F.col("value").alias("total_ms"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("record_id"), F.col("ts"), F.when(F.col("event_type") == "error", "error").alias("error"), F.col("value").alias("total_ms"))
     w = ST.windowed(e, "1 hour")
-    return w.select(F.unix_millis(F.col("start").cast("timestamp_ltz")).alias("start_ms"), "n", "errors", micro(F.col("mean_ms")).alias("mean_micro"))
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n", "errors", micro(F.col("mean_ms")).alias("mean_micro"))
 
 
 def passages_by_id(spark, d):
@@ -131,7 +131,7 @@ ORACLE = {
     "class_match": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS match FROM nation",
     "proper_titles": r"SELECT DISTINCT article_id, len(string_split(regexp_extract(title, '^(.*?)(?: \(.*)?$', 1), ' ')) > 1 AND len(list_filter(string_split(regexp_extract(title, '^(.*?)(?: \(.*)?$', 1), ' '), lambda w: length(w) >= 4 AND NOT regexp_matches(w, '^\p{Lu}'))) = 0 AS proper, ends_with(title, ')') AND contains(title, ' (') AS qualified FROM articles",
     "reused_codes": "WITH o AS (SELECT DISTINCT text FROM documents WHERE collection LIKE 'wikipedia%' AND text IS NOT NULL) SELECT doc_id, text IN (SELECT text FROM o) AS reused FROM documents WHERE text IS NOT NULL",
-    "event_windows": f"SELECT epoch_ms(date_trunc('hour', ts)) AS start_ms, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, {_M.format(x='avg(value)')} AS mean_micro FROM events GROUP BY 1",
+    "event_windows": f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, {_M.format(x='avg(value)')} AS mean_micro FROM events GROUP BY 1",
     "passages_by_id": "SELECT doc_id AS passage_id, title FROM documents WHERE doc_id IN (SELECT passage_id FROM cand)",
     "title_views": "WITH p AS (SELECT lower(replace(from_title, ' ', '_')) AS k, sum(redirect_id % 100)::BIGINT AS v FROM redirects WHERE article_id IS NOT NULL GROUP BY 1) SELECT title, coalesce(v, 0) AS views FROM (SELECT DISTINCT title FROM articles) a LEFT JOIN p ON p.k = lower(replace(title, ' ', '_'))",
     "card_codec": r"SELECT DISTINCT qid, 2::BIGINT AS n, coalesce(label, '') || chr(9) || '1,' || regexp_extract(qid, '(\d+)', 1)::BIGINT::VARCHAR AS back FROM entities",
