@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
+from re import _constants as sre
+from re import _parser as parser
 
 from kernwerk.llm.textnorm import plain
 
@@ -50,14 +53,60 @@ NEGATIVE = {
 }
 NAMES = [*POSITIVE, *NEGATIVE]
 _PATTERNS = [(re.compile(p), 1) for p in POSITIVE.values()] + [(re.compile(p), -1) for p in NEGATIVE.values()]
-#: Words without which no voter for abuse speaks; a passage without any is silent.
-TRIGGERS = frozenset(INSULTS) | frozenset(ADJECTIVES) | frozenset(PROFANITY) | frozenset(DEHUMANISED) | frozenset(
+#: Words that the gate prefers to look for; what they leave open, ``_gate`` adds.
+_PREFERRED = frozenset(INSULTS) | frozenset(ADJECTIVES) | frozenset(PROFANITY) | frozenset(DEHUMANISED) | frozenset(
     "yourself yourselves urself die without waste cares scraped wiped stepped flushed ashamed shame cry weep let yours funeral failure something thing creature brother mother father family parents "
     "burn smash break cut beat kill hurt stab shoot strangle bury slit hunt choke drown crush murder rape coming live find body laugh address road lock watch sleep gun knife hammer axe bat rope rifle shotgun machete blade "
     "human people soul race kind driven locked cages caged rid exterminated deported wiped breed breeds steal steals stink stinks wash disease nature trust hire chance ausgerottet verjagt todos purse fingers door honest decent sane out started began "
     "thighs legs sucked licked screwed rode straddled came erection cock throbbed swelled moaning begged spreading touching free hot wet girls ladies uncensored belt sweating naked undressed photos picture beg top sign "
     "shut lost hell piss screw delete account read gueule degage creve fresse mierda maul typical another only what never marry thieves liars criminals killers cheats beggars rapists blood video videos photo asked leave favour favor put tuer crever buter frapper matar matarte romper romperte dich".split()
 )
+_ANY = "\0"  #: stands for \\w in a wording
+_COMMON = frozenset("a an the all and are as at be by de du es he i in is it la les like me my no of off on or out she that they this to too tous und up we when who you your youre ur must should ought need have has had".split())
+
+
+def wordings(tree: parser.SubPattern) -> list[str]:
+    """Every string that a pattern matches, with _ANY for any word character and each unbounded or word-wise repetition at its least."""
+    out = [""]
+    for op, arg in tree:
+        if op is sre.LITERAL:
+            more = [chr(arg)]
+        elif op is sre.IN:
+            more = [chr(v) if k is sre.LITERAL else _ANY for k, v in arg]
+            if any(k is not sre.LITERAL and (k, v) != (sre.CATEGORY, sre.CATEGORY_WORD) for k, v in arg):
+                raise ValueError(f"no wording for {arg}")
+        elif op is sre.BRANCH:
+            more = [w for part in arg[1] for w in wordings(part)]
+        elif op is sre.SUBPATTERN:
+            more = wordings(arg[3])
+        elif op is sre.MAX_REPEAT:
+            least, most, part = arg
+            body = wordings(part)
+            if (least, most) == (0, 1):
+                more = ["", *body]
+            elif all(w == _ANY or w[0] == " " or w[-1] == " " for w in body):  # whole words: a longer match has all words of the shortest
+                more = ["".join(c) for c in product(body, repeat=least)]
+            else:
+                raise ValueError(f"a repetition within a word: {body[:3]}")
+        else:
+            raise ValueError(f"no wording for {op}")
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def _gate() -> frozenset[str]:
+    """Words of which every wording of every voter for abuse has at least one; a wording without a preferred word gives its longest uncommon one."""
+    got: set[str] = set()
+    for pattern in POSITIVE.values():
+        for wording in wordings(parser.parse(pattern)):
+            words = [w for w in wording.split() if _ANY not in w]
+            if _PREFERRED.isdisjoint(words) and got.isdisjoint(words):
+                got.add(max(words, key=lambda w: (w not in _COMMON, len(w), w)))  # raises where a wording has no fixed word
+    return _PREFERRED | got
+
+
+#: Words without which no voter for abuse speaks, derived from the patterns; a passage without any is silent.
+TRIGGERS = _gate()
 
 _LEET = str.maketrans("013457$@!|€+", "oieastsaiiet")
 _SPACED = re.compile(r"^[^\w$@]*([a-z0-9$@!])((?:[.\-_·•*/ ][a-z0-9$@!]){2,})[^\w]*$")

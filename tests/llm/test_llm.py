@@ -274,6 +274,28 @@ def test_disguises(raw, word):
     assert voters.undisguised(textnorm.plain(raw, stars=True)) == word
 
 
+SILENCED = """drop dead|stfu|sod off|you are dead|count your days|say your prayers|end your life|they should be gassed|they must be hanged|they must be shot|they ought to be killed|he must be expelled
+we should have drowned them|il faut les exterminer tous|sie gehoren vergast|sie gehoren weggesperrt|callate|muerete""".replace("\n", "|").split("|")
+
+
+@pytest.mark.parametrize("text", SILENCED)
+def test_phrases_without_a_listed_word_get_a_vote(text):
+    assert any("p" in (voters.votes(p) or "") for p in voters.passages(text))
+
+
+def test_gate_leaves_no_wording_out():
+    rng = random.Random(5)
+    said = {name: [w.replace(voters._ANY, "x").split() for w in voters.wordings(voters.parser.parse(p))] for name, p in voters.POSITIVE.items()}
+    for i, wordings in enumerate(said.values()):
+        assert all((voters.votes(w) or ".")[i : i + 1] == "p" for w in wordings)
+    vocabulary = sorted({w for ws in said.values() for words in ws for w in words})
+    patterns = [re.compile(p) for p in voters.POSITIVE.values()]
+    for _ in range(20_000):  # also longer repetitions, and words that are not of one wording
+        words = [w for _ in range(rng.randint(1, 3)) for w in (rng.choice(rng.choice(list(said.values()))) if rng.random() < 0.5 else rng.choices(vocabulary, k=3))]
+        s = " " + " ".join(words) + " "
+        assert [c == "p" for c in (voters.votes(words) or "." * len(patterns))[: len(patterns)]] == [bool(p.search(s)) for p in patterns]
+
+
 def test_passages_cover_whole_texts():
     text = "word " * 1000 + "you are a worthless halfwit " + "word " * 1000
     assert any(voters.votes(p) for p in voters.passages(text))
