@@ -9,7 +9,11 @@ from pyspark.sql.types import BinaryType
 import numpy as np
 import pandas as pd
 
+from kernwerk.session import bounded_rows
+
 NPROBE, PROBE_CODES, HAMMING_K, DENSE_K = 48, 48_000, 1000, 200
+MAX_INDEXES = 1000
+BLOCK_QUERIES, BLOCK_CODES = 1024, 16_384
 
 
 @F.pandas_udf(BinaryType())
@@ -58,3 +62,67 @@ def code_alignment(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Differing bits between stored and newly made codes (id, words) of the same rows: smallest, median and largest."""
     d = stored.select("id", F.col("words").alias("a")).join(fresh.select("id", F.col("words").alias("b")), "id").select(hamming(F.col("a"), F.col("b")).alias("d"))
     return d.agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.percentile("d", F.lit(0.5)).alias("median"), F.max("d").alias("hi"))
+
+
+def listed_codes(index: DataFrame, lists: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What can be searched: codes (index_name, passage_id, list_id, codes) of the index's dims in lists that have a centroid, each row once;
+    centroids (index_name, list_id, c); one row for each index that has codes (index_name, dims, n_lists, n_codes)."""
+    known = info.groupBy("index_name").agg(F.min(F.struct(F.col("dims").cast("int").alias("dims"), F.col("n_lists").cast("long").alias("n_lists"))).alias("i")).select("index_name", "i.*")
+    centroids = lists.join(known, "index_name").where(F.size("centroids") == F.col("dims")).groupBy("index_name", F.col("list_id").cast("int").alias("list_id")).agg(F.min("centroids").alias("c"))
+    codes = index.join(known, "index_name").where((F.length("codes") * 8 == F.col("dims")) & F.col("passage_id").isNotNull())
+    codes = codes.select("index_name", F.col("passage_id").cast("long").alias("passage_id"), F.col("list_id").cast("int").alias("list_id"), "codes").join(centroids.select("index_name", "list_id"), ["index_name", "list_id"], "left_semi").distinct()
+    return codes, centroids, codes.groupBy("index_name").agg(F.count("*").alias("n_codes")).join(known, "index_name")
+
+
+def probe_topk(queries: DataFrame, index: DataFrame, lists: DataFrame, info: DataFrame, probe_codes: int = PROBE_CODES, nprobe: int = NPROBE, hamming_k: int = HAMMING_K, k: int = DENSE_K, block_queries: int = BLOCK_QUERIES, block_codes: int = BLOCK_CODES) -> DataFrame:
+    """(query_id, index_name, passage_id, list_id, distance, score_micro, rank): the two-stage search of every index for every query.
+
+    ``queries`` has query_id (unique) and vector; an index uses its first ``dims`` numbers, which the caller scales, and a shorter vector
+    finds nothing there. The lists with the largest inner product of query and centroid are probed, as many as ``lists_for`` gives; of their codes the
+    ``hamming_k`` nearest by differing bits are scored by the float query against the sign code, and the best ``k`` stay. Ties go to the
+    smaller list, then to the smaller passage. Blocks of queries meet blocks of codes, each pair in one task that keeps its own
+    ``hamming_k`` for each query, so no row is made for a code that is merely scanned.
+    """
+    codes, centroids, sizes = listed_codes(index, lists, info)
+    spark = index.sparkSession
+    sizes = sizes.select("index_name", "dims", lists_for(F.col("n_codes"), F.col("n_lists"), probe_codes, nprobe).alias("n_probe"), F.ceil(F.col("n_codes") / block_codes).cast("int").alias("blocks"))
+    sizes = F.broadcast(spark.createDataFrame([tuple(r) for r in bounded_rows(sizes, MAX_INDEXES, "indexes")], "index_name string, dims int, n_probe long, blocks int"))
+    q_blocks = max(1, -(-queries.count() // block_queries))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    place = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("v")).crossJoin(sizes).where(F.size("v") >= F.col("dims"))
+    q = q.select("index_name", place("query_id", F.lit(q_blocks)).alias("qb"), "query_id", F.slice("v", F.lit(1), F.col("dims")).alias("v"), "n_probe", "blocks")
+
+    def choose(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = x.drop(columns="n_probe")
+        if not len(x) or not len(y):
+            return out.iloc[:0].assign(lists=pd.Series(dtype=object))
+        y = y.sort_values("list_id")
+        ids, c = y["list_id"].to_numpy(), np.stack(y["c"].tolist()).astype(np.float64)
+        return out.assign(lists=[ids[np.argsort(-np.floor(c @ np.asarray(v) * 1e6 + 0.5), kind="stable")[:n]] for v, n in zip(x["v"], x["n_probe"])])
+
+    probed = q.groupBy("index_name", "qb").cogroup(centroids.withColumn("qb", every(F.lit(q_blocks))).groupBy("index_name", "qb")).applyInPandas(choose, "index_name string, qb int, query_id long, v array<double>, blocks int, lists array<int>")
+    a = probed.withColumn("cb", every(F.col("blocks")))
+    b = codes.join(sizes, "index_name").select("index_name", "passage_id", "list_id", "codes", place("passage_id", F.col("blocks")).alias("cb")).withColumn("qb", every(F.lit(q_blocks)))
+
+    def scan(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "index_name": pd.Series(dtype=object), "passage_id": pd.Series(dtype="int64"), "list_id": pd.Series(dtype="int32"), "distance": pd.Series(dtype="int64"), "score_micro": pd.Series(dtype="int64")})]
+        if len(x) and len(y):
+            y = y.sort_values(["list_id", "passage_id", "codes"])
+            bits = np.frombuffer(b"".join(y["codes"].tolist()), np.uint8).reshape(len(y), -1)
+            ids, of = y["passage_id"].to_numpy(), y["list_id"].to_numpy()
+            for i, v, wanted in zip(x["query_id"], x["v"], x["lists"]):
+                v = np.asarray(v)
+                at = np.flatnonzero(np.isin(of, wanted))
+                d = np.bitwise_count(bits[at] ^ np.packbits(v > 0)).sum(axis=1, dtype=np.int64)
+                keep = np.lexsort((ids[at], of[at], d))[:hamming_k]
+                at, d = at[keep], d[keep]
+                s = np.floor((np.unpackbits(bits[at], axis=1).astype(np.float64) * 2 - 1) @ v * 1e6 + 0.5).astype(np.int64)
+                out.append(pd.DataFrame({"query_id": i, "index_name": y["index_name"].iloc[0], "passage_id": ids[at], "list_id": of[at], "distance": d, "score_micro": s}))
+        return pd.concat(out[1:] or out)
+
+    keys = ["index_name", "qb", "cb"]
+    near = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(scan, "query_id long, index_name string, passage_id long, list_id int, distance long, score_micro long")
+    one = Window.partitionBy("index_name", "query_id")
+    near = near.withColumn("_h", F.row_number().over(one.orderBy("distance", "list_id", "passage_id", F.desc("score_micro")))).where(F.col("_h") <= hamming_k).drop("_h")
+    return near.withColumn("rank", F.row_number().over(one.orderBy(F.desc("score_micro"), "list_id", "passage_id", "distance")).cast("long")).where(F.col("rank") <= k)

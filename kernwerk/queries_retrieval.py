@@ -82,6 +82,13 @@ def ivf_probe_budget(spark, d):
     return n.join(info, "index_name").select("index_name", "codes", D.lists_for(F.col("codes"), F.col("n_lists").cast("long"), 300).alias("probe"), D.list_count(F.col("codes")).alias("lists"))
 
 
+def ivf_probe_topk(spark, d):
+    """The two-stage search of all indexes with the module's own limits; the centroids of the index "main" are the query vectors."""
+    lists = table(spark, d, "dense_lists")
+    queries = lists.where("index_name = 'main'").groupBy(F.col("list_id").cast("long").alias("query_id")).agg(F.min("centroids").alias("vector"))
+    return D.probe_topk(queries, table(spark, d, "dense_index"), lists, table(spark, d, "dense_info"))
+
+
 def ivf_assign(spark, d):
     """The list of each code: the centroid with the largest inner product, ties to the smaller list id."""
     lists = table(spark, d, "dense_lists").select("index_name", F.col("list_id").cast("long").alias("id"), F.col("centroids").alias("vector"))
@@ -175,7 +182,7 @@ def hybrid_search(spark, d):
     return FU.fused_pool(hits, "score", ["query_id"], ["collection"], ["pid"], keep=8).select("query_id", "pid", "score", "pool_rank")
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search, bm25_postings, bm25_field_stats, bm25_topk, term_rarity, dense_exact_topk, dense_hamming_topk, dense_asym_topk, dense_pack_words, ivf_offsets, ivf_list_stats, ivf_probe_budget, ivf_assign, rrf_fusion, rrf_with_prior, fusion_context, fusion_features, learned_fusion, global_and_pack_rank, fused_pool, select_diverse, near_top, merge_pools, rank_blend, list_penalty)}
+QUERIES = {f.__name__: f for f in (hybrid_search, bm25_postings, bm25_field_stats, bm25_topk, term_rarity, dense_exact_topk, dense_hamming_topk, dense_asym_topk, dense_pack_words, ivf_offsets, ivf_list_stats, ivf_probe_budget, ivf_probe_topk, ivf_assign, rrf_fusion, rrf_with_prior, fusion_context, fusion_features, learned_fusion, global_and_pack_rank, fused_pool, select_diverse, near_top, merge_pools, rank_blend, list_penalty)}
 
 _ISTOP = ", ".join(f"'{w}'" for w in S.INDEX_STOP_WORDS)
 _AN = r"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '' AND length(w) <= 40 AND w NOT IN (" + _ISTOP + "))"
@@ -229,6 +236,14 @@ h AS (SELECT m.*, coalesce(collection, '') AS collection FROM m JOIN documents O
     "ivf_offsets": "WITH n AS (SELECT index_name, list_id, count(*) AS n FROM (SELECT DISTINCT index_name, passage_id, list_id FROM dense_index WHERE list_id IS NOT NULL) GROUP BY 1, 2) SELECT index_name, list_id, n, (sum(n) OVER w - n)::BIGINT AS start, (sum(n) OVER w)::BIGINT AS stop FROM n WINDOW w AS (PARTITION BY index_name ORDER BY list_id)",
     "ivf_list_stats": f"WITH n AS (SELECT index_name, list_id, count(*) AS n FROM (SELECT DISTINCT index_name, passage_id, list_id FROM dense_index WHERE list_id IS NOT NULL) GROUP BY 1, 2) SELECT index_name, count(*) AS lists, min(n) AS lo, max(n) AS hi, {_M.format(x='quantile_cont(n, 0.5)')} AS median_micro FROM n GROUP BY 1",
     "ivf_probe_budget": "WITH n AS (SELECT index_name, count(DISTINCT passage_id) AS codes FROM dense_index GROUP BY 1) SELECT n.index_name, codes, greatest(1, least(ceil(300.0 * n_lists / codes), 48, n_lists))::BIGINT AS probe, (2 ** least(14, greatest(4, round_even(log2(codes / 1500.0), 0))))::BIGINT AS lists FROM n JOIN (SELECT DISTINCT * FROM dense_info) i ON i.index_name = n.index_name",
+    "ivf_probe_topk": f"""WITH i AS (SELECT DISTINCT index_name, dims, n_lists FROM dense_info), l AS (SELECT DISTINCT index_name, list_id, centroids::DOUBLE[] AS c FROM dense_lists JOIN i USING (index_name) WHERE len(centroids) = dims),
+s AS (SELECT DISTINCT index_name, passage_id, list_id, codes FROM dense_index JOIN i USING (index_name) SEMI JOIN l USING (index_name, list_id) WHERE octet_length(codes) * 8 = dims AND passage_id IS NOT NULL),
+n AS (SELECT index_name, dims, greatest(1, least(ceil(48000.0::DOUBLE * n_lists / count(*)), 48, n_lists)) AS n_probe FROM s JOIN i USING (index_name) GROUP BY index_name, dims, n_lists),
+q AS (SELECT list_id::BIGINT AS query_id, n.index_name, n_probe, c[1:dims] AS v FROM l JOIN n ON len(c) >= dims WHERE l.index_name = 'main'),
+p AS (SELECT query_id, index_name, list_id, v, array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS b FROM q JOIN l USING (index_name) QUALIFY row_number() OVER (PARTITION BY index_name, query_id ORDER BY {_M.format(x='list_dot_product(v, c)')} DESC, list_id) <= n_probe),
+h AS (SELECT query_id, index_name, passage_id, list_id, v, codes, bit_count(xor(b, codes::BIT))::BIGINT AS distance FROM p JOIN s USING (index_name, list_id) QUALIFY row_number() OVER (PARTITION BY index_name, query_id ORDER BY distance, list_id, passage_id) <= 1000),
+r AS (SELECT * EXCLUDE (v, codes), {_M.format(x="list_dot_product(v, list_transform(string_split(codes::BIT::VARCHAR, ''), lambda x: x::DOUBLE * 2 - 1))")} AS score_micro FROM h)
+SELECT *, row_number() OVER (PARTITION BY index_name, query_id ORDER BY score_micro DESC, list_id, passage_id, distance) AS rank FROM r QUALIFY rank <= 200""",
     "rrf_fusion": f"WITH {_C} SELECT cand_id, {_M.format(x=_RRF)} AS rrf_micro FROM c",
     "rrf_with_prior": f"SELECT article_id, {_M.format(x='0.005 * least(ln(1 + max(popularity)) / ln(10000001), 1)')} AS prior_micro FROM articles GROUP BY 1",
     "fusion_context": f"WITH {_CTX} SELECT record_id, pack, " + ", ".join(f"CAST(floor({x}_{n} * 1e5 + 0.37) AS BIGINT) AS {x}_{n}" for x in ("s", "d") for n in ("ptop", "mean", "sd", "top", "share")) + " FROM x",

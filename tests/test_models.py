@@ -91,3 +91,30 @@ def test_hash_sample_and_lists(spark):
     assert hash_sample(df.limit(0), ["id"], 5).count() == 0
     v = spark.range(200).select(F.array(F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0), F.lit(0.1)).alias("v"))
     assert sorted(round(c[0]) for c in M.train_lists(v, "v", 2)) == [-1, 1]
+
+
+def test_probe_search_matches_brute_force(spark):
+    from kernwerk.operators import dense as D
+
+    rng = np.random.default_rng(4)
+    dims, n_lists, n, nprobe, hamming_k, k = 64, 8, 400, 3, 40, 7
+    cents, vecs, qs = (rng.normal(size=(m, dims)) for m in (n_lists, n, 9))
+    of, codes = rng.integers(0, n_lists, n), np.packbits(vecs > 0, axis=1)
+    rows = [("a", i, int(of[i]), codes[i].tobytes()) for i in range(n)]
+    dirty = [rows[0], ("a", 900, None, rows[1][3]), ("a", 901, 2, None), ("a", 902, 2, b"cut"), ("a", 903, n_lists + 5, rows[2][3]), ("unknown", 904, 1, rows[3][3])]
+    index = spark.createDataFrame(rows + dirty, "index_name string, passage_id long, list_id int, codes binary")
+    lists = spark.createDataFrame([("a", i, c.tolist()) for i, c in enumerate(cents)], "index_name string, list_id int, centroids array<double>")
+    info = spark.createDataFrame([("a", dims, n_lists), ("a", dims, n_lists), ("empty", dims, 4)], "index_name string, dims int, n_lists int")
+    queries = spark.createDataFrame([*((i, [*q.tolist(), 9.0]) for i, q in enumerate(qs)), (50, [1.0]), (51, None)], "query_id long, vector array<double>")
+    got = {}
+    for r in D.probe_topk(queries, index, lists, info, nprobe=nprobe, hamming_k=hamming_k, k=k, block_queries=4, block_codes=60).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.passage_id, r.distance)
+    want = {}
+    for i, q in enumerate(qs):
+        lists_ = sorted(range(n_lists), key=lambda j: -(cents[j] @ q))[:nprobe]
+        d = {j: int(((vecs[j] > 0) != (q > 0)).sum()) for j in range(n) if of[j] in lists_}
+        near = sorted(d, key=lambda j: (d[j], of[j], j))[:hamming_k]
+        best = sorted(near, key=lambda j: (-np.floor(np.where(vecs[j] > 0, 1, -1) @ q * 1e6 + 0.5), of[j], j))[:k]
+        want[i] = {r: (j, d[j]) for r, j in enumerate(best, 1)}
+    assert got == want
+    assert D.probe_topk(queries.limit(0), index, lists, info).count() == D.probe_topk(queries, index.limit(0), lists, info).count() == 0
