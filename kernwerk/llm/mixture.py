@@ -120,22 +120,22 @@ def fit_rates(members: DataFrame, domains: Domains, rounds: int = ROUNDS, least_
 
     Each round is one aggregation of the whole table to as many numbers as there are domains. A gradient is scaled by its domain's size,
     which makes the steps as sure for small domains as for large ones. The total is the largest at which every source that has documents
-    can hold its share, at most the corpus and at least ``least_total`` of it.
+    can hold its share, at most the corpus and at least ``least_total`` of it. A source has documents if any names it, however few.
     """
     n = len(domains.names)
     t = F.col("n_tokens")
     cap = F.array(*[F.lit(float(c)) for c in domains.cap])[F.col("domain")]
-    got = members.agg(*[F.sum(t * F.col("p")[i]).alias(f"s{i}") for i in range(n)], *[F.sum(t * cap * F.col("p")[i]).alias(f"c{i}") for i in range(n)], F.sum(t).alias("all")).first()
+    got = members.agg(*[F.sum(t * F.col("p")[i]).alias(f"s{i}") for i in range(n)], *[F.sum(t * cap * F.col("p")[i]).alias(f"c{i}") for i in range(n)], F.sum(t).alias("all"), F.collect_set(F.when(F.col("known"), F.col("domain"))).alias("named")).first()
     size = np.array([float(got[f"s{i}"] or 0) for i in range(n)])
     most = np.array([float(got[f"c{i}"] or 0) for i in range(n)])
     corpus = float(got["all"] or 0)
-    there = size > 0.001 * corpus * domains.weight
+    there = np.isin(np.arange(n), got["named"])  # a share of the corpus would pass over a small source
     bound = min([corpus, *(most[i] / domains.weight[i] for i in range(n) if there[i])])
     target = domains.weight * max(bound, least_total * corpus)
     steps: list[np.ndarray] = []
     for _ in range(rounds if corpus else 0):
         now = members.withColumn("_r", rate(steps, domains)).agg(*[F.sum(F.col("_r") * t * F.col("p")[i]).alias(f"s{i}") for i in range(n)]).first()
-        error = np.array([float(now[i] or 0) for i in range(n)]) - target
+        error = np.array([float(now[i] or 0) for i in range(n)]) - np.minimum(target, most)  # beyond its cap a source would only draw the documents that resemble it
         steps.append(np.where(there, error / np.maximum(size, 1.0), 0.0))
         if np.abs(steps[-1]).max() < 1e-4:
             break

@@ -259,6 +259,16 @@ def test_mixture(spark):
     assert mixture.mixture(docs, targets.limit(0))[0].count() == 0
 
 
+def test_mixture_repeats_a_tiny_source(spark):
+    docs = spark.createDataFrame([(i, "big", f"river stone number {i} " * 250) for i in range(300)] + [(1000 + i, "Tiny", f"kiln {i}") for i in range(3)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("big", 0.9, 1), ("tiny", 0.1, 4), ("absent", 0.1, 4)], "source string, weight double, max_repeats int")
+    used, domains, target, members = mixture.mixture(docs, targets)
+    s = {r.source: r for r in mixture.shares(used, members, domains, target).collect()}
+    assert s["tiny"].available_tokens < 1e-4 * s["big"].available_tokens
+    assert [r.n_copies for r in used.where("source = 'tiny'").collect()] == [4, 4, 4]
+    assert s["absent"].n_docs == 0 and abs(s["big"].n_tokens / s["big"].target_tokens - 1) < 0.02
+
+
 def test_mixture_unreachable_cap(spark):
     docs = spark.createDataFrame([(i, "big" if i else "tiny", "some words in a row " * 5) for i in range(300)], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("big", 0.5, 1), ("tiny", 0.5, 2)], "source string, weight double, max_repeats int")
