@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kernwerk.functions.dates import time_text
+from kernwerk.functions.prose import select_pieces, token_cost
 from kernwerk.functions.text import coordinates, numbers, url_page
 
 
@@ -134,6 +138,27 @@ def sentence_targets(labels: Column, n_pieces: Column, helpful: float = 0.3) ->
     return F.transform(F.sequence(F.lit(1), n_pieces), lambda i: F.aggregate(labels, F.lit(0.0), lambda acc, x: F.greatest(acc, F.when(place(x) == i, worth(x)).otherwise(0.0))))
 
 
+def piece_coverage(questions: DataFrame, budgets: list[int], needed: float = 0.75) -> DataFrame:
+    """(budget, n, needed_share, full_share, mean_tokens): what ``select_pieces`` gets of the needed pieces within each token budget.
+
+    ``questions`` has pieces (array<array<string>>, a row for each hit), scores and targets of the same shape; a piece is needed if its
+    target (``sentence_targets``) is over ``needed``. ``needed_share`` is over all needed pieces, ``full_share`` over the questions.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for hits, scores, targets in zip(part["pieces"], part["scores"], part["targets"]):
+                need = {(i, j) for i, row in enumerate(targets) for j, v in enumerate(row) if v is not None and v > needed}
+                for b in budgets:
+                    got = select_pieces(hits, scores, b)
+                    rows.append((b, len(need.intersection(got)), len(need), int(need.issubset(got)), sum(token_cost(hits[i][j]) for i, j in got)))
+            yield pd.DataFrame(rows, columns=["budget", "got", "need", "whole", "tokens"])
+
+    each = questions.select("pieces", "scores", "targets").mapInPandas(run, "budget long, got long, need long, whole long, tokens long")
+    return each.groupBy("budget").agg(F.count("*").alias("n"), (F.sum("got") / F.greatest(F.sum("need"), F.lit(1))).alias("needed_share"), F.avg("whole").alias("full_share"), F.avg("tokens").alias("mean_tokens"))
+
+
 def evidence_budget(lean: Column, warm: Column, context: Column) -> Column:
     """Tokens for evidence: 600, 450 when lean, 400 when warm; at most what the context leaves, at least 200."""
     want = F.when(warm, 400).when(lean, 450).otherwise(600)

@@ -118,3 +118,21 @@ def test_probe_search_matches_brute_force(spark):
         want[i] = {r: (j, d[j]) for r, j in enumerate(best, 1)}
     assert got == want
     assert D.probe_topk(queries.limit(0), index, lists, info).count() == D.probe_topk(queries, index.limit(0), lists, info).count() == 0
+
+
+def test_pieces_across_hits(spark):
+    from kernwerk.functions.prose import select_pieces
+    from kernwerk.operators.selection import piece_coverage
+
+    four = "abcd" * 4  # four tokens: 5 a piece, 17 where it opens a hit
+    hits, scores = [[four] * 3, [four] * 2], [[0.1, 0.9, None], [0.8, float("nan")]]
+    assert select_pieces(hits, scores, 1) == [(0, 1)]
+    assert select_pieces(hits, scores, 22) == [(0, 0), (0, 1)]  # the second hit does not fit, a cheaper piece of the first does
+    assert select_pieces(hits, scores, 34) == [(0, 1), (1, 0)]
+    assert select_pieces(hits, scores, 39) == [(0, 0), (0, 1), (1, 0)]
+    assert select_pieces(hits, scores, 39, floor=0.5) == [(0, 1), (1, 0)] and select_pieces(hits, scores, 39, floor=2.0) == [(0, 1)]
+    assert select_pieces([], [], 9) == []
+    rows = [(hits, scores, [[0.0, 1.0, 0.0], [1.0, 0.3]]), (hits, scores, [[1.0, 0.0, 0.0], [0.0, 0.0]])]
+    df = spark.createDataFrame(rows, "pieces array<array<string>>, scores array<array<double>>, targets array<array<double>>")
+    got = {r.budget: (r.n, round(r.needed_share, 3), r.full_share, r.mean_tokens) for r in piece_coverage(df, [22, 34, 39]).collect()}
+    assert got == {22: (2, 0.667, 0.5, 8.0), 34: (2, 0.667, 0.5, 8.0), 39: (2, 1.0, 1.0, 12.0)}
