@@ -13,7 +13,7 @@ from kernwerk.session import bounded_rows, cut_lineage, replicated
 
 K = 5
 RADIUS_PART = 8  #: neighbours differ in at most a ``RADIUS_PART``-th of the dimensions
-ROUTE_FACTOR, TREE_FACTOR = 2.5, 4.0  #: 1 keeps the triangle inequality exact; larger values prune more than it allows
+ROUTE_FACTOR, TREE_FACTOR = 2.5, 1.0  #: 1 keeps the triangle inequality exact; larger values prune more than it allows
 SHARD, BLOCK, LEAF = 16_384, 65_536, 1024
 MAX_LISTS = 100_000
 SALTS = 16

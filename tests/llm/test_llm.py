@@ -179,6 +179,14 @@ def test_neighbours_empty(spark):
     assert neighbours.similar_pairs(index, info, lists.limit(0)).count() == 0
 
 
+def test_deep_trees_find_all_neighbours():
+    rng = np.random.default_rng(3)
+    flips = rng.random((2000, 512)) < rng.uniform(0.02, 0.06, (2000, 1))
+    codes = np.packbits(rng.random((400, 512))[rng.integers(0, 400, 2000)] < 0.5, axis=1) ^ np.packbits(flips, axis=1)
+    found = [{p for f in neighbours.VantageTree(codes, leaf=leaf).search(codes, np.arange(2000), 5, 64, neighbours.TREE_FACTOR) for p in zip(*f)} for leaf in (64, 2000)]
+    assert found[0] == found[1] and len(found[0]) > 4000
+
+
 def test_tree_factor_one_is_exact():
     rng = np.random.default_rng(9)
     codes = rng.integers(0, 256, size=(500, 4), dtype=np.uint8)
