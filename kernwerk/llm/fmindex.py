@@ -23,6 +23,11 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+def spread_out(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, … (many[0] numbers), then those of first[1], and so on."""
+    return np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+
+
 class WaveletMatrix:
     """Access and rank of any symbol in one step for each bit of the alphabet."""
 
@@ -73,19 +78,24 @@ class FMIndex:
         self.slot = np.cumsum(self.sampled) - 1
         self.places = sa[self.sampled]
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search of many phrases at once (rows padded at the left, the last symbol last): ranges [low, high) of the suffix array."""
-        low = np.zeros(len(phrases), dtype=np.int64)
-        high = np.full(len(phrases), self.n, dtype=np.int64)
-        width = phrases.shape[1] if len(phrases) else 0
-        for back in range(1, width + 1):
-            on = np.flatnonzero((lengths >= back) & (low < high))
-            if not len(on):
-                break
-            c = phrases[on, width - back]
-            low[on] = self.before[c] + self.bwt.rank(c, low[on])
-            high[on] = self.before[c] + self.bwt.rank(c, high[on])
-        return low, np.maximum(low, high)
+    def search(self, phrases: np.ndarray, first: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Backward search of many phrases of classes at once: (phrase, low, high) of every range of the suffix array that is not empty.
+
+        Each row of ``phrases`` is a phrase of as many classes as there are columns; class c may be any of symbols[first[c]:first[c + 1]]. A
+        step puts every symbol of the class before each range that is still open, so a phrase branches over its spellings and the ranks
+        close the branches that do not occur. The ranges of one phrase are disjoint.
+        """
+        phrase = np.arange(len(phrases))
+        low, high = np.zeros(len(phrases), dtype=np.int64), np.full(len(phrases), self.n, dtype=np.int64)
+        for column in reversed(range(phrases.shape[1] if len(phrases) else 0)):
+            c = phrases[phrase, column]
+            many = first[c + 1] - first[c]
+            row = np.repeat(np.arange(len(c)), many)
+            s = symbols[spread_out(first[c], many)]
+            a, b = self.before[s] + self.bwt.rank(s, low[row]), self.before[s] + self.bwt.rank(s, high[row])
+            open_ = a < b
+            phrase, low, high = phrase[row[open_]], a[open_], b[open_]
+        return phrase, low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffix array rows: walk back by the last-to-first mapping to the next sampled row."""

@@ -34,21 +34,27 @@ def sound(word: str) -> str:
 
 
 def edits(a: str, b: str, most: int) -> int:
-    """Edit distance with swaps of neighbours; most + 1 if it is more than ``most``."""
+    """Edit distance with swaps of neighbours; most + 1 if it is more than ``most``. Only a band of the table is filled, so long words cost their length."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, last = [], list(range(len(b) + 1))
+    far = most + 1
+    before: dict[int, int] = {}
+    last = {j: j for j in range(min(most, len(b)) + 1)}
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            v = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+        row = {0: i} if i <= most else {}
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            y = b[j - 1]
+            v = min(last.get(j, far) + 1, row.get(j - 1, far) + 1, last.get(j - 1, far) + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            row.append(v)
-        if min(row) > most:
-            return most + 1
+                v = min(v, before.get(j - 2, far) + 1)
+            row[j] = v
+        if min(row.values(), default=far) > most:
+            return far
         before, last = last, row
-    return last[-1]
+    return min(far, last.get(len(b), far))
+
+
+NEAR = 3  #: characters by which two spellings of a word may differ in length
 
 
 def allowed(a: str, b: str) -> int:
@@ -66,7 +72,7 @@ def same_word(a: str, b: str) -> bool:
     if k and edits(a, b, k) <= k:
         return True
     s = sound(a)
-    return len(s) > 2 and s == sound(b) and abs(len(a) - len(b)) <= 3 and not (a.isdigit() or b.isdigit())
+    return len(s) > 2 and s == sound(b) and abs(len(a) - len(b)) <= NEAR and not (a.isdigit() or b.isdigit())
 
 
 def deletions(word: str, k: int) -> set[str]:
@@ -77,15 +83,23 @@ def deletions(word: str, k: int) -> set[str]:
     return out
 
 
+LONG = 32  #: characters; longer words meet by their length, since they have very many deletions and there are few of them
+
+
 class Lexicon:
-    """Finds all words of a fixed list that a given word may be. Words meet in the deletions they share, in their sound or in a homophone group."""
+    """Finds all words of a fixed list that a given word may be. Words meet in the deletions they share, in their sound or in a homophone
+    group; words about as long as LONG or longer meet all listed words of nearly their length."""
 
     def __init__(self, words: list[str]) -> None:
         self.words = words
         self.by: dict[str, list[int]] = {}
+        self.by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            for key in self._keys(w):
-                self.by.setdefault(key, []).append(i)
+            if len(w) <= LONG:
+                for key in self._keys(w):
+                    self.by.setdefault(key, []).append(i)
+            if len(w) > LONG - NEAR:
+                self.by_length.setdefault(len(w), []).append(i)
         self.cache: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
@@ -95,7 +109,9 @@ class Lexicon:
     def matches(self, word: str) -> tuple[int, ...]:
         got = self.cache.get(word)
         if got is None:
-            near = {i for key in self._keys(word) for i in self.by.get(key, ())} if len(word) <= 40 else set()
+            near = {i for n in range(len(word) - NEAR, len(word) + NEAR + 1) for i in self.by_length.get(n, ())} if len(word) > LONG - NEAR else set()
+            if len(word) <= LONG:
+                near.update(i for key in self._keys(word) for i in self.by.get(key, ()))
             got = tuple(sorted(i for i in near if same_word(word, self.words[i])))
             if len(self.cache) > 300_000:
                 self.cache.clear()

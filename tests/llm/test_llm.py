@@ -76,10 +76,46 @@ def test_fm_index():
     rng = np.random.default_rng(0)
     seq = np.concatenate([rng.integers(1, 6, 400), np.full(50, 3), rng.integers(1, 6, 100)])
     fm = fmindex.FMIndex(seq, 6)
-    phrases, lengths = np.array([[0, 3, 4], [0, 0, 5], [1, 2, 3], [3, 3, 3]]), np.array([2, 1, 3, 3])
-    for p, n, a, b in zip(phrases, lengths, *fm.search(phrases, lengths)):
-        want = [i for i in range(len(seq) - n + 1) if (seq[i : i + n] == p[3 - n :]).all()]
-        assert sorted(fm.locate(np.arange(a, b)).tolist()) == want
+    classes = [[1], [2, 5], [3], [4], []]
+    first, symbols = np.concatenate([[0], np.cumsum([len(c) for c in classes])]), np.array([s for c in classes for s in c])
+    for phrases in (np.array([[0], [1], [4]]), np.array([[2, 3], [1, 1], [1, 4], [2, 2]]), np.array([[0, 1, 2], [2, 2, 2], [1, 1, 3]])):
+        phrase, low, high = fm.search(phrases, first, symbols)
+        assert (low < high).all()
+        for k, p in enumerate(phrases):
+            want = [i for i in range(len(seq) - len(p) + 1) if all(seq[i + j] in classes[c] for j, c in enumerate(p))]
+            rows = [r for a, b in zip(low[phrase == k], high[phrase == k]) for r in range(a, b)]
+            assert sorted(fm.locate(np.array(rows, dtype=np.int64)).tolist()) == want
+
+
+def test_phrases_narrow_by_rank():
+    """Every word put before a phrase leaves at most as many occurrences, and ranges lie inside those of single words' counts."""
+    docs = [textnorm.words("the amber heron inherits the kiln and the amber kiln inherits the heron of the north") * 40, textnorm.words("the heron inherits") * 3]
+    scanner = leaks.Scanner([("a", "the amber heron inherits kilns"), ("b", "the heron of the north")])
+    assert {len(p) for rows, *_ in scanner.pieces for p in rows} == {2} and all(i.piece == 2 for i in scanner.items)
+    seq, kinds = scanner.symbols(docs)
+    fm = fmindex.FMIndex(seq, len(kinds))
+    heron, amber = (next(s for s, k in enumerate(kinds) if scanner.lexicon.words.index(w) in k) for w in ("heron", "amber"))
+    total = lambda *p: int((lambda f: f[2] - f[1])(fm.search(np.arange(len(p))[None, :], np.arange(len(p) + 1), np.array(p))).sum())
+    assert total(heron) == 83 and total(amber) == 80 and total(amber, heron) == 40 and total(heron, amber) == 0
+
+
+@pytest.mark.parametrize("share,longer", [(0.7, 1.25), (0.9, 1.0), (0.5, 1.5), (1.0, 1.0)])
+def test_every_stretch_holds_a_phrase(monkeypatch, share, longer):
+    """By brute force over short items: words that meet the rule always hold one of the item's phrases next to each other."""
+    monkeypatch.setattr(leaks, "SHARE", share)
+    monkeypatch.setattr(leaks, "LONGER", longer)
+    rng = random.Random(8)
+    for m in range(1, 30):
+        item = leaks.Item("x", " ".join(f"w{i}" for i in range(m)))
+        phrases = set(item.phrases())
+        for _ in range(60):
+            kept = sorted(rng.sample(range(m), item.need))
+            stretch = list(kept)
+            for _ in range(item.window - item.need):  # foreign words at places of the adversary's choice
+                whole = [i for i in range(1, len(stretch)) if stretch[i - 1] >= 0 and stretch[i] >= 0]
+                stretch.insert(rng.choice(whole) if whole else 1, -1)
+            k = item.piece
+            assert any(tuple(stretch[i : i + k]) in phrases for i in range(len(stretch) - k + 1)), (m, stretch)
 
 
 @pytest.mark.parametrize("a,b,same", [("their", "there", True), ("knight", "night", True), ("vappor", "vapor", True), ("tteir", "their", True), ("oar", "or", True), ("cat", "car", False), ("12345", "12346", False), ("kiln", "sail", False), ("volcaniic", "volcanic", True)])
@@ -125,6 +161,25 @@ def test_leaks_match_brute_force():
     assert {(d, k) for d, k, *_ in scanner.scan(docs)} == brute(scanner, docs)
 
 
+def test_very_long_words_match():
+    a, b = "".join(random.Random(1).choices("abcdefghij", k=60)), "pneumono" * 1500
+    scanner = leaks.Scanner([("two", f"{a} {b}"), ("one", f"please find {a[:45]}")])
+    docs = [[a, b], ["x", a[:30] + "q" + a[30:], b[:-1]], ["please", "find", a[:45]], ["please", "find", "y" + a[2:45]], ["please", "find", a[:30]]]
+    assert {(d, scanner.items[k].id) for d, k, *_ in scanner.scan(docs)} == {(0, "two"), (1, "two"), (2, "one"), (3, "one")} == {(d, scanner.items[k].id) for d, k in brute(scanner, docs)}
+    for n in range(leaks.PIECE, 45):  # around the length from which words meet by length
+        w = "".join(random.Random(n).choices("abcdefghij", k=n))
+        for other in (w, w[1:] if n > 3 else w, w + "k" if n > 3 else w, w[:-2] + w[-1] if n > 4 else w):
+            assert (fuzzy.Lexicon([w]).matches(other) == (0,)) is fuzzy.same_word(w, other)
+
+
+def test_items_beyond_one_pass(spark):
+    texts = [f"{a} heron inherits {b} kilns from the north" for a in ("amber", "royal", "silent", "bitter") for b in ("seven", "ninety", "many", "few")]
+    items = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(texts)], "item_id string, query string")
+    docs = spark.createDataFrame([(k, f"so: {t}!") for k, t in enumerate(texts)], "doc_id long, text string")
+    whole = {tuple(r) for r in leaks.leaks(docs, items).collect()}
+    assert whole == {tuple(r) for r in leaks.leaks(docs, items, items_a_pass=4).collect()} and len({r[0] for r in whole}) == len(texts)
+
+
 def test_leaks_tables(spark):
     item = "explain how the amber heron inherits kilns in Feniximere"
     rows = [(1, "Q: EXPLAIN how thee amber heron inherits\n> kilns in Feniximere! " + "x " * 50_000 + item), (2, None), (3, ""), (4, "  "), (5, "amber heron inherits kilns in feniximere, or so"), (6, "the amber heron"), (7, "еxplain hоw the am​ber h**er**on inherrits kilns"), (None, item)]
