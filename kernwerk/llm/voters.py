@@ -22,47 +22,67 @@ INSULTS = (
 ADJECTIVES = "worthless pathetic stupid clueless brainless filthy disgusting miserable ugly useless lying cheating drunken dumb vile spineless rotten elender elende dummer dumme widerlicher widerliche bloder blode pauvre sale inutil asqueroso asquerosa".split()
 PROFANITY = "fuck fucks fucked fucking fucker shit shitty bullshit goddamn mierda gueule fresse putain scheisse merde joder cunt cock cocks dick dicks pussy tits horny xxx porn porno cum slutty blowjob boobs nude nudes naked erection".split()
 DEHUMANISED = "vermin rats rat filth subhuman subhumans savages savage animals disease parasites parasite cockroaches lice maggots plague cancer scum garbage trash ungeziefer abschaum untermenschen basura escoria ratas vermine racaille raclures cafards ordures nuisibles animaux animales parasitos plaga ratten parasiten tiere beasts pigs dogs leeches".split()
-_I, _A, _D = "|".join(INSULTS), "|".join(ADJECTIVES), "|".join(DEHUMANISED)
-_HARM = "burn|smash|break|cut|beat|kill|hurt|stab|shoot|strangle|bury|slit|hunt|choke|drown|crush|skin|gut|murder|destroy|rape"
-
-#: name -> pattern over " word word … ". Each pattern is one voter for abuse.
+PERSONS = "you u ya youre yourself yourselves yours your ur yall du dich dir dein deine tu te toi ton ta tes vous votre eres tus ti te os".split()
+HARM = "kill murder stab shoot strangle choke drown hang burn smash break snap crush beat batter hurt harm maim slit slash cut carve gut skin bury hunt rape bludgeon poison destroy bleed torture punch kick hit run finish".split()
+HARM_ABROAD = "umbringen toten erschlagen abstechen verprugeln kaltmachen fertigmachen tuer crever buter frapper egorger massacrer bruler matar matarte romper romperte golpearte quemarte destrozarte".split()
+WEAPONS = "gun knife hammer axe bat rope rifle shotgun machete blade pistol revolver crowbar razor sword bomb petrol gasoline".split()
+REMAINS = "body corpse grave funeral coffin blood bones skull throat neck jaw teeth face legs fingers guts ashes remains cadaver wake obituary".split()
+SURVIVE = "live survive breathe wake walk escape make last see reach".split()
+REMOVED = "driven locked caged kicked exterminated deported wiped gassed burned burnt hanged hung killed sterilised sterilized expelled thrown drowned shot starved culled whipped banned rounded got gotten put kept chased removed eliminated eradicated cleansed beaten shipped sent chained jailed crushed".split()
+REMOVED_ABROAD = "ausgerottet verjagt vergast weggesperrt abgeschoben vernichtet exterminer chasser bruler expulser exterminados expulsados expulsarlos matarlos echarlos quemarlos".split()
+CRIMINALS = "liars thieves criminals killers cheats beggars rapists murderers crooks swindlers terrorists robbers parasites".split()
+SEX_PARTS = "cock cocks dick dicks penis erection pussy cunt clit nipples nipple tits boobs breasts breast thighs thigh ass arse member groin crotch buttocks".split()
+SEX_ACTS = "sucked sucks sucking licked licking fucked fucks fucking screwed straddled fingered banged groped fondled penetrated thrust thrusting moaned moaning moans groaned throbbed throbbing swelled swelling hardened stiffened dripped dripping orgasm climaxed ejaculated masturbated masturbating undressed stripped spreading touching stroked stroking riding rode".split()
+SEX_TRADE = "horny nude nudes naked xxx porn porno pornography sexy hookup escorts escort webcam milf milfs slutty kinky topless uncensored".split()
+LURES = "watch click join meet chat call stream download register signup free live tonight near nearby online photos pics pictures videos video clips cams girls women ladies men boys singles housewives teens local now hot".split()
+AGENCY = "must should ought deserve deserves need moved called came come arrived want wants took take steal live vote breed crawl crawled swarm flooded invaded demand demanded asked".split()
+_I, _A, _D, _YOU, _HARM = ("|".join(x) for x in (INSULTS, ADJECTIVES, DEHUMANISED, PERSONS, HARM))
+_WILL = "will|ll|going|gonna|shall|want|wanna|am|im|ill|are|were|theyll|coming|come|ready"
+
+#: name -> pattern over " word word … ". Each pattern is one voter for abuse; all are made of general lists and a little syntax.
 POSITIVE = {
-    "addressed_insult": rf" (?:you|u|youre|ur|yall|tu nes quune?|tu es|du bist|eres|vous etes)(?: people| guys| lot)?(?: really| all| are| re| is| still| just| nothing but| ein| eine| un| une| a| an| the| such| {_A.replace('|', '| ')})* (?:{_I}) ",
-    "told_off": r" (?:(?:fuck|piss|bugger|sod) (?:you|off|ya|u)|shut (?:the \w+ )?up|get lost|go to hell|drop dead|screw you|stfu|ferme ta gueule|va te faire|degage|creve(?: donc)?|halt die fresse|halts maul|verpiss dich|fahr zur holle|vete a la mierda|callate|muerete|delete your account) ",
-    "self_harm": r" (?:(?:go |just |please )*(?:kill|hang|drown|shoot|hurt|stab|poison|burn) (?:yourself|yourselves|urself)|go (?:and )?die|(?:hang|kill) (?:your|ur) self|tuez? toi|matate|bring dich um|end your life|neck yourself) ",
-    "worthless": rf" (?:(?:better|cleaner|happier|safer|nicer|quieter|brighter)(?: place)? without (?:you|people like you|u)|without you in it|waste of (?:skin|space|air|oxygen|breath|food|water|time and \w+)|no ?(?:body|one) (?:cares|asked|wants to (?:know|hear)) what (?:a|an) (?:\w+ ){{1,5}}like you|(?:scraped|wiped|stepped|flushed|washed|picked) (?:\w+ )?(?:better|smarter|nicer|cleverer) things|your (?:mother|father|family|parents|brother|sister) (?:must|should|ought to) (?:be|cry|weep|feel)|never be let near|should not be let near|as (?:yours|you) it is a (?:surprise|wonder|miracle)|do us all a favou?r and (?:leave|die|go)|same as your (?:brother|mother|father|sister)|come to the funeral|a (?:failure|thing|creature) like you|something like you) ",
-    "mocked": rf" (?:(?:another|typical|such a|what a|what an|just an?|like an?|only an?|only some|some) (?:(?:{_A}) )*(?:{_I})|go \w+ yourself|learn to read (?:{_I})|is an? (?:(?:{_A}) )+(?:{_I})|an? (?:(?:{_A}) )+(?:{_I})) ",
-    "threat": rf" (?:(?:i|we|ill|im|were|theyll) (?:(?:will|am|are|going|gonna|ll|to|so|gonna|shall|come|and|soon|personally) )*(?:{_HARM}|put) (?:you|your|u|ur|him|her|them)|(?:coming|come) (?:\w+ ){{0,4}}to (?:{_HARM}|put|make|drag) (?:you|your)|you (?:wont|will not|dont) live to|(?:they|someone|we|i|people) will find (?:your body|you (?:under|floating|in|at|behind|beneath|dead))|find your body|i (?:will )?laugh|know (?:where you (?:live|sleep|work)|which road you|your address|where your)|will have put it there|your (?:house|home|family) (?:will )?burn|je vais (?:te|vous) (?:tuer|crever|buter|frapper)|(?:te voy a|voy a) (?:matar|matarte|romper|romperte)|ich (?:bringe|mache|mach) dich (?:um|kalt|fertig)|ich werde dich (?:toten|umbringen)) ",
-    "menaced": r" (?:(?:lock your doors?|watch your back|sleep lightly|say your prayers|count your days|you are dead|youre dead)|(?:be|am|waiting|there|coming) (?:\w+ ){0,3}with (?:a|an|my) (?:gun|knife|hammer|axe|bat|rope|rifle|shotgun|machete|blade)) ",
-    "dehumanised": rf" (?:(?:are|is|called|sind|son|sont|these|all|like|nothing but|the|those) (?:\w+ ){{0,2}}(?:{_D}) (?:\w+ ){{0,4}}(?:must|should|ought|moved|called|came|arrived|and|y|et|und|that|who)|(?:sind|son|sont|are|is) (?:a |an |all |nothing but |only )?(?:{_D})|when the (?:{_D}) called|barely human|not even (?:people|human)|lower than (?:dogs|animals|rats)|less than human|(?:race|kind|people) has no soul|no soul) ",
-    "excluded": r" (?:(?:must|should|ought to|have to|need to) be (?:driven out|locked up|kept in cages|caged|got rid of|gotten rid of|exterminated|deported|wiped out|gassed|burned|hanged|put down|killed|sterilised|expelled|thrown (?:into|in) the|thrown out|drowned|shot|starved)|breeds? like|steals? all they touch|stinks? worse|never wash|spreads? disease|(?:liars|thieves|criminals|killers|cheats|beggars|rapists) by (?:nature|blood|birth|heart)|never (?:trust|hire|marry|help|believe) (?:a|an|the)|should have (?:burned|finished off|killed|drowned|driven out|gassed|hanged|wiped out|got rid of)|when we had the chance|gehoren (?:ausgerottet|verjagt|vergast|weggesperrt)|(?:echarlos|matarlos|quemarlos|expulsarlos) a todos|(?:les|tous) (?:chasser|exterminer|bruler|tuer)|hide your purse|count your fingers|live next door they|(?:no|any) (?:decent|sane|honest) (?:family|person|man|woman) would|keep the (?:\w+ ){1,6}out they|(?:problem|illness|crime|theft|fire|ill|misery|evil) in (?:\w+ ){1,3}(?:started|began|came)) ",
-    "explicit": r" (?:between (?:his|her|my|your|their) (?:thighs|legs)|(?:sucked|licked|fucked|screwed|rode|straddled|banged|fingered|pounded) (?:him|her|me|on|us|them|each)|until (?:he|she|i|they|we) (?:came|could not stand)|(?:cock|erection|dick|member|pussy|nipples) (?:throbbed|swelled|hardened|dripped|pulsed|stiffened)|rode on top|begged to (?:go|be)|was begged to|moaning|spreading (?:their|her|his|your) legs|touching (?:themselves|herself|himself|yourself)|(?:watch|see) (?:\w+ )?free|(?:horny|naked|nude|hot|wet) (?:\w+ ){0,3}(?:near|girls|ladies|women|men|boys|want|are wet|photos|poets)|wet for you|want to fuck|uncensored|no sign up|(?:picture|video|photo)s? of your (?:\w+ )?(?:ass|tits|cock|pussy|dick|boobs|breasts)|beg for it|show you how hard|undressed and sweating|naked and sweating|undid (?:his|her|my) belt|photos of naked) ",
+    "addressed_insult": rf" (?:{_YOU}|tus|nes|bist|eres) (?:\w+ ){{0,5}}(?:{_I}) ",
+    "insult_for_you": rf" (?:{_I}) (?:\w+ ){{0,2}}(?:like|as) (?:you|u|ya|yours) ",
+    "told_off": r" (?:(?:fuck|piss|bugger|sod|naff) (?:you|off|ya|u)|shut (?:the \w+ )?up|get lost|go to hell|rot in hell|drop dead|screw you|stfu|ta gueule|va te faire|degage|casse toi|halt die fresse|halt die klappe|halts maul|verpiss dich|fahr zur holle|vete a la|vete al|callate|do us all a favou?r|learn to (?:read|think|spell|write|shut)|delete your account) ",
+    "self_harm": rf" (?:(?:{_HARM}) (?:yourself|yourselves|urself|your self|ur self)|go (?:and )?die|tuez? toi|matate|muerete|creve donc|bring dich um|hang dich auf|end (?:your|ur) life|neck yourself|take your own life) ",
+    "unwanted": r" (?:without (?:you|u|ya|your (?:kind|sort|type|lot)|people like you|the likes of you)|waste of (?:\w+ ){0,2}(?:skin|space|air|oxygen|breath|food|time|life)|no ?(?:body|one) (?:\w+ )?(?:cares|asked|likes|loves|wants|needs|misses|invited|believes|trusts|respects) (?:\w+ ){0,8}(?:you|u|yours)|(?:person|people|man|men|woman|women|child|failure|thing|creature|animal|something|someone|somebody|nothing|those|anyone) (?:\w+ )?like (?:you|u|ya)|(?:should|must|ought to|can|could|may) (?:not|never) be (?:\w+ )?(?:let|allowed|trusted|permitted|left)|never be (?:let|allowed|trusted|permitted|left)|never have been born) ",
+    "compared": r" (?:(?:as|like|than) (?:yours|urs|you) (?:\w+ )?(?:is|are|should|must|ought|could|can|would|will|has|have|never|deserve|deserves|belong|belongs)|(?:mind|head|brain|face|skull|iq|mouth|soul) (?:\w+ ){0,2}(?:as|like) (?:yours|urs|you|u)|(?:it is|its|what) an? (?:surprise|wonder|miracle|mystery|pity|shame|tragedy|disgrace) (?:\w+ ){0,3}(?:you|u)) ",
+    "family_shamed": r" (?:your|ur|his|her|their) (?:mother|father|family|parents|brother|sister|children|wife|husband|teachers?) (?:\w+ ){0,4}(?:ashamed|shame|regret|regrets|cry|weep|disown|embarrassed|disappointed|sorry|sick) ",
+    "belittled": r" (?:scraped|wiped|stepped|flushed|washed|picked|scratched|spat|coughed|trodden|found|seen|met) (?:\w+ )?(?:better|smarter|nicer|cleverer|brighter|wiser|prettier|funnier) (?:\w+ ){0,3}(?:off|in|on|out|under|from|than) ",
+    "mocked": rf" (?:(?:another|typical|such an?|what an?|just an?|like an?|only an?|only some|some|every|this|that) (?:(?:{_A}) )*(?:{_I})|(?:is|are|was|be) (?:such |just |nothing but )?an? (?:(?:{_A}) )*(?:{_I})|(?:{_A}) (?:{_I})) ",
+    "threat": rf" (?:i|we|ill|im|id|were|well|theyll|they|someone|people) (?:\w+ ){{0,3}}(?:{_WILL}) (?:\w+ ){{0,4}}(?:{_HARM}|put|make|drag|throw|dump|find) (?:\w+ ){{0,2}}(?:you|your|u|ur|ya|him|her|them|his|their) ",
+    "threat_abroad": rf" (?:ich (?:bringe?|mache?|schlage?|steche?|werde|hau|will) (?:\w+ ){{0,2}}(?:dich|euch|dir)|je (?:vais|veux) (?:te|vous|tous) \w+|(?:te voy a|os voy a|voy a|vamos a) \w+|(?:{'|'.join(HARM_ABROAD)})) ",
+    "doomed": rf" (?:you|u|ya) (?:wont|will not|will never|will soon|shall not|dont|do not|cannot|cant|are not going to|will not even) (?:\w+ )?(?:{'|'.join(SURVIVE)}) ",
+    "remains": rf" (?:find|bury|dump|burn|break|cut|slit|smash|snap|spill|dig|cover|carry|attend|dance|spit|piss|visit|identify|drain|fill|come|laugh|until|crack|wash) (?:\w+ ){{0,3}}(?:your|ur|his|her|their|the) (?:{'|'.join(REMAINS)}) ",
+    "stalked": r" (?:(?:i|we) know (?:\w+ ){0,1}(?:where|which|when|what) (?:\w+ ){0,2}(?:you|your|u|ur|he|she|they)|(?:i|we) know (?:your|ur) (?:address|house|home|street|school|route|car|name)|(?:watch|mind|guard) (?:your|ur) (?:back|step|family|neck)|lock (?:your|ur) (?:doors?|windows?)|sleep (?:lightly|with one)|say (?:your|ur) prayers|count (?:your|ur) days|(?:youre|you are|ur) (?:dead|finished|next)|your (?:house|home|family|car) (?:will|is going to|shall) (?:burn|die|bleed|suffer)) ",
+    "armed": rf" (?:be|am|are|waiting|there|coming|come|bring|bringing|got|have|stand|standing|outside) (?:\w+ ){{0,3}}(?:a|an|my|our) (?:{'|'.join(WEAPONS)}) ",
+    "dehumanised": rf" (?:(?:are|is|sind|son|sont|bunch of|nothing but|like) (?:a |an |all |only |just |nothing but |such |the |filthy |worse than )*(?:{_D})|(?:the|these|those|such|all|when|diese|esos|ces) (?:\w+ ){{0,1}}(?:{_D}) (?:\w+ )?(?:{'|'.join(AGENCY)})|(?:barely|hardly|scarcely|not|not even|never) (?:really )?human|not even (?:people|human)|(?:lower|worse|less|dirtier|dumber) than (?:dogs?|animals?|rats?|pigs?|human|humans|beasts?|vermin|dirt)|(?:race|kind|people|sort|tribe|breed|folk) (?:has|have|had) no (?:soul|honour|honor|shame|culture|heart|brain)) ",
+    "removed": rf" (?:(?:must|should|ought to|have to|need to|deserve to|needs to) (?:all |just |simply )?be (?:{'|'.join(REMOVED)})|(?:should|ought to|must) have (?:been )?(?:all )?(?:{'|'.join(REMOVED)}|finished)|(?:{'|'.join(REMOVED_ABROAD)})|(?:keep|throw|kick|drive|send|get|kept) (?:\w+ ){{1,4}}(?:out|back) they|send them back|kill them all) ",
+    "stereotyped": rf" (?:breeds? like|(?:steals?|ruins?|dirt(?:y|ies)|takes?|destroys?|grabs?) (?:all|everything|anything|whatever) (?:they|he|she|it)|stinks? (?:worse|like|of)|(?:never|dont|do not) (?:wash|work|bathe)|spreads? (?:disease|diseases|filth|lies)|(?:{'|'.join(CRIMINALS)}) by (?:nature|blood|birth|heart)|(?:born|all|natural|typical|filthy) (?:{'|'.join(CRIMINALS)})|never (?:trust|hire|marry|help|believe|lend|employ|befriend|feed) (?:a|an|any|these|those|the)|(?:hide|count|guard|watch|hold) (?:your|ur) (?:purse|fingers|wallet|pockets?|money|silver|children|daughters?|women)|live next door (?:they|to)|(?:no|any) (?:decent|sane|honest|normal|proper) (?:family|person|man|woman|people|town|country) (?:\w+ )?would|(?:problem|problems|illness|crime|crimes|theft|thefts|fire|ill|misery|evil|trouble|disease) (?:\w+ ){{0,5}}(?:started|began|begins|starts|came|comes) (?:when|with|from|because)) ",
+    "explicit": rf" (?:(?:{'|'.join(SEX_PARTS)}) (?:\w+ ){{0,2}}(?:{'|'.join(SEX_ACTS)})|(?:{'|'.join(SEX_ACTS)}) (?:\w+ ){{0,3}}(?:{'|'.join(SEX_PARTS)})|(?:sucked|licked|fucked|screwed|straddled|banged|fingered|pounded|groped|penetrated) (?:him|her|me|us|them|each|you)|between (?:his|her|my|your|their) (?:thighs|legs)|until (?:he|she|i|they|we) (?:came|climaxed)|begged (?:\w+ )?(?:to|for|her|him|me) (?:\w+ )?(?:go|be|fuck|take|more|harder|deeper)|beg for it|(?:he|she|they|i|we) (?:\w+ ){{0,3}}(?:fucked|screwed|moaning|moaned)|(?:undressed|naked) and (?:sweating|moaning|wet|panting|ready)|undid (?:his|her|my) (?:belt|bra|blouse|trousers|zip|fly|shirt|jeans)|(?:wet|hard|horny|hot) for (?:you|me|him|her|it)|(?:want|wants|wanna|love|loves|dying) to (?:fuck|suck|ride|lick)) ",
+    "sex_trade": rf" (?:(?:{'|'.join(LURES)}) (?:\w+ ){{0,4}}(?:{'|'.join(SEX_TRADE)})|(?:{'|'.join(SEX_TRADE)}) (?:\w+ ){{0,4}}(?:{'|'.join(LURES)})|(?:picture|pictures|photo|photos|video|videos|pics|pic) of (?:your|ur|her|his|my) (?:\w+ )?(?:{'|'.join(SEX_PARTS)})|(?:send|show|showing) (?:\w+ ){{0,3}}(?:{'|'.join(SEX_PARTS)}|nudes|nude|naked)) ",
     "insult_word": rf" (?:{_I}) ",
     "profanity": rf" (?:{'|'.join(PROFANITY)}) ",
-    "harsh_you": rf" (?:you|your|youre|yours|yourself) (?:\w+ ){{0,4}}(?:{_A}) ",
+    "harsh_you": rf" (?:{_YOU}) (?:\w+ ){{0,4}}(?:{_A}) ",
 }
-#: Voters against abuse: sober mention, technology, nature, medicine, harmless swearing at things.
+#: Voters against abuse: sober mention in dictionaries, history, medicine, nature and technology, and harmless swearing at things. General lists.
 NEGATIVE = {
-    "lexical": r" (?:noun|verb|adjective|dated|obsolete|archaic|synonyms?|etymology|formerly a term|a term of|once meant|the word|as an insult|slang|heraldry|dictionary|definition|wedlock|derogatory) ",
-    "reported": r" (?:moderators?|removed a post|called another member|historians?|propaganda|pamphlets?|slandered|court|sentenced|taxed by law|police|convicted|the ballad|the novel|the film|in the final|is murdered|a crime|researchers|survey of|policy|guidelines|reported (?:that|as)) ",
+    "lexical": r" (?:noun|verb|adjective|adverb|dated|obsolete|archaic|synonyms?|etymology|formerly|meaning|means|meant|the word|the term|a term|slang|heraldry|dictionary|definition|defined|derogatory|pejorative|spelling|plural|translated|wedlock|pronounced) ",
+    "reported": r" (?:moderators?|moderation|removed a post|historians?|propaganda|pamphlets?|slandered|court|sentenced|police|convicted|ballad|novel|film|play|song|poem|murdered|crime|researchers|survey|policy|guidelines|reported|century|law|newspaper|trial|jury|final|match|season|tournament|league|championship) ",
     "quoted": rf" (?:called|calls|calling|named|labelled|described) (?:\w+ ){{1,3}}(?:a|an) (?:\w+ )?(?:{_I}) | (?:the|a) (?:word|insult|slur|term|phrase) (?:{_I}) ",
-    "medical": r" (?:infections?|condom|provider|examination|vaginal|nipples the|breast (?:examination|cancer|milk)|symptoms?|sexually transmitted|oral sex so|patients?|clinic|doctor|pregnan\w+) ",
-    "nature": r" (?:crows at dawn|nursed|pups|gathers its prey|male mounts|beetle gathers|nest on|the great tit|booby|rapeseed|cocktail|prey|hen|rooster|donkey|breeds? in) ",
-    "technical": r" (?:process|orphaned children|systemctl|chmod|rsync|mount|grep|tar|wire|terminal|open ports|penetration test|plate|server|thread|screw the) ",
-    "about_things": r" (?:of mine is|damn it|stupidly heavy|silly) ",
+    "medical": r" (?:infections?|condoms?|provider|examination|vagina|vaginal|penile|cervical|breast(?:feeding|fed)?|symptoms?|sexually transmitted|patients?|clinic|doctor|nurse|hospital|treatment|tablets?|dose|pregnan\w+|screening|cancer|biopsy|test) ",
+    "nature": r" (?:bird|birds|beetle|beetles|hen|hens|rooster|donkey|donkeys|pups|puppies|calf|foal|nest|nests|nesting|prey|species|male|males|female|females|mates|mating|mounts|dawn|feathers|wings|eggs|larvae|breeds? in|flowers|seeds?|oil|crop|crops|harvest|forest|river|marsh|shore|nursed|sow|ewe|cocktail|recipe) ",
+    "technical": r" (?:process|processes|parent|orphaned|children with|daemon|command|shell|script|mount|wire|terminal|ports?|penetration|plate|server|thread|screw|bolt|circuit|voltage|kernel|log|file|files|directory|socket|jack|plug|connector|pipe|valve) ",
+    "about_things": r" (?:(?:silly|stupid|damn|bloody|wretched) \w+ of (?:mine|ours)|of mine is|damn it|stupidly \w+) ",
 }
+#: Voters that speak on a word or a loose shape alone, and so are right less often.
+WEAK = frozenset(("compared", "insult_word", "profanity", "harsh_you", "armed", "remains", "unwanted", "stereotyped"))
 NAMES = [*POSITIVE, *NEGATIVE]
-_PATTERNS = [(re.compile(p), 1) for p in POSITIVE.values()] + [(re.compile(p), -1) for p in NEGATIVE.values()]
+_FOR, _AGAINST = [re.compile(p) for p in POSITIVE.values()], [re.compile(p) for p in NEGATIVE.values()]
 #: Words that the gate prefers to look for; what they leave open, ``_gate`` adds.
-_PREFERRED = frozenset(INSULTS) | frozenset(ADJECTIVES) | frozenset(PROFANITY) | frozenset(DEHUMANISED) | frozenset(
-    "yourself yourselves urself die without waste cares scraped wiped stepped flushed ashamed shame cry weep let yours funeral failure something thing creature brother mother father family parents "
-    "burn smash break cut beat kill hurt stab shoot strangle bury slit hunt choke drown crush murder rape coming live find body laugh address road lock watch sleep gun knife hammer axe bat rope rifle shotgun machete blade "
-    "human people soul race kind driven locked cages caged rid exterminated deported wiped breed breeds steal steals stink stinks wash disease nature trust hire chance ausgerottet verjagt todos purse fingers door honest decent sane out started began "
-    "thighs legs sucked licked screwed rode straddled came erection cock throbbed swelled moaning begged spreading touching free hot wet girls ladies uncensored belt sweating naked undressed photos picture beg top sign "
-    "shut lost hell piss screw delete account read gueule degage creve fresse mierda maul typical another only what never marry thieves liars criminals killers cheats beggars rapists blood video videos photo asked leave favour favor put tuer crever buter frapper matar matarte romper romperte dich".split()
-)
+_PREFERRED = frozenset(INSULTS + ADJECTIVES + PROFANITY + DEHUMANISED + HARM + HARM_ABROAD + WEAPONS + REMAINS + REMOVED_ABROAD + CRIMINALS + SEX_PARTS + SEX_ACTS + SEX_TRADE)
 _ANY = "\0"  #: stands for \\w in a wording
-_COMMON = frozenset("a an the all and are as at be by de du es he i in is it la les like me my no of off on or out she that they this to too tous und up we when who you your youre ur must should ought need have has had".split())
+_COMMON = frozenset("a an the all and are as at be by de du es he i in is it la les like me my no of off on or out she that they this to too tous und up we when who you your youre ur must should ought need have has had for will than not which where would what when like from find get take put make know want those these some that one so do did people thing something man men woman women life fire without".split())
 
 
 def wordings(tree: parser.SubPattern) -> list[str]:
@@ -94,19 +114,23 @@ def wordings(tree: parser.SubPattern) -> list[str]:
     return out
 
 
-def _gate() -> frozenset[str]:
-    """Words of which every wording of every voter for abuse has at least one; a wording without a preferred word gives its longest uncommon one."""
+def _gate(pattern: str) -> set[str]:
+    """Words of which every wording of a pattern has at least one: those of the lists above where there are any, else its longest uncommon one."""
     got: set[str] = set()
-    for pattern in POSITIVE.values():
-        for wording in wordings(parser.parse(pattern)):
-            words = [w for w in wording.split() if _ANY not in w]
-            if _PREFERRED.isdisjoint(words) and got.isdisjoint(words):
-                got.add(max(words, key=lambda w: (w not in _COMMON, len(w), w)))  # raises where a wording has no fixed word
-    return _PREFERRED | got
+    for wording in wordings(parser.parse(pattern)):
+        words = [w for w in wording.split() if _ANY not in w]
+        if got.isdisjoint(words):
+            got.add(max(words, key=lambda w: (w in _PREFERRED, w not in _COMMON, len(w), w)))  # raises where a wording has no fixed word
+    return got
 
 
-#: Words without which no voter for abuse speaks, derived from the patterns; a passage without any is silent.
-TRIGGERS = _gate()
+#: For each word the voters for abuse that cannot speak without it or another such word, as bits; derived from the patterns.
+_OPENS: dict[str, int] = {}
+for _i, _p in enumerate(POSITIVE.values()):
+    for _w in _gate(_p):
+        _OPENS[_w] = _OPENS.get(_w, 0) | 1 << _i
+#: Words without which no voter for abuse speaks; a passage without any is silent.
+TRIGGERS = frozenset(_OPENS)
 
 _LEET = str.maketrans("013457$@!|€+", "oieastsaiiet")
 _SPACED = re.compile(r"^[^\w$@]*([a-z0-9$@!])((?:[.\-_·•*/ ][a-z0-9$@!]){2,})[^\w]*$")
@@ -194,9 +218,12 @@ def passages(text: str | None) -> Iterator[list[str]]:
 
 
 def votes(passage: list[str]) -> str | None:
-    """One character for each voter (p, n or .), or None where all are silent for want of a trigger word."""
+    """One character for each voter (p, n or .), or None where all voters for abuse are silent. Only patterns that a word opens are tried."""
     if TRIGGERS.isdisjoint(passage):
         return None
+    opened = 0
+    for w in passage:
+        opened |= _OPENS.get(w, 0)
     s = " " + " ".join(passage) + " "
-    out = "".join(("p" if v > 0 else "n") if p.search(s) else "." for p, v in _PATTERNS)
-    return out if "p" in out else None
+    out = "".join("p" if opened >> i & 1 and p.search(s) else "." for i, p in enumerate(_FOR))
+    return out + "".join("n" if p.search(s) else "." for p in _AGAINST) if "p" in out else None

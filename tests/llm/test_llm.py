@@ -394,6 +394,35 @@ def test_held_out_accuracy(spark):
     assert right / len(rows) > 0.95
 
 
+# Wordings that neither the labelled table nor the voters' authors took from anywhere: written for this test.
+UNSEEN_ABUSE = """You lot have the brains of a doorknob, you absolute muppets.|I swear I will knock your teeth down your throat.|Those people are nothing but leeches and ought to be shipped back.|Crawl back under your rock, you spineless worm.
+I hope someone runs you over on your way home.|He pushed her onto the bed and she moaned as his hands found her breasts.|You are too stupid to breathe.|We are going to find you and break your fingers one by one.|Women like you should be kept on a leash.|Every single one of them is a thief by blood.
+Strip, spread your legs and let me ride you.|Nobody would miss you if you jumped.|Go drown yourself in a ditch.|What a pathetic little creep you are.|They are animals and should be put down.|Shut your filthy mouth, you lying whore.|Your kids deserve to burn with you.|Hot singles want to meet you tonight, nude webcam live.""".replace("\n", "|").split("|")
+UNSEEN_SOBER = """The knife should be washed before you cut the bread.|Breast cancer screening is offered to women over fifty.|He was killed in the war and buried at sea.|The rats are kept in clean cages and fed twice a day.|Click here to watch the video about bees.|The word bastard once meant a child born out of wedlock.
+You will find the body of the text below.|The hunters shot three pigs near the river.|Nobody asked for a refund.|She stroked the cat and it purred.|Dogs like you to scratch their ears.|The play ends when the king is murdered by his brother.|Put your name on the list.|Kill the process, then start the server again.
+People from the north were expelled in 1492.|The plague came with ships.|You must never leave the stove on.|The naked eye can see six of the stars.""".replace("\n", "|").split("|")
+
+
+def test_unseen_wording(spark):
+    """Recall on wordings that are in neither the voters' source nor the samples; the README reports it."""
+    data = DATA.replace("0.001", "0.01")
+    classifier, _ = abuse.train(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/abuse_samples.parquet").distinct())
+    found = [classifier.best(t) >= abuse.THRESHOLD for t in UNSEEN_ABUSE]
+    false = [t for t in UNSEEN_SOBER if classifier.best(t) >= abuse.THRESHOLD]
+    print("unseen wording: found", sum(found), "of", len(found), "false", false, "missed", [t for t, f in zip(UNSEEN_ABUSE, found) if not f])
+    assert sum(found) >= 0.6 * len(found) and len(false) <= 2
+
+
+def test_sample_is_that_of_the_smallest_hashes():
+    kept = abuse.Smallest(5)
+    texts = [[f"w{i}"] for i in range(300)] * 2
+    for t in texts:
+        kept.add(t, "p")
+    import zlib
+
+    assert [p for _, p in sorted(kept.rows)[:5]] == sorted({t[0] for t in texts}, key=lambda w: zlib.crc32(w.encode()))[:5] and len(kept.rows) <= 11
+
+
 def test_abuse_tables(spark):
     samples = spark.createDataFrame([("You are a worthless moron.", "insult"), ("The kiln is warm.", "none"), (None, "none"), ("x", None)], "text string, category string")
     docs = spark.createDataFrame([(1, "Wiki", "The kiln is warm."), (2, "wiki ", "Fine day.\nYou are a w0rthless mоrоn, nothing more."), (3, None, None), (4, " ", "")], "doc_id long, source string, text string").withColumn("score", F.lit("clash"))
