@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kernwerk.session import bounded_rows, cut_lineage, replicated
+from kernwerk.session import bounded_rows, cut_lineage, hash_sample, replicated
 
 K = 5
 RADIUS_PART = 8  #: neighbours differ in at most a ``RADIUS_PART``-th of the dimensions
 ROUTE_FACTOR, TREE_FACTOR = 2.5, 1.0  #: 1 keeps the triangle inequality exact; larger values prune more than it allows
 SHARD, BLOCK, LEAF = 16_384, 65_536, 1024
-MAX_LISTS = 100_000
+MAX_LISTS = 50_000  #: lists whose centroids travel with the tasks
 SALTS = 16
 _STEP = 2048
 _SHIFT = 1 << 40
@@ -120,11 +120,13 @@ def route(reps: DataFrame, lists: DataFrame, radius_part: int, factor: float) ->
     """``reps`` with ``home`` (the list whose centroid is nearest) and ``visits`` (lists that may hold a neighbour).
 
     The centroids are the vantage points of the top level: a point of list j is nearer to centroid j than to the query's own, hence at
-    least half the difference of the query's two distances away. The lists are a fixed table, at most MAX_LISTS rows. An index without
-    lists has one list. Missing or wrong list ids do not matter, for the home is computed.
+    least half the difference of the query's two distances away. Any set of centroids gives the same result, so of more than about MAX_LISTS
+    lists those of the smallest hashes serve. An index without lists has one list. Missing or wrong list ids do not matter, for the home is
+    computed.
     """
     cents: dict[str, np.ndarray] = {}
-    got = bounded_rows(lists.where(F.col("centroids").isNotNull()).select("index_name", "list_id", "centroids").dropDuplicates(["index_name", "list_id"]), MAX_LISTS, "lists")
+    listed = lists.where(F.col("centroids").isNotNull()).groupBy("index_name", "list_id").agg(F.min("centroids").alias("centroids"))
+    got = bounded_rows(hash_sample(listed, ["index_name", "list_id"], MAX_LISTS), 2 * MAX_LISTS, "lists")
     for r in sorted(got, key=lambda r: (r[0] or "", r[1] or 0)):
         cents.setdefault(r["index_name"], []).append(np.where(np.asarray(r["centroids"], dtype=np.float32) > 0, 1.0, -1.0).astype(np.float32))
 
@@ -182,10 +184,12 @@ def similar_pairs(index: DataFrame, info: DataFrame, lists: DataFrame, k: int =
     sizes = reps.groupBy("index_name", F.col("home").alias("cell")).agg(F.count("*").alias("_points"))
     calls = reps.where(F.size("ids") <= k).select("index_name", F.explode("visits").alias("cell")).groupBy("index_name", "cell").agg(F.count("*").alias("_calls"))
     plan = sizes.join(calls, ["index_name", "cell"]).select("index_name", "cell", F.ceil(F.col("_points") / shard).cast("int").alias("_shards"), F.ceil(F.col("_calls") / block).cast("int").alias("_blocks"))
-    plan = F.broadcast(plan.limit(MAX_LISTS))  # a row for each list: at most MAX_LISTS of them
+    plan = cut_lineage(plan)
+    small = plan.count() <= MAX_LISTS  # a row for each list; more than these are joined on (list, salt) instead of being broadcast
+    with_plan = lambda df: df.join(F.broadcast(plan), ["index_name", "cell"]) if small else df.withColumn("_salt", F.pmod(F.xxhash64(rep), F.lit(SALTS)).cast("int")).join(replicated(plan, SALTS), ["index_name", "cell", "_salt"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    points = reps.withColumn("cell", F.col("home")).join(plan, ["index_name", "cell"]).select("index_name", "cell", F.pmod(F.xxhash64(rep), "_shards").cast("int").alias("shard"), every("_blocks").alias("block"), rep.alias("rep"), "codes", "ids")
-    asks = reps.where(F.size("ids") <= k).withColumn("cell", F.explode("visits")).join(plan, ["index_name", "cell"]).select("index_name", "cell", every("_shards").alias("shard"), F.pmod(F.xxhash64(rep, F.lit(1)), "_blocks").cast("int").alias("block"), rep.alias("rep"), "codes")
+    points = with_plan(reps.withColumn("cell", F.col("home"))).select("index_name", "cell", F.pmod(F.xxhash64(rep), "_shards").cast("int").alias("shard"), every("_blocks").alias("block"), rep.alias("rep"), "codes", "ids")
+    asks = with_plan(reps.where(F.size("ids") <= k).withColumn("cell", F.explode("visits"))).select("index_name", "cell", every("_shards").alias("shard"), F.pmod(F.xxhash64(rep, F.lit(1)), "_blocks").cast("int").alias("block"), rep.alias("rep"), "codes")
     key = ["index_name", "cell", "shard", "block"]
 
     def search(key_: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

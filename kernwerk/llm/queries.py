@@ -23,6 +23,10 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return S.oversized_pieces(table(spark, d, "sections")).distinct()
 
 
+def p2_audit(spark: SparkSession, d: str) -> DataFrame:
+    return S.audit(table(spark, d, "sections"))
+
+
 def p2_passages(spark: SparkSession, d: str) -> DataFrame:
     return S.passage_counts(table(spark, d, "sections"), table(spark, d, "articles"))
 
@@ -64,6 +68,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return T.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p8_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Encoded and decoded again: the texts themselves."""
+    return T.decode(p8_ids(spark, d)).select("doc_id", "text")
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     return A.scored(table(spark, d, "documents"), table(spark, d, "abuse_samples"))
 
@@ -89,7 +98,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return M.shares(used, members, domains, target)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_passages, p3_found, p3_spans, p4_found, p4_neighbours, p7_found, p7_ranked, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_audit, p2_passages, p3_found, p3_spans, p4_found, p4_neighbours, p7_found, p7_ranked, p8_ids, p8_texts, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 _P7 = """
 WITH best AS (
@@ -102,6 +111,10 @@ ORACLE = {
     "p2_found": r"""
 SELECT DISTINCT section_id, CAST(i - 1 AS INTEGER) AS block_no FROM (SELECT section_id, blocks, unnest(range(1, len(blocks) + 1)) AS i FROM sections)
 WHERE length(blocks[i]) > 2000 OR len(list_filter(regexp_split_to_array(blocks[i], '[ \t\r\n\x{00A0}]+'), lambda x: x <> '')) > 220""",
+    "p2_audit": r"""
+SELECT DISTINCT section_id, CAST(i - 1 AS INTEGER) AS block_no, true AS within_limits, true AS covered, true AS overlapping FROM (SELECT section_id, blocks, unnest(range(1, len(blocks) + 1)) AS i FROM sections)
+WHERE length(blocks[i]) > 2000 OR len(list_filter(regexp_split_to_array(blocks[i], '[ \t\r\n\x{00A0}]+'), lambda x: x <> '')) > 220""",
+    "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p7_found": _P7 + "SELECT query, pack, passage_id FROM ranked WHERE rank <= 10",
     "p7_ranked": _P7 + "SELECT query, rank, pack, passage_id, rrf FROM ranked WHERE rank <= 10",
 }

@@ -55,7 +55,7 @@ def _units(text: str, fragment: int) -> tuple[list[int], list[int], list[int]]:
 def cut_spans(texts: list[str], max_words: int, max_chars: int, overlap: int) -> list[list[tuple[int, int, int, int]]]:
     """(start, end, words, overlapping words with the piece before) of the pieces of each text.
 
-    The overlap is ``overlap`` words, or a quarter of a piece of very few words. In a word of more than FRAGMENT
+    The overlap is ``overlap`` words, but at most half of a piece, so that pieces of few words still move on. In a word of more than FRAGMENT
     characters the overlap counts fragments.
 
     Every word of every text is a node. One vectorised step joins each node to its farthest legal cut (both limits), moves that cut back to
@@ -90,7 +90,7 @@ def cut_spans(texts: list[str], max_words: int, max_chars: int, overlap: int) ->
         cut = np.where((cut < 0) & (found >= least), found, cut)
     cut = np.where(cut < 0, farthest, cut)
     reaching = np.searchsorted(farthest, cut + 1)  # the first node whose piece can hold the word after the cut
-    succ = np.where(cut == stop, n, np.maximum(cut - np.minimum(overlap, (cut - node) // 4), reaching))
+    succ = np.where(cut == stop, n, np.maximum(cut - np.minimum(overlap, (cut - node) // 2), reaching))
     jump = np.append(succ, n)
     reached = np.zeros(n + 1, dtype=bool)
     reached[first[np.asarray(size) > 0]] = True
@@ -148,6 +148,27 @@ def oversized_pieces(sections: DataFrame, max_words: int = MAX_WORDS, max_chars:
     return rows.select("section_id", "article_id", "block_no", "piece_no", "s.start", "s.end", "s.n_words", "s.n_overlap", text.alias("text"))
 
 
+def audit(sections: DataFrame, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """(section_id, block_no, within_limits, covered, overlapping) of the oversized blocks, checked from the cut positions alone.
+
+    Within the limits: every piece has at most ``max_words`` words and ``max_chars`` characters. Covered: nothing but blanks lies outside the
+    pieces. Overlapping: each piece but the first begins before the one before it ends, with at least the words asked for or half of those of
+    that piece (a word cut inside counts by its fragments, so there it is enough that the pieces touch). A map: no shuffle.
+    """
+    big = blocks_of(sections).where(is_oversized(F.col("block"), max_words, max_chars))
+    cut = big.withColumn("_s", spans_udf(max_words, max_chars, overlap)(F.col("block")))
+    part = lambda a, b: F.substring(F.col("block"), a + 1, F.greatest(b - a, F.lit(0)))
+    blank = lambda a, b: F.regexp_replace(part(a, b), BLANK, "") == ""
+    within = F.forall("_s", lambda s: (n_words(part(s["start"], s["end"])) <= max_words) & (s["end"] - s["start"] <= max_chars))
+    pairs = F.arrays_zip(F.slice("_s", 1, F.size("_s") - 1).alias("a"), F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))).alias("b"))
+    first, last = F.element_at("_s", 1), F.element_at("_s", -1)
+    covered = blank(F.lit(0), first["start"]) & blank(last["end"], F.length("block")) & F.forall(pairs, lambda p: blank(p["a"]["end"], p["b"]["start"]))
+    shared = lambda p: n_words(part(p["b"]["start"], p["a"]["end"]))
+    long_word = F.col("block").rlike(f"[^ \\t\\r\\n\u00a0]{{{FRAGMENT + 1},}}")
+    overlapping = F.forall(pairs, lambda p: (shared(p) >= F.least(F.lit(overlap), F.floor(p["a"]["n_words"] / 2))) | (long_word & (p["b"]["start"] <= p["a"]["end"])))
+    return cut.select("section_id", "block_no", within.alias("within_limits"), covered.alias("covered"), overlapping.alias("overlapping")).distinct()
+
+
 def passage_counts(sections: DataFrame, articles: DataFrame, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """(article_id, n_passages, n_stated): passages counted from the pieces, beside the largest stated count; 0 for an article without sections.
 

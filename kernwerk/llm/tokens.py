@@ -11,7 +11,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 DEFAULT_PATH = os.environ.get("KERNWERK_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
@@ -56,12 +56,27 @@ class Contractor:
         self.con = duckdb.connect()
         self.con.execute("SET threads = 1")
         self.con.execute("SET memory_limit = '300MB'")
+        self.con.execute("SET temp_directory = ''")  # a query that does not fit fails; nothing is spilled beside the worker
         table = pd.DataFrame([(a, b, r, m) for (a, b), (r, m) in self.merges.items()], columns=["l", "r", "rank", "m"], dtype="int32")
         self.con.register("_merges", table)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM _merges")
         self.con.unregister("_merges")
+        byte_of = {c: b for b, c in byte_symbols().items()}
+        pieces = pd.DataFrame({"id": pd.Series(list(vocab.values()), dtype="int32"), "piece": ["".join(f"{byte_of[c]:02x}" for c in t) if all(c in byte_of for c in t) else t.encode().hex() for t in vocab]})
+        self.con.register("_pieces", pieces)
+        self.con.execute("CREATE TABLE pieces AS SELECT * FROM _pieces")
+        self.con.unregister("_pieces")
         self.known: dict[str, list[int]] = {}
 
+    def decode(self, ids: list[list[int] | None]) -> list[str]:
+        """The texts of id lists: token-position rows join the vocabulary, and one ordered aggregation joins each text's pieces. Unknown ids show nothing."""
+        rows = [(d, p, i) for d, x in enumerate(ids) if x is not None for p, i in enumerate(x)]
+        self.con.register("tokens", pd.DataFrame(rows, columns=["d", "pos", "id"], dtype="int32"))
+        got = self.con.execute("SELECT d, string_agg(piece, '' ORDER BY pos) AS raw FROM tokens JOIN pieces USING (id) GROUP BY d").fetchall()
+        self.con.unregister("tokens")
+        texts = {d: bytes.fromhex(raw).decode("utf-8", "replace") for d, raw in got}
+        return [texts.get(d, "") for d in range(len(ids))]
+
     def _heap(self, ids: list[int]) -> list[int]:
         """The same merges for one very long word: lowest rank first, leftmost among equals, in n log n."""
         n = len(ids)
@@ -136,6 +151,30 @@ def ids_udf(path: str, batch: int = 2000):
     return ids
 
 
+def text_udf(path: str, most: int = 500_000):
+    @F.pandas_udf(StringType())
+    def texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = contractor(path)
+        for ids in parts:
+            out: list[str] = []
+            held: list = []
+            n = 0
+            for x in ids.tolist():
+                held.append(x)
+                n += 0 if x is None else len(x)
+                if n >= most:
+                    out += c.decode(held)
+                    held, n = [], 0
+            yield pd.Series(out + c.decode(held), dtype="object")
+
+    return texts
+
+
+def decode(rows: DataFrame, ids: str = "ids", out: str = "text", tokenizers: str = DEFAULT_PATH, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``rows`` with the text of each list of token ids; null and empty lists give an empty text. The inverse of ``encode``, but for lone surrogates."""
+    return rows.withColumn(out, text_udf(f"{tokenizers}/{vocabulary}")(F.col(ids)))
+
+
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", tokenizers: str = DEFAULT_PATH, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with the token ids of each whole text, without special tokens; text that looks like one is ordinary text.
 

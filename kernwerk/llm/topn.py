@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kernwerk.session import replicated
+from kernwerk.session import cut_lineage, replicated
 
 STEPS = 64  #: histogram buckets for each factor e of the score
 SALTS = 16
@@ -31,7 +31,7 @@ def top_n(scored: DataFrame, group: list[str], item: list[str], score: str, n: i
     that holds many equal scores survives as a whole and is cut by the exact rank, whose limit runs before its shuffle too.
     Null group or item values are values of their own here; the caller filters groups it does not want.
     """
-    best = best_scores(scored, group, item, score).withColumn("_bucket", score_bucket(F.col("_score")))
+    best = cut_lineage(best_scores(scored, group, item, score).withColumn("_bucket", score_bucket(F.col("_score"))))  # written once, read for the histogram and for the filter
     counts = best.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
     above = F.sum("_n").over(Window.partitionBy(*group).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1))
     floor = counts.withColumn("_above", F.coalesce(above, F.lit(0))).where(F.col("_above") < n).groupBy(*group).agg(F.min("_bucket").alias("_floor"))
@@ -49,7 +49,10 @@ def top_candidates(records: DataFrame, cand: DataFrame, n: int = 10) -> DataFram
     """The ``n`` best passages (pack, passage_id) of each query text, exactly as written.
 
     Null and empty texts are no groups; candidates whose record is not there drop out; an item's score is its highest rrf in all records.
+    In place of its text a group is carried by two hashes of 64 bits, so that no text is shuffled with the candidates.
     """
-    texts = records.where(F.col("query").isNotNull() & (F.col("query") != "") & F.col("record_id").isNotNull()).select("record_id", "query").distinct()
-    rows = cand.select("record_id", "pack", "passage_id", "rrf").join(texts, "record_id")
-    return top_n(rows, ["query"], ["pack", "passage_id"], "rrf", n)
+    marks = [F.xxhash64("query").alias("_g"), F.xxhash64(F.lit(1), "query").alias("_h")]
+    texts = records.where(F.col("query").isNotNull() & (F.col("query") != "") & F.col("record_id").isNotNull()).select("record_id", "query")
+    rows = cand.select("record_id", "pack", "passage_id", "rrf").join(texts.select("record_id", *marks).distinct(), "record_id")
+    best = top_n(rows, ["_g", "_h"], ["pack", "passage_id"], "rrf", n)
+    return best.join(texts.select("query").distinct().select("query", *marks), ["_g", "_h"]).drop("_g", "_h")
