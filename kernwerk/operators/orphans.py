@@ -28,9 +28,10 @@ def orphans(refs: DataFrame, targets: DataFrame, salts: int = SALTS) -> DataFram
     1. The distinct keys of the references, with their earliest and latest time: one partial aggregation, in which a hot key shrinks to one
        row for each task. 2. A left anti-join drops the keys that some single life of the target covers from the earliest to the latest time;
        most keys end here. 3. The rest (missing keys, and keys with a gap) joins back to the references on (key, salt), so that one hot key
-       is spread over ``salts`` tasks. 4. Where the key has lives, they and its references are put in order of time, by key and day: the
-       latest end among the lives begun so far tells whether one is open. What earlier days leave open is carried from day to day, so that
-       neither a key with very many references nor one with very many lives meets in one task or in pairs.
+       is spread over ``salts`` tasks. 4. Where the key has lives, they and its references are put in order of key and time, in ranges of about
+       equal size: the latest end among the lives begun so far tells whether one is open. What earlier ranges of a key leave open is carried
+       from range to range, so that neither a key with very many references, even at one moment, nor one with very many lives meets in one
+       task or in pairs.
     A reference without a time counts only if its key has no life at all. Repeated rows count once, also where only some of a row's
     repetitions are orphans (a row with several versions is an orphan if one version is). An empty target table makes every reference one.
     """
@@ -41,14 +42,15 @@ def orphans(refs: DataFrame, targets: DataFrame, salts: int = SALTS) -> DataFram
     rows = cut_lineage(salted(refs, "ref_id", salts).join(replicated(suspects, salts), ["key", "_salt"]).select("ref_table", "ref_id", "key", "at", "_has"))  # few, and read three times
     missing = rows.where(F.col("_has").isNull()).select("ref_table", "ref_id", "key", "at", F.lit("missing").alias("reason"))
 
-    asked = rows.where(F.col("_has") & F.col("at").isNotNull()).select("ref_table", "ref_id", "key", F.to_date("at").alias("_day"), F.col("at").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(targets.schema["to"].dataType).alias("_to"))
+    asked = rows.where(F.col("_has") & F.col("at").isNotNull()).select("ref_table", "ref_id", "key", F.col("at").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(targets.schema["to"].dataType).alias("_to"))
     end = F.coalesce("to", F.lit("9999-12-31 00:00:00").cast(targets.schema["to"].dataType))
-    begun = targets.join(suspects.where("_has"), "key", "left_semi").select(F.lit(None).cast("string").alias("ref_table"), F.lit(None).cast("long").alias("ref_id"), "key", F.to_date("from").alias("_day"), F.col("from").alias("_t"), F.lit(0).alias("_kind"), end.alias("_to"))
-    events = asked.unionByName(begun)
-    days = events.groupBy("key", "_day").agg(F.max("_to").alias("_m"))
-    carry = days.select("key", "_day", F.max("_m").over(Window.partitionBy("key").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    so_far = F.max("_to").over(Window.partitionBy("key", "_day").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    held = events.withColumn("_now", so_far).where("_kind = 1").join(carry, ["key", "_day"], "left")
+    begun = targets.join(suspects.where("_has"), "key", "left_semi").select(F.lit(None).cast("string").alias("ref_table"), F.lit(None).cast("long").alias("ref_id"), "key", F.col("from").alias("_t"), F.lit(0).alias("_kind"), end.alias("_to"))
+    events = asked.unionByName(begun).repartitionByRange("key", "_t", "_kind", "ref_id").withColumn("_part", F.spark_partition_id())
+    events = cut_lineage(events)  # the ranges are written, so that a lost executor cannot move a row to another one
+    parts = events.groupBy("key", "_part").agg(F.max("_to").alias("_m"))
+    carry = parts.select("key", "_part", F.max("_m").over(Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    so_far = F.max("_to").over(Window.partitionBy("key", "_part").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = events.withColumn("_now", so_far).where("_kind = 1").join(carry, ["key", "_part"], "left")
     last = F.greatest("_now", "_carry")
     dead = held.where(last.isNull() | (last <= F.col("_t"))).select("ref_table", "ref_id", "key", F.col("_t").alias("at"), F.lit("not live").alias("reason"))
     return missing.unionByName(dead).distinct()

@@ -16,12 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where it is unset (tests on one machine) a temporary folder is used.
+    The folder is the session's ``spark.checkpoint.dir``. Only where it is unset and all runs on one machine (tests) a temporary folder is
+    used; a cluster without a shared folder is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="kernwerk-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -47,6 +47,25 @@ def test_units_brute_force(spark, props, names):
     assert pairs(spark, rows, props, names) == want
 
 
+def test_units_long_texts(spark, props, names):
+    after = "kilometres according to the survey of the land office, " + "which was made by hand and never repeated, " * 4
+    assert len(after) > 200
+    rows = [(1, "Q1", "P1", 1000.0, None, "m"), (2, "Q1", "P1", 1.0, None, after), (3, "Q1", "P1", None, f"1 {after}", None), (4, "Q1", "P1", 1.0, None, "word " * 60)]
+    assert pairs(spark, rows, props, names) == [(1, 2), (1, 3)]
+
+
+def test_units_hot_group(spark, props, names):
+    """Many statements of one unit do not meet each other: only the pairs across units come out, and no task holds the group."""
+    n = 30_000
+    hot = spark.range(n).select(F.col("id").alias("fact_id"), F.lit("Q1").alias("qid"), F.lit("P1").alias("pid"), F.when(F.col("id") < 3, 0.001).otherwise(1.0).alias("value_num"), F.lit(None).cast("string").alias("value_text"), F.when(F.col("id") < 3, "km").otherwise("m").alias("unit"), F.lit(None).cast("string").alias("point_in_time"), F.lit(1).alias("rank"))
+    assert U.agreeing_pairs(U.quantities(hot, props, names)).count() == 3 * (n - 3)
+
+
+def test_units_contradicting_rows(spark, props, names):
+    rows = [(1, "Q1", "P1", 1000.0, None, "m"), (1, "Q1", "P1", 2.0, None, "km"), (2, "Q1", "P1", 1.0, None, "km"), (3, "Q1", "P1", 2000.0, None, "m")]
+    assert pairs(spark, rows, props, names) == [(1, 2), (1, 3), (2, 3)][:2] and len(pairs(spark, rows[1:], props, names)) == 1
+
+
 def test_units_empty(spark, props, names):
     assert pairs(spark, [], props, names) == []
 
@@ -83,6 +102,14 @@ def test_orphans_hot_key(spark):
     assert O.orphans(refs, targets).count() == 20_000
 
 
+def test_orphans_hot_moment(spark):
+    """One key, one moment, very many references, some before and some after the end of a life."""
+    refs = spark.range(30_000).select(F.lit("t").alias("ref_table"), F.col("id").alias("ref_id"), F.lit("hot").alias("key"), F.when(F.col("id") % 3 == 0, F.lit(day(9))).otherwise(F.lit(day(5))).alias("at"))
+    targets = spark.createDataFrame([("hot", day(2), day(9)), ("hot", day(3), day(4)), ("hot", day(20), None)], "key string, from timestamp_ntz, to timestamp_ntz")
+    got = O.orphans(refs, targets)
+    assert got.count() == 10_000 and got.where("ref_id % 3 <> 0 or reason <> 'not live'").count() == 0
+
+
 def test_wide(spark, props):
     rows = [(1, "Q1", "P1", 5.0, None, None, "2000", 1), (2, "Q1", "P1", 6.0, None, None, "2001", 1), (3, "Q1", "P1", 7.0, None, None, "2001", 1), (3, "Q1", "P1", 7.0, None, None, "2001", 1), (4, "Q1", "P1", None, None, None, "2020", 2), (5, "Q1", "P2", None, "31 April 1733", None, None, 2), (6, "q1", "P2", None, "679 BC", None, None, 1), (7, "Q1", "P3", None, "n/a", None, None, 2), (8, "Q1", "P3", None, " Peru ", None, "44 BC", 1), (9, "Q2", "P9", 1.0), (10, "Q2", "P4", None, "2.5 million", None, None, None), (11, None, "P1", 1.0)]
     f = facts(spark, rows).withColumn("datatype", F.lit("clash")).withColumn("_r", F.lit(1))
