@@ -14,6 +14,7 @@ STOP_WORDS = (
 STEM = 6
 # Section names that hold no prose.
 SKIPPED_SECTIONS = ("see also", "references", "external links", "further reading", "notes", "related pages", "other websites", "sources", "bibliography", "citations", "footnotes", "gallery", "notes and references")
+# Fixed value: where one sentence of an article ends and the next begins.
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[\"'(\[]?[A-Z0-9])"
 
 

@@ -247,10 +247,11 @@ NONE = Unit(1.0, 1.0, 0.0, (0,) * len(AXES), "1")
 
 
 @lru_cache(maxsize=65536)
-def parse_unit(text: str, dims: tuple | None = None, prior: float = 12.0) -> Unit | None:
+def parse_unit(text: str, dims: tuple | None = None, prior: float = 12.0, least: float = float("-inf")) -> Unit | None:
     """The unit that ``text`` names, given the dimension of the field it stands in (the prior); None if there is no reading.
 
-    Words may follow a unit of the field's own dimension ("kilometres according to the survey"), however many.
+    Words may follow a unit of the field's own dimension ("kilometres according to the survey"), however many. With ``least``, the whole text
+    must be a unit, and its reading must score as much.
     """
     s = clean_unit(text)
     if s in ("", "1", "one", "count", "units", "unit"):
@@ -258,6 +259,8 @@ def parse_unit(text: str, dims: tuple | None = None, prior: float = 12.0) -> Uni
     ends = _segment(s)
     weight = lambda x: x[0] + (prior if dims is not None and x[1].dims == dims else 0.0)
     whole = max(ends[len(s)], key=weight) if len(s) in ends else None
+    if least > float("-inf"):
+        return whole[1] if whole and whole[0] > least else None
     if whole and (dims is None or whole[1].dims == dims or whole[0] > FARFETCHED):
         return whole[1]
     # Words follow the unit: the longest unit of the field's dimension that ends before them, unless a number is what follows.

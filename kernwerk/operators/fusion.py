@@ -50,7 +50,7 @@ def context(cand: DataFrame) -> DataFrame:
     return pack.select("*", *tops, *share)
 
 
-#: The features of a candidate that are known before its passage is loaded, in the order the weights expect.
+# The features of a candidate that are known before its passage is loaded, by the names and in the order that weight files have.
 CHEAP = "rrf s_in s_rr60 s_rr5 s_lr s_prr5 s_plr s_pnorm s_gnorm d_in d_rr60 d_rr5 d_lr d_prr5 d_plr d_norm both e_in e_rr kw_only s_share d_share pack_size s_rr60_share d_pnorm s_pz d_pz s_ptop d_ptop q_len s_top d_top s_rr60_qlen d_rr60_qlen".split()
 
 

@@ -121,11 +121,77 @@ def test_evaluate_errors(bad):
 def test_questions_that_compute():
     assert A.percent_line("What is 15 percent of 240?") == "15% of 240 = 36"
     assert A.percent_line("5-10% of 40") is None
-    assert A.conversion_line("10 miles in km") == "10 miles = 16.09 km"
-    assert A.conversion_line("how many centimetres are in a metre?") == "1 metre = 100 centimetres"
+    assert A.conversion_line("10 miles in km") == "10 mi = 16.09 km"
+    assert A.conversion_line("how many centimetres are in a metre?") == "1 m = 100 cm"
     assert A.conversion_line("10 miles in kg") is None
     assert A.speed("walking 5 km an hour") == pytest.approx(1.3889, abs=1e-4)
     assert A.speed("5-10 km an hour") is None
+    assert A.speed("a train at 60 mph for two hours") == pytest.approx(26.8224) and A.speed("20 metres per second") == pytest.approx(20.0)
+    assert A.speed("the 5 longest rivers of a country") is None and A.speed("") is None
+    assert A.metres(2, "miles") == pytest.approx(3218.688) and A.metres(2, "kg") is None
+
+
+@pytest.mark.parametrize("text,value", [("12,5", 12.5), ("1,5", 1.5), ("12,345", 12345.0), ("1,234,567.25", 1234567.25), ("-3.5", -3.5), ("1234,567", None), ("1,2,3", None), ("1,2345", None), ("", None), ("x", None), (".5", None), ("7", 7.0)])
+def test_numbers_of_questions(text, value):
+    assert A.parse_number(text) == value
+
+
+@pytest.mark.parametrize(
+    "question,line",
+    [
+        ("1,5 km in m", "1.5 km = 1500 m"),
+        ("10% of 1,5", "10% of 1.5 = 0.15"),
+        ("What is 12,5% of 80?", "12.5% of 80 = 10"),
+        ("what is 7.5 per cent of 1,200?", "7.5% of 1,200 = 90"),
+        ("5-10 miles in km", None),
+        ("5 - 10 miles in km", None),
+        ("5 ft 10 in in cm", None),
+        ("5–10% of 40", None),
+        ("how many cups are in a liter", "1 L = 4.227 US cups"),
+        ("How many cups are there in 2 gallons?", "2 US gal = 32 US cups"),
+        ("3 tbsp in ml", "3 tbsp = 44.36 ml"),
+        ("8 fl oz to ml", "8 fl oz = 236.6 ml"),
+        ("100 c in f", "100 °C = 212 °F"),
+        ("-40 degrees celsius to fahrenheit", "-40 °C = -40 °F"),
+        ("convert 10 in to cm", "10 in = 25.4 cm"),
+        ("5km to miles", "5 km = 3.107 mi"),
+        ("100 sq ft in m2", "100 sq ft = 9.29 m²"),
+        ("What is 1,234 feet in metres?", "1234 ft = 376.1 m"),
+        ("1500000 g in t", "1500000 g = 1.5 t"),
+        ("7 people in paris", None),
+        ("how many people are in a choir", None),
+        ("10 kg in km", None),
+        ("", None),
+    ],
+)
+def test_lines_of_questions(question, line):
+    assert (A.percent_line(question) or A.conversion_line(question)) == line
+
+
+def test_bare_questions():
+    assert A.percentage("What is 15% of 240?")[1] and not A.percentage("My bill is large, what is 15% of 240?")[1]
+    assert A.conversion_asked("convert 10 miles to km")[1] and not A.conversion_asked("my run was 10 miles in km")[1]
+
+
+@pytest.mark.parametrize("args,shown", [(["2017", "m"], "2017 m (6,617 ft)"), (["5", "km"], "5 km (3 mi)"), (["3.0", "km"], "3.0 km (1.9 mi)"), (["10", "-", "20", "km"], "10 to 20 km (6 to 12 mi)"), (["12", "sqkm"], "12 km² (5 sq mi)"), (["40", "mi2"], "40 sq mi (100 km²)"), (["30", "m3/s"], "30 m³/s (1,100 cu ft/s)"), (["20", "C"], "20 °C (68 °F)"), (["5", "furlongs"], "5 furlongs"), (["7", "x", "9", "m"], "7 x 9 m (23 x 30 ft)"), (["5", "km", "m"], "5 km"), (["5"], "5"), ([], "")])
+def test_conversions_in_pages(args, shown):
+    assert M.measure(args) == shown
+
+
+def test_dates_in_pages():
+    assert M.calendar_text(["1901", "7", "12"]) == "12 July 1901" and M.calendar_text(["1901", "13"]) == "1901" and M.calendar_text(["circa 5"]) == "circa 5" and M.calendar_text([]) == ""
+
+
+@pytest.mark.parametrize("text,kept", [("year[1] end.[2] [3] x[sic]", "year end. x[sic]"), ("end. [1] Next", "end. Next"), ("50%[4] so", "50% so"), ("a word[a] b", "a word[a] b"), ("done.[a] b", "done. b"), ("done. [a] b", "done. [a] b"), ("[1] first", "[1] first"), ("[1]", ""), ("f(x)[1] y", "f(x)[1] y"), ("so[note 4][nb 2] on", "so on"), ("so[citation needed].", "so[citation needed]."), ("in[0123] on", "in[0123] on"), ("it's'[5] on", "it's' on")])
+def test_reference_marks(text, kept):
+    assert P.strip_ref_marks(text) == kept
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab1 .é", max_size=700), st.integers(3, 30))
+def test_pieces_fit(text, limit):
+    got = P.pieces(text, limit)
+    assert "".join(got).replace(" ", "") == "".join(P.sentences(text)).replace(" ", "") and all(P.token_cost(p) <= limit for p in got)
 
 
 @pytest.mark.parametrize("x", [0.0, 12.0, -1234567.0, 0.5, 1234.56789, 0.0000144, 3e-13, 1e14])
