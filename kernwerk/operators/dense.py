@@ -9,7 +9,7 @@ from pyspark.sql.types import BinaryType
 import numpy as np
 import pandas as pd
 
-from kernwerk.session import bounded_rows
+from kernwerk.session import bounded_rows, small
 
 NPROBE, PROBE_CODES, HAMMING_K, DENSE_K = 48, 48_000, 1000, 200
 MAX_INDEXES = 1000
@@ -74,6 +74,33 @@ def listed_codes(index: DataFrame, lists: DataFrame, info: DataFrame) -> tuple[D
     return codes, centroids, codes.groupBy("index_name").agg(F.count("*").alias("n_codes")).join(known, "index_name")
 
 
+def assign_lists(index: DataFrame, lists: DataFrame, info: DataFrame, block_codes: int = BLOCK_CODES) -> DataFrame:
+    """(index_name, passage_id, list_id, score_micro): the list of each code of every index: the centroid with the largest inner product with its
+    ±1 numbers, ties to the smaller list. Repeated rows count once; null and cut-off codes, and indexes without centroids, have no list."""
+    known = info.groupBy("index_name").agg(F.min(F.col("dims").cast("int")).alias("dims"))
+    centroids = lists.join(known, "index_name").where(F.size("centroids") == F.col("dims")).groupBy("index_name", F.col("list_id").cast("long").alias("list_id")).agg(F.min("centroids").alias("c"))
+    codes = index.join(known, "index_name").where((F.length("codes") * 8 == F.col("dims")) & F.col("passage_id").isNotNull()).select("index_name", F.col("passage_id").cast("long").alias("passage_id"), "codes").distinct()
+    blocks = codes.groupBy("index_name").agg(F.ceil(F.count("*") / block_codes).cast("int").alias("blocks"))
+    sizes = small(blocks, MAX_INDEXES, "indexes")
+    a = codes.join(sizes, "index_name").withColumn("cb", F.pmod(F.xxhash64("passage_id"), F.col("blocks")).cast("int"))
+    b = centroids.join(sizes, "index_name").withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"index_name": pd.Series(dtype=object), "passage_id": pd.Series(dtype="int64"), "list_id": pd.Series(dtype="int64"), "score_micro": pd.Series(dtype="int64")})
+        y = y.sort_values("list_id")
+        c = np.stack(y["c"].tolist()).astype(np.float64)
+        bits = np.unpackbits(np.frombuffer(b"".join(x["codes"].tolist()), np.uint8).reshape(len(x), -1), axis=1).astype(np.float64) * 2 - 1
+        s = np.floor(bits @ c.T * 1e6 + 0.5).astype(np.int64)
+        at = s.argmax(axis=1)
+        return pd.DataFrame({"index_name": x["index_name"], "passage_id": x["passage_id"], "list_id": y["list_id"].to_numpy()[at], "score_micro": s[np.arange(len(s)), at]})
+
+    a, b = a.select("index_name", "cb", "passage_id", "codes"), b.select("index_name", "cb", "list_id", "c")
+    b = b.toDF("i", "k", "l", "x").toDF(*b.columns)  # columns of its own, for both sides have those of one table
+    keys = ["index_name", "cb"]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(nearest, "index_name string, passage_id long, list_id long, score_micro long")
+
+
 def probe_topk(queries: DataFrame, index: DataFrame, lists: DataFrame, info: DataFrame, probe_codes: int = PROBE_CODES, nprobe: int = NPROBE, hamming_k: int = HAMMING_K, k: int = DENSE_K, block_queries: int = BLOCK_QUERIES, block_codes: int = BLOCK_CODES) -> DataFrame:
     """(query_id, index_name, passage_id, list_id, distance, score_micro, rank): the two-stage search of every index for every query.
 

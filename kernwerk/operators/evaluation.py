@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,29 +70,102 @@ def pairwise_summary(rows: DataFrame) -> DataFrame:
     return s.withColumn("sign_p", sign_p(F.col("win"), F.col("loss")))
 
 
-def bootstrap(values: DataFrame, value: str, n: int = 1000, seed: int = 0) -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits that look random, from 64 bits: a public finaliser of multiplications and shifts."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def bootstrap(values: DataFrame, value: str, n: int = 10_000, seed: int = 0, key: str | None = None) -> DataFrame:
     """(mean, low, high): a 95 % interval of the mean by Poisson resampling.
 
-    Each row weighs, in each of n resamples, as often as a Poisson(1) number from its hash says: all resamples in one pass, in partial
-    sums, without drawing rows by index.
+    Each row weighs, in each of n resamples, as often as a Poisson(1) number from the hash of its ``key`` says (of all its columns without
+    one), so the interval does not depend on the layout. A task adds up all resamples of its rows; n partial sums a task are what is shuffled.
     """
-    rows = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("i"))
-    u = (F.pmod(F.xxhash64("i", "b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    edges, p, total = [], 2.718281828459045**-1, 0.0
-    for k in range(1, 9):
-        total += p
-        edges.append(total)
-        p /= k
-    weight = sum((F.when(u > e, 1).otherwise(0) for e in edges), F.lit(0))
-    per = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n)))).groupBy("b").agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("m"))
+    seen = F.xxhash64(*([key] if key else values.columns), F.lit(seed))
+    rows = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), seen.alias("i"))
+    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+
+    def resample(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, n))
+        for part in parts:
+            v, ids = part["v"].to_numpy(), part["i"].to_numpy().astype(np.uint64)
+            for a in range(0, len(v), 256):
+                for b in range(0, n, 4096):
+                    which = np.arange(b, min(n, b + 4096), dtype=np.uint64)
+                    u = _mixed(_mixed(ids[a : a + 256])[:, None] + which[None, :] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
+                    w = np.searchsorted(edges, u * 2.0**-53)
+                    sums[0, b : b + len(which)] += v[a : a + 256] @ w
+                    sums[1, b : b + len(which)] += w.sum(axis=0)
+        yield pd.DataFrame({"b": np.arange(n), "s": sums[0], "w": sums[1]})
+
+    per = rows.mapInPandas(resample, "b int, s double, w double").groupBy("b").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     ci = per.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return rows.agg(F.avg("v").alias("mean")).crossJoin(ci).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))  # one row each
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """The value at index round((n − 1) p) of the sorted values; halves round up."""
-    listed = F.array_sort(F.collect_list(value))
-    return F.get(listed, F.floor((F.count(value) - 1) * p + 0.5).cast("int"))
+def nearest_rank(rows: DataFrame, group: str, value: str, ps: tuple[float, ...]) -> DataFrame:
+    """(group, p, value): for each p the value at index round((n − 1) p) of the group's sorted values; halves round up. Nulls do not count.
+
+    A histogram of each group tells in which bucket the index lies; only the distinct values of that bucket are put in order.
+    """
+    v = F.col(value).cast("double")
+    bucket = F.floor(F.signum(v) * F.log1p(F.abs(v)) * 64).cast("long")
+    seen = rows.where(v.isNotNull() & ~F.isnan(v)).groupBy(F.col(group).alias("g"), v.alias("v"), bucket.alias("b")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    bins = seen.groupBy("g", "b").agg(F.sum("n").alias("n")).withColumn("end", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
+    asked = bins.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).withColumn("at", F.floor((F.col("all") - 1) * F.col("p") + 0.5))
+    asked = asked.where((F.col("at") >= F.col("end") - F.col("n")) & (F.col("at") < F.col("end"))).select(F.col("g").alias("h"), F.col("b").alias("c"), "p", (F.col("at") - F.col("end") + F.col("n")).alias("off"))
+    inside = seen.join(asked, F.col("g").eqNullSafe(F.col("h")) & (F.col("b") == F.col("c")))
+    end = F.sum("n").over(Window.partitionBy("g", "b", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("end", end).where((F.col("off") >= F.col("end") - F.col("n")) & (F.col("off") < F.col("end"))).select(F.col("g").alias(group), "p", F.col("v").alias("value"))
+
+
+def judged_summary(rows: DataFrame, group: str) -> DataFrame:
+    """The measures of judged answers for each group and overall (null group): scores of both sides and the ratio of their means, outcomes,
+    sufficiency of the evidence (full, partial, none) also of lost answers, sentence checks, expectations, abstentions and decoding rates.
+
+    Columns that do not apply to a row are null there. A mean or share over nothing is null.
+    """
+    judged, labelled = F.col("outcome").isNotNull(), F.col("sufficiency").isNotNull()
+    share = lambda a, b: F.when(b > 0, a / b)
+    ours, base = F.avg(F.when(judged, F.col("ours"))), F.avg(F.when(judged, F.col("baseline")))
+    lost = judged & (F.col("outcome") == "loss") & labelled
+    return rows.rollup(group).agg(
+        F.grouping(group).cast("long").alias("overall"), F.count("*").alias("n"), F.count_if(judged).alias("n_judged"), ours.alias("ours"), base.alias("baseline"), share(ours, base).alias("score_ratio"),
+        *[F.count_if(F.col("outcome") == o).alias(o) for o in ("win", "tie", "loss")], *[F.count_if(F.col("sufficiency") == x).alias(f"evidence_{x}") for x in ("full", "partial", "none")],
+        F.count_if(lost & (F.col("sufficiency") == "full")).alias("lost_with_full"), F.count_if(lost & (F.col("sufficiency") != "full")).alias("lost_with_thin"), F.avg(F.col("n_relevant") / F.nullif(F.col("n_sources"), F.lit(0))).alias("relevant_share"),
+        *[share(F.sum(c), F.sum("sentences")).alias(f"{c}_rate") for c in ("unverified", "uncited")], F.avg("cites").alias("cites"), F.count("expect_ok").alias("expect_n"), F.count_if("expect_ok").alias("expect_pass"), share(F.count_if("expect_ok"), F.count("expect_ok")).alias("expect_rate"),
+        F.count("abstain_ok").alias("abstain_n"), F.count_if("abstain_ok").alias("abstain_pass"), F.sum(F.coalesce("invented", F.lit(0))).alias("invented"), F.percentile(F.when(F.col("decode_ms") > 0, F.col("gen_tokens") / F.col("decode_ms") * 1000), F.lit(0.5)).alias("decode_rate"), F.count("error").alias("errors"),
+    )
+
+
+def gate_checks(new: DataFrame, old: DataFrame, pairs: DataFrame, rolls: int = 1, slack: float = 0.01) -> DataFrame:
+    """(check, ok): the six release checks of a run against another. ``new`` and ``old`` are rows as for ``judged_summary`` with ``canary``;
+    ``pairs`` has an outcome for each question. No errors; every canary right, and there is one; the rate of unverified sentences within the
+    slack; no fewer expected answers; no more than ``rolls`` fewer abstentions; no significant loss in pairs, and there are some. A check
+    that has nothing to compare is left out.
+    """
+    rest = F.col("canary").isNull() | ~F.col("canary")
+
+    def counts(df: DataFrame, p: str) -> DataFrame:
+        rate = F.sum(F.when(rest, F.col("unverified"))) / F.nullif(F.sum(F.when(rest, F.col("sentences"))), F.lit(0))
+        return df.agg(F.count("error").alias(f"{p}_errors"), F.count_if("canary").alias(f"{p}_canary"), F.count_if(F.col("canary") & F.coalesce("expect_ok", F.lit(False))).alias(f"{p}_right"), rate.alias(f"{p}_unverified"), *[x for c in ("expect", "abstain") for x in (F.count_if(rest & F.col(f"{c}_ok").isNotNull()).alias(f"{p}_{c}_n"), F.count_if(rest & F.coalesce(f"{c}_ok", F.lit(False))).alias(f"{p}_{c}"))])
+
+    j = counts(new, "new").crossJoin(counts(old, "old")).crossJoin(pairwise_summary(pairs))  # one row each
+    worse = (F.col("loss") > F.col("win")) & (F.col("sign_p") < 0.05)
+    checks = {
+        "errors": F.col("new_errors") == 0,
+        "canary": (F.col("new_canary") > 0) & (F.col("new_right") == F.col("new_canary")),
+        "unverified": F.when(F.col("new_unverified").isNotNull() & F.col("old_unverified").isNotNull(), F.col("new_unverified") <= F.col("old_unverified") + slack),
+        "expected": F.when(F.col("new_expect_n") > 0, F.col("new_expect") >= F.col("old_expect")),
+        "abstention": F.when(F.col("new_abstain_n") > 0, F.col("new_abstain") >= F.col("old_abstain") - rolls),
+        "pairs": (F.col("n") > 0) & ~worse,
+    }
+    return j.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("ok")) for k, v in checks.items()])).alias("c")).select("c.check", "c.ok").where("ok is not null")
 
 
 def run_summary(rows: DataFrame, group: str) -> DataFrame:

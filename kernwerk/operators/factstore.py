@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kernwerk.functions.text import fact_line, format_number
+from kernwerk.session import small
 
-MAX_ITEMS = 6
+MAX_ITEMS, MAX_PROPERTIES = 6, 10_000
 
 
 def best_rank(rows: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:
@@ -72,7 +73,7 @@ def informative(entity: Column, label: Column, value: Column) -> Column:
 def relevance(queries: DataFrame, props: DataFrame) -> DataFrame:
     """(query_id, pid, relevance): cosine of question and property less the question's mean over all properties. Both vectors are unit length."""
     dot = F.aggregate(F.zip_with("q", "p", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = queries.join(F.broadcast(props), F.lit(True)).withColumn("cos", dot)  # properties: a fixed table of some hundred rows
+    pairs = queries.crossJoin(small(props, MAX_PROPERTIES, "properties")).withColumn("cos", dot)  # a stated set against a checked one
     return pairs.select("query_id", "pid", (F.col("cos") - F.avg("cos").over(Window.partitionBy("query_id"))).alias("relevance"))
 
 

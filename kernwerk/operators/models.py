@@ -79,14 +79,22 @@ def encode(df: DataFrame, text: str, out: str, make: Callable[[], Encoder] = Has
 
 
 def rerank(hits: DataFrame, query: str, text: str, out: str = "rerank", make: Callable[[], PairScorer] = OverlapScorer) -> DataFrame:
-    """Adds the pair score of a query and a text column."""
+    """Adds the pair score of a query and a text column: all texts of a query in an Arrow batch go to the model together, longest first."""
     from pyspark.sql.types import DoubleType
 
     @F.pandas_udf(DoubleType())
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = make()
         for q, t in parts:
-            yield pd.Series([float(model.score(a or "", [b or ""])[0]) for a, b in zip(q.tolist(), t.tolist())])
+            queries, texts = [a or "" for a in q.tolist()], [b or "" for b in t.tolist()]
+            groups: dict[str, list[int]] = {}
+            for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+                groups.setdefault(queries[i], []).append(i)
+            got = [0.0] * len(texts)
+            for a, at in groups.items():
+                for i, v in zip(at, model.score(a, [texts[i] for i in at])):
+                    got[i] = float(v)
+            yield pd.Series(got)
 
     return hits.withColumn(out, run(F.col(query), F.col(text)))
 

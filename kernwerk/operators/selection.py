@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kernwerk.functions.dates import time_text
 from kernwerk.functions.prose import select_pieces, token_cost
 from kernwerk.functions.text import coordinates, numbers, url_page
+from kernwerk.session import cut_lineage, replicated, salted
 
 
 def gap_cut(hits: DataFrame, by: list[str], score: str, ties: list[str], gap: float, keep: int = 3) -> DataFrame:
@@ -76,6 +77,36 @@ def training_questions(rows: DataFrame, source: str, key: str, text: str, held_o
     return free.withColumn("_p", pick).where(F.col("_p") <= n).drop("_k", "_f", "_p")
 
 
+def near_duplicates(rows: DataFrame, key: str, text: str, share: float = 0.6, salts: int = 8) -> DataFrame:
+    """(a, b): pairs a < b of texts whose word sets overlap by ``share`` (Jaccard) or more. Words are runs of letters and digits of any script.
+
+    Words are put in order of rarity. Two sets that overlap so much share one of the first n − ceil(share × n) + 1 words of both, so only
+    rows that share such a rare word meet; function words are among these only in texts that have little else. A word that very many rows
+    have still is spread over ``salts`` tasks. Texts of one word set are represented by the smallest key; texts without words have no pairs.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    sets = cut_lineage(rows.select(F.col(key).alias("k"), F.array_sort(words).alias("w")).where(F.size("w") > 0).groupBy("w").agg(F.min("k").alias("k")))
+    each = sets.select("k", F.explode("w").alias("x"))
+    df = each.groupBy("x").agg(F.count("*").alias("df"))
+    ordered = each.join(df, "x").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))  # a set of words: bounded by its text
+    n = F.size("o")
+    first = ordered.select("k", n.alias("n"), F.transform("o", lambda s: s["x"]).alias("w"), F.explode(F.slice(F.col("o"), F.lit(1), (n - F.ceil(F.lit(share) * n) + 1).cast("int"))).alias("f")).select("k", "n", "w", F.col("f.x").alias("x"))
+    a, b = (first.select(F.col("k").alias(k), F.col("n").alias(f"n{k}"), F.col("w").alias(f"w{k}"), "x") for k in ("a", "b"))
+    met = salted(a, "a", salts).join(replicated(b, salts), ["x", "_salt"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(share) * F.greatest("na", "nb")))
+    both = F.size(F.array_intersect("wa", "wb"))
+    return met.where(both >= F.lit(share) * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct()
+
+
+def replayed_cut(hits: DataFrame, by: str, teacher: str, score: str, ties: list[str], keeps: tuple[int, ...], n: int = 8) -> DataFrame:
+    """(keep, recall, questions): the mean share of the teacher's best n hits that a pool cut to its first ``keep`` by score would hold."""
+    top = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(teacher), *ties))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), *ties))
+    best = hits.withColumn("_t", top).withColumn("_p", place).where(F.col("_t") <= n)
+    per = best.groupBy(by).agg(*[F.avg((F.col("_p") <= k).cast("int")).alias(f"k{k}") for k in keeps])
+    rows = per.select(F.explode(F.array(*[F.struct(F.lit(k).alias("keep"), F.col(f"k{k}").alias("r")) for k in keeps])).alias("x"))
+    return rows.groupBy("x.keep").agg(F.avg("x.r").alias("recall"), F.count("*").alias("questions"))
+
+
 def pool_recall(pools: DataFrame, by: str, teacher: str, in_pool: str, ties: list[str], n: int = 8) -> DataFrame:
     """The mean share of the teacher's best n hits that a pool holds."""
     best = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(teacher), *ties))

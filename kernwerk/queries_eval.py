@@ -75,7 +75,32 @@ def latency_percentiles(spark, d):
 
 
 def latency_nearest_rank(spark, d):
-    return _records(spark, d).groupBy("intent").agg(E.nearest_rank("total_ms", 0.5).alias("p50"), E.nearest_rank("total_ms", 0.9).alias("p90"))
+    at = E.nearest_rank(_records(spark, d), "intent", "total_ms", (0.5, 0.9))
+    return at.groupBy("intent").agg(F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("p50"), F.max(F.when(F.col("p") == 0.9, F.col("value"))).alias("p90"))
+
+
+def _judged(spark, d):
+    """Records with verdicts made up from their own numbers: the tables hold no judgments."""
+    r = _records(spark, d)
+    k = F.col("record_id")
+    return r.select(
+        "record_id", "intent", "error", "n_sources", (k % 5).cast("double").alias("ours"), (k % 4 + 1).cast("double").alias("baseline"),
+        F.when(k % 7 == 0, None).when(k % 5 > k % 4 + 1, "win").when(k % 5 < k % 4 + 1, "loss").otherwise("tie").alias("outcome"),
+        F.when(k % 3 == 0, "full").when(k % 3 == 1, "partial").when(k % 6 == 2, "none").alias("sufficiency"), F.least(F.col("n_sources"), k % 4).alias("n_relevant"),
+        (k % 9 + 1).alias("sentences"), (k % 2).alias("unverified"), (k % 3).alias("uncited"), (k % 6).alias("cites"), F.when(k % 4 == 0, k % 8 == 0).alias("expect_ok"), F.when(k % 5 == 0, k % 10 == 0).alias("abstain_ok"),
+        F.when(k % 5 == 0, k % 2).alias("invented"), "evidence_tokens", F.col("evidence_tokens").alias("gen_tokens"), F.col("total_ms").alias("decode_ms"), (k % 11 == 0).alias("canary"), "think",
+    )
+
+
+def judged_report(spark, d):
+    s = E.judged_summary(_judged(spark, d), "intent")
+    rates = ("ours", "baseline", "score_ratio", "relevant_share", "unverified_rate", "uncited_rate", "cites", "expect_rate", "decode_rate")
+    return s.select(*[c for c in s.columns if c not in rates], *[micro(F.col(c)).alias(c) for c in rates])
+
+
+def gate_checks(spark, d):
+    r = _judged(spark, d)
+    return E.gate_checks(r.where("think"), r.where("not think"), r.where("outcome is not null").select("outcome", (F.col("ours") - F.col("baseline")).alias("diff")))
 
 
 def stage_times(spark, d):
@@ -104,7 +129,7 @@ def round_robin_sheet(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    return E.bootstrap(_records(spark, d), "total_ms", 400)
+    return E.bootstrap(_records(spark, d), "total_ms", key="record_id")
 
 
 def most_common_source(spark, d):
@@ -203,11 +228,13 @@ def _computed(q: pd.Series) -> pd.Series:
 
 def computed_lines(spark, d):
     p = table(spark, d, "part")
-    asked = F.concat(F.lit("what is "), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.lit("% of 240?")).otherwise(F.lit(" miles in km?")))
+    n, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    forms = ("what is {n}% of 240?", "what is {n},5 percent of 200", "convert {n} ft to in", "{n}-60 miles in km", "how many cups are in {n} gallons?", "what is {n}% of {n} people")
+    asked = F.element_at(F.array(*[F.regexp_replace(F.lit(f), r"\{n\}", n) for f in forms]), (kind + 1).cast("int"))
     return p.select("p_partkey", F.array_join(_computed(asked), ";").alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (recall_at_k, hit_at_k, ndcg_at_k, auc_pairwise, pairwise_summary, change_list, sign_test, order_outcomes, latency_percentiles, latency_nearest_rank, stage_times, run_summary_rollup, release_gate, stratified_sample, round_robin_sheet, bootstrap_ci, most_common_source, run_islands, history_lookback, recent_ring, telemetry_windows, history_turns, followup_join, chunk_documents, pack_articles, dense_ids, first_passages, top_articles, evidence_pack, citation_check, sentence_claims, computed_lines)}
+QUERIES = {f.__name__: f for f in (recall_at_k, hit_at_k, ndcg_at_k, auc_pairwise, pairwise_summary, change_list, sign_test, order_outcomes, latency_percentiles, latency_nearest_rank, stage_times, judged_report, gate_checks, run_summary_rollup, release_gate, stratified_sample, round_robin_sheet, bootstrap_ci, most_common_source, run_islands, history_lookback, recent_ring, telemetry_windows, history_turns, followup_join, chunk_documents, pack_articles, dense_ids, first_passages, top_articles, evidence_pack, citation_check, sentence_claims, computed_lines)}
 
 _M = "CAST(floor(({x}) * 1e6 + 0.5) AS BIGINT)"
 _R = "r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY rrf DESC, cand_id) AS rank FROM (SELECT DISTINCT * FROM cand WHERE rrf IS NOT NULL AND NOT isnan(rrf)))"
@@ -230,6 +257,18 @@ ORACLE = {
     "stage_times": f"WITH {_Q}, s AS (SELECT unnest(stages) AS s FROM q) SELECT s.stage AS stage, count(*) AS n, {_M.format(x='quantile_cont(s.ms, 0.5)')} AS p50, max(s.ms) AS most FROM s GROUP BY 1",
     "run_summary_rollup": f"WITH {_Q} SELECT intent, grouping(intent)::BIGINT AS overall, count(*) AS n, count(error) AS errors, count(*) FILTER (n_sources = 0) AS no_sources, {_M.format(x='avg(n_sources)')} AS sources, {_M.format(x='avg(evidence_tokens)')} AS tokens, {_M.format(x='quantile_cont(total_ms, 0.5)')} AS p50, {_M.format(x='quantile_cont(total_ms, 0.9)')} AS p90, {_M.format(x='quantile_cont(ttft_ms, 0.5)')} AS first_p50 FROM q GROUP BY ROLLUP (intent)",
     "release_gate": f"WITH {_Q}, s AS (SELECT think, count(error) AS e, count(*) FILTER (n_sources = 0) / count(*)::DOUBLE AS u, quantile_cont(total_ms, 0.5) AS t FROM q GROUP BY 1), j AS (SELECT n.e AS ne, o.e AS oe, n.u AS nu, o.u AS ou, n.t AS nt, o.t AS ot FROM s n, s o WHERE n.think AND NOT o.think) SELECT 'errors' AS \"check\", ne <= oe AS ok FROM j UNION ALL SELECT 'unsourced', nu <= ou + 0.01 FROM j UNION ALL SELECT 'median_time', nt <= ot * 1.01 FROM j",
+    "computed_lines": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size || '% of 240 = ' || _t(p_size * 2.4) WHEN 1 THEN p_size || '.5% of 200 = ' || (2 * p_size + 1) WHEN 2 THEN p_size || ' ft = ' || (12 * p_size) || ' in' WHEN 4 THEN p_size || ' US gal = ' || (16 * p_size) || ' US cups' ELSE '' END AS line FROM part".replace("_t(p_size * 2.4)", "regexp_replace(printf('%.1f', p_size * 2.4), '\\.0$', '')"),
+    "judged_report": f"""WITH {_Q}, k AS (SELECT *, record_id AS k FROM q), j AS (SELECT intent, error, n_sources, (k % 5)::DOUBLE AS ours, (k % 4 + 1)::DOUBLE AS baseline, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 5 > k % 4 + 1 THEN 'win' WHEN k % 5 < k % 4 + 1 THEN 'loss' ELSE 'tie' END AS o,
+  CASE WHEN k % 3 = 0 THEN 'full' WHEN k % 3 = 1 THEN 'partial' WHEN k % 6 = 2 THEN 'none' END AS s, k, evidence_tokens / total_ms * 1000 AS rate FROM k)
+SELECT intent, grouping(intent)::BIGINT AS overall, count(*) AS n, count(o) AS n_judged, {_M.format(x='avg(ours) FILTER (o IS NOT NULL)')} AS ours, {_M.format(x='avg(baseline) FILTER (o IS NOT NULL)')} AS baseline, {_M.format(x='avg(ours) FILTER (o IS NOT NULL) / avg(baseline) FILTER (o IS NOT NULL)')} AS score_ratio,
+  count(*) FILTER (o = 'win') AS win, count(*) FILTER (o = 'tie') AS tie, count(*) FILTER (o = 'loss') AS loss, count(*) FILTER (s = 'full') AS evidence_full, count(*) FILTER (s = 'partial') AS evidence_partial, count(*) FILTER (s = 'none') AS evidence_none,
+  count(*) FILTER (o = 'loss' AND s = 'full') AS lost_with_full, count(*) FILTER (o = 'loss' AND s <> 'full') AS lost_with_thin, {_M.format(x='avg(least(n_sources, k % 4) / nullif(n_sources, 0)::DOUBLE)')} AS relevant_share, {_M.format(x='sum(k % 2) / sum(k % 9 + 1)::DOUBLE')} AS unverified_rate, {_M.format(x='sum(k % 3) / sum(k % 9 + 1)::DOUBLE')} AS uncited_rate, {_M.format(x='avg(k % 6)')} AS cites,
+  count(*) FILTER (k % 4 = 0) AS expect_n, count(*) FILTER (k % 8 = 0) AS expect_pass, {_M.format(x='count(*) FILTER (k % 8 = 0) / nullif(count(*) FILTER (k % 4 = 0), 0)::DOUBLE')} AS expect_rate, count(*) FILTER (k % 5 = 0) AS abstain_n, count(*) FILTER (k % 10 = 0) AS abstain_pass, sum(CASE WHEN k % 5 = 0 THEN k % 2 ELSE 0 END)::BIGINT AS invented,
+  {_M.format(x='quantile_cont(rate, 0.5)')} AS decode_rate, count(error) AS errors FROM j GROUP BY ROLLUP (intent)""",
+    "gate_checks": f"""WITH {_Q}, k AS (SELECT *, record_id AS k, record_id % 11 = 0 AS canary FROM q), g AS (SELECT think, count(error) AS e, count(*) FILTER (canary) AS c, count(*) FILTER (canary AND k % 8 = 0) AS r, sum(CASE WHEN NOT canary THEN k % 2 END) / sum(CASE WHEN NOT canary THEN k % 9 + 1 END)::DOUBLE AS u,
+  count(*) FILTER (NOT canary AND k % 8 = 0) AS x, count(*) FILTER (NOT canary AND k % 10 = 0) AS a FROM k GROUP BY 1), p AS (SELECT count(*) FILTER (k % 5 > k % 4 + 1) AS win, count(*) FILTER (k % 5 < k % 4 + 1) AS loss FROM k WHERE k % 7 <> 0), t AS (SELECT win, loss, {_TAIL.format(w='win', l='loss')} AS sign FROM p)
+SELECT 'errors' AS "check", e = 0 AS ok FROM g WHERE think UNION ALL SELECT 'canary', c > 0 AND r = c FROM g WHERE think UNION ALL SELECT 'unverified', n.u <= o.u + 0.01 FROM g n, g o WHERE n.think AND NOT o.think UNION ALL SELECT 'expected', n.x >= o.x FROM g n, g o WHERE n.think AND NOT o.think
+UNION ALL SELECT 'abstention', n.a >= o.a - 1 FROM g n, g o WHERE n.think AND NOT o.think UNION ALL SELECT 'pairs', NOT (loss > win AND sign < 0.05) FROM t""",
     "stratified_sample": "WITH q AS (SELECT DISTINCT id, category FROM eval_req), s AS (SELECT category, count(*) * 60.0::DOUBLE / sum(count(*)) OVER () AS quota FROM q GROUP BY 1), t AS (SELECT category, floor(quota) + CASE WHEN row_number() OVER (ORDER BY quota - floor(quota) DESC, category) <= 60 - sum(floor(quota)) OVER () THEN 1 ELSE 0 END AS take FROM s) SELECT id FROM (SELECT q.id, take, row_number() OVER (PARTITION BY q.category ORDER BY md5(id || ':0'), id) AS p FROM q JOIN t ON q.category = t.category) WHERE p <= take",
     "round_robin_sheet": "WITH q AS (SELECT DISTINCT id, category FROM eval_req) SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id) AS turn FROM q ORDER BY turn, category LIMIT 30",
     "most_common_source": f"WITH c AS (SELECT collection, {_SP} AS source, count(*) AS n FROM documents WHERE collection IS NOT NULL GROUP BY 1, 2) SELECT collection, sum(n)::BIGINT AS n, string_agg(source, ',' ORDER BY n DESC, source) AS sources FROM c WHERE source IS NOT NULL GROUP BY 1",

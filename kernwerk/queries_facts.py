@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from kernwerk.functions.keys import spelling
 from kernwerk.functions.text import SKIPPED_SECTIONS, normalize_title, strip_markdown
 from kernwerk.operators import factstore as K
+from kernwerk.operators import selection as X
 from kernwerk.operators import titles as TI
 from kernwerk.queries_text import micro
-from kernwerk.session import table
+from kernwerk.session import small, table
 
 
 def _facts(spark, d):
@@ -66,9 +67,10 @@ def unit_filtered_agg(spark, d):
 
 
 def two_hop_facts(spark, d):
-    names = table(spark, d, "entities").where("label is not null").select("qid", "label").distinct()
+    """From the thing an entity is named after to the entities with that motto, and on to their countries, kinds and currencies."""
     f = _facts(spark, d).withColumn("value_num", F.lit(None).cast("double"))
-    return K.two_hops(f.where("value_text is not null"), names, ["P9201", "P9202", "P9205"], ["P9201", "P9203", "P9209"])
+    names = f.where("pid = 'P9207' and value_text is not null").select("qid", F.col("value_text").alias("label")).distinct()
+    return K.two_hops(f.where("value_text is not null"), names, ["P9205"], ["P9201", "P9203", "P9209"])
 
 
 def derived_ratio(spark, d):
@@ -130,7 +132,9 @@ def linkable_articles(spark, d):
 
 
 def entity_spans(spark, d):
-    asked = table(spark, d, "query_record").where("query <> ''").select(F.col("record_id").cast("string").alias("query_id"), "query").distinct()
+    """Mentions in questions about an article and a redirect."""
+    r = table(spark, d, "redirects").where("from_title is not null and article_id is not null").groupBy("article_id").agg(F.min("from_title").alias("other"))
+    asked = _articles(spark, d).join(r, "article_id").select(F.col("article_id").cast("string").alias("query_id"), F.concat(F.lit("how far is "), "title", F.lit(" from "), "other", F.lit("?")).alias("query"))
     return TI.link(asked, _articles(spark, d), table(spark, d, "redirects"))
 
 
@@ -144,7 +148,7 @@ def pack_scope(spark, d):
     packs = table(spark, d, "documents").select(spelling(F.col("source")).alias("pack")).where("pack <> ''").distinct()
     req = table(spark, d, "eval_req").select("id", F.coalesce("packs", F.array()).cast("array<string>").alias("packs")).distinct()
     scoped = req.where("size(packs) > 0").select("id", F.explode("packs").alias("pack")).join(packs, "pack", "left_semi")
-    whole = req.where("size(packs) = 0").select("id").join(F.broadcast(packs), F.lit(True))  # packs: at most 255 by the format
+    whole = req.where("size(packs) = 0").select("id").crossJoin(small(packs, 255, "packs"))
     return scoped.unionByName(whole.select("id", "pack"), allowMissingColumns=False).select("id", "pack").distinct()
 
 
@@ -155,11 +159,10 @@ def dedupe_first(spark, d):
 
 
 def near_duplicate_questions(spark, d):
-    """Pairs of a robust question and an evaluation question with a word Jaccard of 0.6 or more; candidates share a word, so nothing is crossed."""
-    t = lambda name: table(spark, d, name).where("trim(query) <> ''").select("id", F.array_distinct(F.split(normalize_title(F.regexp_replace("query", "[^A-Za-z ]", "")), " ")).alias("w")).distinct()
-    a, b = t("robust").toDF("a", "wa"), t("eval_req").toDF("b", "wb")
-    common = a.select("a", "wa", F.explode("wa").alias("x")).join(b.select("b", "wb", F.explode("wb").alias("x")), "x").groupBy("a", "b").agg(F.count("*").alias("n"), (F.first(F.size("wa")) + F.first(F.size("wb"))).alias("m"))
-    return common.where(F.col("n") * 10 >= (F.col("m") - F.col("n")) * 6).select("a", "b")
+    """Pairs of questions, as asked and as searched, that share six words in ten or more."""
+    r = table(spark, d, "query_record")
+    q = r.select(F.col("query").alias("q")).unionByName(r.select(F.col("search_query").alias("q"))).where("trim(q) <> ''").distinct()
+    return X.near_duplicates(q.withColumn("k", F.col("q")), "k", "q")
 
 
 def namespace_filter(spark, d):
@@ -192,7 +195,7 @@ ORACLE = {
     "labels_min_by": "SELECT qid, arg_min(label, (CASE WHEN deleted_at IS NULL THEN 0 ELSE 1 END, label)) AS label FROM entities WHERE label IS NOT NULL GROUP BY 1",
     "aliases_joined": "SELECT qid, string_agg(DISTINCT alias, '|' ORDER BY alias) AS aliases FROM (SELECT qid, unnest(string_split(aliases, '|')) AS alias FROM entities) GROUP BY 1",
     "unit_filtered_agg": "SELECT qid, coalesce(min(trim(unit)) FILTER (length(trim(unit)) <= 3), min(trim(unit))) AS unit, count(*) FILTER (unit IS NULL) AS n_null FROM unit_name GROUP BY 1",
-    "two_hop_facts": f"WITH {_F} SELECT DISTINCT a.qid, a.pid AS via_pid, e.qid AS bridge, c.pid, c.value_text AS value FROM f a JOIN (SELECT DISTINCT qid, label FROM entities WHERE label IS NOT NULL) e ON lower(a.value_text) = lower(e.label) JOIN f c ON c.qid = e.qid WHERE a.pid IN ('P9201', 'P9202', 'P9205') AND c.pid IN ('P9201', 'P9203', 'P9209') AND c.value_text IS NOT NULL",
+    "two_hop_facts": f"WITH {_F} SELECT DISTINCT a.qid, a.pid AS via_pid, e.qid AS bridge, c.pid, c.value_text AS value FROM f a JOIN (SELECT DISTINCT qid, value_text AS label FROM f WHERE pid = 'P9207' AND value_text IS NOT NULL) e ON lower(a.value_text) = lower(e.label) JOIN f c ON c.qid = e.qid WHERE a.pid = 'P9205' AND c.pid IN ('P9201', 'P9203', 'P9209') AND c.value_text IS NOT NULL",
     "derived_ratio": f"WITH {_F}, g AS (SELECT qid, arg_min(value_num, fact_id) FILTER (pid = 'P9015') AS a, arg_min(value_num, fact_id) FILTER (pid = 'P9004') AS b FROM f WHERE value_num IS NOT NULL GROUP BY 1) SELECT qid, {_M.format(x='a / b')} AS ratio_micro FROM g WHERE a IS NOT NULL AND b <> 0",
     "compare_values": f"WITH {_F}, v AS (SELECT pid, qid, max(value_num) AS value FROM f WHERE value_num IS NOT NULL GROUP BY 1, 2) SELECT pid, {_M.format(x='max(value) - min(value)')} AS difference_micro, max(value) AS larger, min(value) AS smaller FROM v GROUP BY 1 HAVING count(*) >= 2",
     "fact_semi_join": "SELECT DISTINCT qid FROM entities WHERE qid IN (SELECT qid FROM facts)",
@@ -207,7 +210,7 @@ ORACLE = {
     "sections_kept": "SELECT DISTINCT section_id FROM sections WHERE coalesce(len(list_filter(path, lambda p: lower(p) IN (" + ", ".join(f"'{x}'" for x in (*SKIPPED_SECTIONS, "economy")) + "))), 0) = 0",
     "pack_scope": r"WITH p AS (SELECT DISTINCT lower(trim(regexp_replace(source, '[\s\x{00A0}]+', ' ', 'g'))) AS pack FROM documents WHERE trim(source) <> '') SELECT DISTINCT id, pack FROM (SELECT id, unnest(packs) AS pack FROM eval_req WHERE len(packs) > 0) WHERE pack IN (SELECT pack FROM p) UNION SELECT DISTINCT id, pack FROM eval_req, p WHERE coalesce(len(packs), 0) = 0",
     "dedupe_first": "SELECT min(doc_id) AS doc_id FROM documents WHERE trim(text) <> '' GROUP BY md5(lower(trim(text)))",
-    "near_duplicate_questions": "WITH a AS (SELECT DISTINCT id AS a, list_distinct(string_split(" + _KEY.format(c="regexp_replace(query, '[^A-Za-z ]', '', 'g')") + ", ' ')) AS wa FROM robust WHERE trim(query) <> ''), b AS (SELECT DISTINCT id AS b, list_distinct(string_split(" + _KEY.format(c="regexp_replace(query, '[^A-Za-z ]', '', 'g')") + ", ' ')) AS wb FROM eval_req WHERE trim(query) <> '') SELECT a, b FROM a, b WHERE len(list_intersect(wa, wb)) > 0 AND len(list_intersect(wa, wb)) * 10 >= (len(wa) + len(wb) - len(list_intersect(wa, wb))) * 6",
+    "near_duplicate_questions": r"WITH t AS (SELECT min(q) AS id, w FROM (SELECT q, list_sort(list_filter(list_distinct(regexp_split_to_array(lower(q), '[^\p{L}\p{N}]+')), lambda w: w <> '')) AS w FROM (SELECT query AS q FROM query_record UNION SELECT search_query FROM query_record) WHERE trim(q) <> '') WHERE len(w) > 0 GROUP BY w) SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w)) * 10 >= (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) * 6",
     "namespace_filter": "SELECT DISTINCT article_id FROM articles WHERE article_id % 4 <> 0",
     "plain_titles": r"SELECT DISTINCT article_id, trim(regexp_replace(replace(replace(replace(title, '*', ''), '__', ''), '`', ''), '\s+', ' ', 'g')) AS title FROM articles",
 }

@@ -54,12 +54,12 @@ def dense_exact_topk(spark, d):
 
 def dense_hamming_topk(spark, d):
     q, r = (x.withColumn("vector", D.pack_bits("vector")) for x in _vectors(spark, d))
-    return BS.block_top_k(q, r, 10, BS.minus_hamming)
+    return BS.block_top_k(q, r, D.HAMMING_K, BS.minus_hamming)
 
 
 def dense_asym_topk(spark, d):
     q, r = _vectors(spark, d)
-    return BS.block_top_k(q, r.withColumn("vector", D.pack_bits("vector")), 10, BS.asymmetric)
+    return BS.block_top_k(q, r.withColumn("vector", D.pack_bits("vector")), D.DENSE_K, BS.asymmetric)
 
 
 def dense_pack_words(spark, d):
@@ -90,15 +90,8 @@ def ivf_probe_topk(spark, d):
 
 
 def ivf_assign(spark, d):
-    """The list of each code: the centroid with the largest inner product, ties to the smaller list id."""
-    lists = table(spark, d, "dense_lists").select("index_name", F.col("list_id").cast("long").alias("id"), F.col("centroids").alias("vector"))
-    codes = table(spark, d, "dense_index").join(table(spark, d, "dense_info"), "index_name").where(F.length("codes") * 8 == F.col("dims")).select("index_name", F.col("passage_id").alias("query_id"), F.col("codes").alias("vector")).distinct()
-    flip = lambda a, b: BS.asymmetric(b, a).T
-    out = None
-    for name in ("main", "notes"):
-        top = BS.block_top_k(codes.where(F.col("index_name") == name).drop("index_name"), lists.where(F.col("index_name") == name).drop("index_name"), 1, flip, keep_self=True).select(F.lit(name).alias("index_name"), F.col("query_id").alias("passage_id"), F.col("id").alias("list_id"), "score_micro")
-        out = top if out is None else out.unionByName(top)
-    return out
+    """The list of each code of every index."""
+    return D.assign_lists(table(spark, d, "dense_index"), table(spark, d, "dense_lists"), table(spark, d, "dense_info"))
 
 
 def _cand(spark, d):
@@ -144,7 +137,7 @@ def _hits(spark, d):
 
 
 def fused_pool(spark, d):
-    return FU.fused_pool(_hits(spark, d), "score", ["record_id"], ["pack", "article"], ["pack", "passage_id"], keep=8).select("record_id", "pack", "passage_id", "pool_rank", micro(F.col("rank_score")).alias("rank_score_micro"))
+    return FU.fused_pool(_hits(spark, d), "score", ["record_id"], ["pack", "article"], ["pack", "passage_id"], keep=FU.FUSE_KEEP).select("record_id", "pack", "passage_id", "pool_rank", micro(F.col("rank_score")).alias("rank_score_micro"))
 
 
 def select_diverse(spark, d):
@@ -153,7 +146,7 @@ def select_diverse(spark, d):
 
 
 def near_top(spark, d):
-    return FU.near_top(_cand(spark, d), micro(F.col("rrf")), ["record_id"], 30, 5).select("cand_id")
+    return FU.near_top(_cand(spark, d), micro(F.col("rrf")), ["record_id"]).select("cand_id")
 
 
 def merge_pools(spark, d):
@@ -203,7 +196,7 @@ _C = "c AS (SELECT DISTINCT * FROM cand WHERE rrf IS NOT NULL AND NOT isnan(rrf)
 _RR = "coalesce(1.0::DOUBLE / ({k} + 1 + {r}), 0)"
 _RRF = f"({_RR.format(k=60, r='s.rank')} + {_RR.format(k=60, r='d.rank')} + 2 * {_RR.format(k=60, r='e')})"
 _EMB = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT vec_id AS id, embedding::DOUBLE[] AS w FROM embeddings)"
-_TOP = "SELECT query_id, id, score_micro, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_micro DESC, id) AS rank FROM sc) WHERE rank <= 10"
+_TOP = "SELECT query_id, id, score_micro, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_micro DESC, id) AS rank FROM sc) WHERE rank <= {k}"
 _CTX = f"""{_C}, p AS (SELECT record_id, pack, max(s.score) AS s_ptop, avg(s.score) AS s_mean, stddev_pop(s.score) AS s_sd, count(*) FILTER (s.rank < 50) AS s_best, max(d.score) AS d_ptop, avg(d.score) AS d_mean, stddev_pop(d.score) AS d_sd, count(*) FILTER (d.rank < 50) AS d_best FROM c GROUP BY 1, 2),
 x AS (SELECT *, max(s_ptop) OVER r AS s_top, max(d_ptop) OVER r AS d_top, s_best / greatest(sum(s_best) OVER r, 1)::DOUBLE AS s_share, d_best / greatest(sum(d_best) OVER r, 1)::DOUBLE AS d_share FROM p WINDOW r AS (PARTITION BY record_id))"""
 _LR = "ln(1 + coalesce({r}, 1000))"
@@ -219,19 +212,19 @@ _FEAT = {
 }
 _JOINED = f"WITH {_CTX}, j AS (SELECT c.*, x.* EXCLUDE (record_id, pack) FROM c JOIN x ON c.record_id = x.record_id AND c.pack = x.pack)"
 _HITS = f"{_C}, h AS (SELECT record_id, pack, passage_id, max({_M.format(x='rrf')}) AS score, passage_id // 8 AS article FROM c GROUP BY 1, 2, 3)"
-_CAPPED = """a AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, {t}) AS f FROM {h} QUALIFY f <= 24),
+_CAPPED = """a AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, {t}) AS f FROM {h} QUALIFY f <= {three}),
 b AS (SELECT *, row_number() OVER (PARTITION BY {by}, {art} ORDER BY score DESC, {t}) AS n FROM a QUALIFY n <= 4),
-z AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, {t}) - 1 AS pool_rank FROM b QUALIFY pool_rank < 8)"""
+z AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, {t}) - 1 AS pool_rank FROM b QUALIFY pool_rank < {keep})"""
 ORACLE = {
     "bm25_postings": f"WITH {_POST} SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY 1, 2",
     "bm25_field_stats": f"WITH {_POST} SELECT field, n, {_M.format(x='avg_len')} AS avg_len_micro FROM stat",
     "bm25_topk": f"WITH {_POST}, {_ASKED}, " + _bm25("top", "'title', 'section', 'body'", 200) + " SELECT * FROM top",
     "term_rarity": f"WITH {_POST} SELECT term, count(*) AS df, {_M.format(x='greatest(ln((SELECT count(*) FROM documents) / (1 + count(*))::DOUBLE), 0)')} AS rarity_micro FROM post WHERE field = 'body' GROUP BY 1",
     "hybrid_search": f"WITH {_POST}, {_ASKED}, " + _bm25("bod", "'title', 'section', 'body'", 200) + ", " + _bm25("tit", "'title'", 200) + f""", m AS (SELECT coalesce(b.query_id, t.query_id) AS query_id, coalesce(b.pid, t.pid) AS pid, {_M.format(x="coalesce(1.0::DOUBLE / (61 + b.rank), 0) + coalesce(1.0::DOUBLE / (61 + t.rank), 0)")} AS score FROM bod b FULL JOIN tit t ON b.query_id = t.query_id AND b.pid = t.pid),
-h AS (SELECT m.*, coalesce(collection, '') AS collection FROM m JOIN documents ON doc_id = pid), """ + _CAPPED.format(by="query_id", art="collection", t="pid", h="h") + " SELECT query_id, pid, score, pool_rank FROM z",
-    "dense_exact_topk": f"WITH {_EMB}, sc AS (SELECT query_id, id, {_M.format(x='list_dot_product(v, w)')} AS score_micro FROM q JOIN r ON query_id <> id) {_TOP}",
-    "dense_hamming_topk": f"WITH {_EMB}, sc AS (SELECT query_id, id, -1000000 * len(list_filter(list_zip(v, w), lambda x: (x[1] > 0) <> (x[2] > 0)))::BIGINT AS score_micro FROM q JOIN r ON query_id <> id) {_TOP}",
-    "dense_asym_topk": f"WITH {_EMB}, sc AS (SELECT query_id, id, {_M.format(x='list_dot_product(v, list_transform(w, lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END))')} AS score_micro FROM q JOIN r ON query_id <> id) {_TOP}",
+h AS (SELECT m.*, coalesce(collection, '') AS collection FROM m JOIN documents ON doc_id = pid), """ + _CAPPED.format(by="query_id", art="collection", t="pid", h="h", keep=8, three=24) + " SELECT query_id, pid, score, pool_rank FROM z",
+    "dense_exact_topk": f"WITH {_EMB}, sc AS (SELECT query_id, id, {_M.format(x='list_dot_product(v, w)')} AS score_micro FROM q JOIN r ON query_id <> id) {_TOP.format(k=10)}",
+    "dense_hamming_topk": f"WITH {_EMB}, sc AS (SELECT query_id, id, -1000000 * len(list_filter(list_zip(v, w), lambda x: (x[1] > 0) <> (x[2] > 0)))::BIGINT AS score_micro FROM q JOIN r ON query_id <> id) {_TOP.format(k=1000)}",
+    "dense_asym_topk": f"WITH {_EMB}, sc AS (SELECT query_id, id, {_M.format(x='list_dot_product(v, list_transform(w, lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END))')} AS score_micro FROM q JOIN r ON query_id <> id) {_TOP.format(k=200)}",
     "dense_pack_words": "SELECT vec_id, " + ", ".join(f"list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i + {32 * w}] > 0 THEN 1::BIGINT << (32 - i) ELSE 0 END))::BIGINT AS w{w}" for w in (0, 1)) + ", len(list_filter(embedding, lambda x: x > 0))::BIGINT AS ones FROM embeddings",
     "ivf_offsets": "WITH n AS (SELECT index_name, list_id, count(*) AS n FROM (SELECT DISTINCT index_name, passage_id, list_id FROM dense_index WHERE list_id IS NOT NULL) GROUP BY 1, 2) SELECT index_name, list_id, n, (sum(n) OVER w - n)::BIGINT AS start, (sum(n) OVER w)::BIGINT AS stop FROM n WINDOW w AS (PARTITION BY index_name ORDER BY list_id)",
     "ivf_list_stats": f"WITH n AS (SELECT index_name, list_id, count(*) AS n FROM (SELECT DISTINCT index_name, passage_id, list_id FROM dense_index WHERE list_id IS NOT NULL) GROUP BY 1, 2) SELECT index_name, count(*) AS lists, min(n) AS lo, max(n) AS hi, {_M.format(x='quantile_cont(n, 0.5)')} AS median_micro FROM n GROUP BY 1",
@@ -244,15 +237,18 @@ p AS (SELECT query_id, index_name, list_id, v, array_to_string(list_transform(v,
 h AS (SELECT query_id, index_name, passage_id, list_id, v, codes, bit_count(xor(b, codes::BIT))::BIGINT AS distance FROM p JOIN s USING (index_name, list_id) QUALIFY row_number() OVER (PARTITION BY index_name, query_id ORDER BY distance, list_id, passage_id) <= 1000),
 r AS (SELECT * EXCLUDE (v, codes), {_M.format(x="list_dot_product(v, list_transform(string_split(codes::BIT::VARCHAR, ''), lambda x: x::DOUBLE * 2 - 1))")} AS score_micro FROM h)
 SELECT *, row_number() OVER (PARTITION BY index_name, query_id ORDER BY score_micro DESC, list_id, passage_id, distance) AS rank FROM r QUALIFY rank <= 200""",
+    "ivf_assign": f"""WITH i AS (SELECT index_name, min(dims) AS dims FROM dense_info GROUP BY 1), l AS (SELECT DISTINCT index_name, list_id::BIGINT AS list_id, centroids::DOUBLE[] AS c FROM dense_lists JOIN i USING (index_name) WHERE len(centroids) = dims),
+s AS (SELECT DISTINCT index_name, passage_id, codes FROM dense_index JOIN i USING (index_name) WHERE octet_length(codes) * 8 = dims AND passage_id IS NOT NULL)
+SELECT index_name, passage_id, list_id, {_M.format(x="list_dot_product(c, list_transform(string_split(codes::BIT::VARCHAR, ''), lambda x: x::DOUBLE * 2 - 1))")} AS score_micro FROM s JOIN l USING (index_name) QUALIFY row_number() OVER (PARTITION BY index_name, passage_id, codes ORDER BY score_micro DESC, list_id) = 1""",
     "rrf_fusion": f"WITH {_C} SELECT cand_id, {_M.format(x=_RRF)} AS rrf_micro FROM c",
     "rrf_with_prior": f"SELECT article_id, {_M.format(x='0.005 * least(ln(1 + max(popularity)) / ln(10000001), 1)')} AS prior_micro FROM articles GROUP BY 1",
     "fusion_context": f"WITH {_CTX} SELECT record_id, pack, " + ", ".join(f"CAST(floor({x}_{n} * 1e5 + 0.37) AS BIGINT) AS {x}_{n}" for x in ("s", "d") for n in ("ptop", "mean", "sd", "top", "share")) + " FROM x",
     "fusion_features": f"{_JOINED} SELECT cand_id, " + ", ".join(f"{_M.format(x=v)} AS {k}" for k, v in _FEAT.items()) + " FROM j",
     "learned_fusion": f"{_JOINED} SELECT cand_id, " + _M.format(x=f"{_FEAT['rrf']} + 2 * {_FEAT['s_rr60']} + 3 * {_FEAT['d_rr60']} + 0.7 * tanh(0.05 + 0.5 * {_FEAT['rrf']} + 0.1 * {_FEAT['s_rr60']} + 0.2 * {_FEAT['d_rr60']})") + " AS score_micro FROM j",
     "global_and_pack_rank": f"WITH {_C} SELECT cand_id, row_number() OVER (PARTITION BY record_id ORDER BY s.score DESC, cand_id) - 1 AS rank, row_number() OVER (PARTITION BY record_id, pack ORDER BY s.score DESC, cand_id) - 1 AS prank FROM c WHERE s IS NOT NULL",
-    "fused_pool": f"WITH {_HITS}, " + _CAPPED.format(by="record_id", art="pack, article", t="pack, passage_id", h="h") + f" SELECT record_id, pack, passage_id, pool_rank, {_M.format(x='1.0::DOUBLE / (61 + pool_rank)')} AS rank_score_micro FROM z",
+    "fused_pool": f"WITH {_HITS}, " + _CAPPED.format(by="record_id", art="pack, article", t="pack, passage_id", h="h", keep=40, three=120) + f" SELECT record_id, pack, passage_id, pool_rank, {_M.format(x='1.0::DOUBLE / (61 + pool_rank)')} AS rank_score_micro FROM z",
     "select_diverse": f"WITH {_HITS}, a AS (SELECT *, row_number() OVER (PARTITION BY record_id, pack, article ORDER BY score DESC, pack, passage_id) AS n FROM h QUALIFY n <= 3) SELECT record_id, pack, passage_id, row_number() OVER (PARTITION BY record_id ORDER BY (n = 1 AND article = 3) DESC, score DESC, pack, passage_id) AS pick_rank FROM a QUALIFY pick_rank <= 8",
-    "near_top": f"WITH {_C} SELECT cand_id FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {_M.format(x='rrf')} DESC, pack, passage_id) - 1 AS pos FROM c) WHERE pos < 30 OR coalesce(s.rank < 30, false) OR coalesce(d.rank < 30, false) OR coalesce(s.prank < 5, false) OR coalesce(d.prank < 5, false) OR e IS NOT NULL",
+    "near_top": f"WITH {_C} SELECT cand_id FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {_M.format(x='rrf')} DESC, pack, passage_id) - 1 AS pos FROM c) WHERE pos < 150 OR coalesce(s.rank < 150, false) OR coalesce(d.rank < 150, false) OR coalesce(s.prank < 10, false) OR coalesce(d.prank < 10, false) OR e IS NOT NULL",
     "merge_pools": f"WITH {_HITS}, j AS (SELECT h.*, q.query FROM h JOIN (SELECT DISTINCT record_id, query FROM query_record WHERE query <> '') q ON q.record_id = h.record_id QUALIFY row_number() OVER (PARTITION BY query, pack, passage_id ORDER BY h.record_id) = 1) SELECT query, pack, passage_id, record_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, pack, passage_id) AS merged_rank FROM j QUALIFY merged_rank <= 80",
     "rank_blend": f"WITH {_HITS} SELECT record_id, pack, passage_id, {_M.format(x='0.3 * (1 - (row_number() OVER (PARTITION BY record_id ORDER BY score DESC, pack, passage_id) - 1)::DOUBLE / count(*) OVER (PARTITION BY record_id))')} AS blend_micro FROM h",
     "list_penalty": "SELECT DISTINCT article_id, CASE WHEN article_id % 5 < 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS penalty, CASE WHEN article_id % 3 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS pack_penalty FROM articles",

@@ -37,6 +37,11 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
+def small(df: DataFrame, limit: int, what: str) -> DataFrame:
+    """``df`` to be broadcast, once its rows are seen to be at most ``limit``; raises otherwise."""
+    return F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in bounded_rows(df, limit, what)], df.schema))
+
+
 def salted(df: DataFrame, id_col: str, salts: int) -> DataFrame:
     """Adds ``_salt`` in [0, salts) from a hash of ``id_col``: the same row gets the same salt in every attempt of a task."""
     return df.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int"))

@@ -47,7 +47,7 @@ def test_follow_ups(spark):
 
 def test_statistics(spark):
     v = spark.range(200).select((F.col("id") % 10).cast("double").alias("x"))
-    r = E.bootstrap(v, "x", 300).first()
+    r = E.bootstrap(v, "x", 2000).first()
     assert r.low < 4.5 < r.high and r.high - r.low < 1.2
     assert spark.range(1).select(E.sign_p(F.lit(0), F.lit(0)).alias("p")).first().p == 1.0
     assert abs(spark.range(1).select(E.sign_p(F.lit(9), F.lit(1)).alias("p")).first().p - 22 / 1024) < 1e-9
