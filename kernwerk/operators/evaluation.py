@@ -79,13 +79,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bootstrap(values: DataFrame, value: str, n: int = 10_000, seed: int = 0, key: str | None = None) -> DataFrame:
+def bootstrap(values: DataFrame, value: str, key: str, n: int = 10_000, seed: int = 0) -> DataFrame:
     """(mean, low, high): a 95 % interval of the mean by Poisson resampling.
 
-    Each row weighs, in each of n resamples, as often as a Poisson(1) number from the hash of its ``key`` says (of all its columns without
-    one), so the interval does not depend on the layout. A task adds up all resamples of its rows; n partial sums a task are what is shuffled.
+    Each row weighs, in each of n resamples, as often as a Poisson(1) number from the hash of its ``key``, which is unique, says, so the
+    interval does not depend on the layout. A task adds up all resamples of its rows; n partial sums a task are what is shuffled.
     """
-    seen = F.xxhash64(*([key] if key else values.columns), F.lit(seed))
+    seen = F.xxhash64(key, F.lit(seed))
     rows = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), seen.alias("i"))
     edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
 

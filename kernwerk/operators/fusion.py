@@ -38,6 +38,27 @@ def merge_lists(lists: list[tuple[DataFrame, str]]) -> DataFrame:
     return parts.groupBy("query_id", "pid").agg(*[F.min(n).alias(n) for _, n in lists])
 
 
+def candidates(sparse: DataFrame, dense: DataFrame | None, entity: DataFrame | None, packs: DataFrame) -> DataFrame:
+    """Candidate rows (record_id, pack, passage_id, s, d, e) of ranked lists (query_id, pid, score_micro, rank from 1), for the learned score.
+
+    ``packs`` has the pack of each pid. s and d are structs of the rank, the rank among the pack's candidates (both from 0) and the score; e is
+    the rank of the entity list. A candidate that a list lacks has null there.
+    """
+    kinds = [(df, n) for df, n in ((sparse, "s"), (dense, "d"), (entity, "e")) if df is not None]
+    parts = None
+    for df, name in kinds:
+        place = F.struct((F.col("rank") - 1).cast("int").alias("rank"), (F.col("score_micro") / 1e6 if name != "e" else F.lit(0.0)).alias("score"))
+        row = df.select("query_id", "pid", *[(place if n == name else F.lit(None).cast("struct<rank:int,score:double>")).alias(n) for n in ("s", "d", "e")])
+        parts = row if parts is None else parts.unionByName(row)
+    rows = parts.groupBy("query_id", "pid").agg(*[F.min(n).alias(n) for n in ("s", "d", "e")]).join(packs, "pid")
+
+    def within(name: str) -> Column:
+        place = F.row_number().over(Window.partitionBy("query_id", "pack").orderBy(F.col(f"{name}.rank").asc_nulls_last(), "pid")) - 1
+        return F.when(F.col(name).isNotNull(), F.struct(F.col(f"{name}.rank").alias("rank"), place.cast("int").alias("prank"), F.col(f"{name}.score").alias("score"))).alias(name)
+
+    return rows.select(F.col("query_id").alias("record_id"), "pack", F.col("pid").alias("passage_id"), within("s"), within("d"), F.col("e.rank").alias("e"))
+
+
 def context(cand: DataFrame) -> DataFrame:
     """Per record and pack: top, mean and population deviation of both lists, and the packs' share of the best 50; with the record's tops."""
     by = Window.partitionBy("record_id")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kernwerk.functions.text import tokens
+from kernwerk.session import cut_lineage, replicated, salted, stored
 
 K1, B = 1.2, 0.75
 BOOSTS = {"title": 3.0, "section": 1.5, "body": 1.0, "questions": 2.0}
 MAX_TOKEN = 40
+BUCKETS, SALTS = 16, 4
 # The English stop words of the usual index analyzer.
 INDEX_STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
@@ -33,6 +37,26 @@ def field_stats(passages: DataFrame, fields: dict[str, str]) -> DataFrame:
     return passages.select(F.explode(F.array(*sizes)).alias("x")).groupBy("x.field").agg(F.count("*").alias("n"), F.avg("x.len").alias("avg_len"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Postings and field statistics, made once and asked often."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+
+def store(passages: DataFrame, fields: dict[str, str]) -> Index:
+    """The index of passages as a table in the shared folder, in BUCKETS directories by a hash of the term: questions read only the buckets of
+    their terms. The postings of a frequent term are spread over several files of its bucket."""
+    rows = postings(passages, fields).withColumn("bucket", bucket(F.col("term")))
+    spread = rows.repartition("bucket", F.pmod(F.xxhash64("pid"), F.lit(SALTS)))
+    return Index(stored(spread, "postings", "bucket"), cut_lineage(field_stats(passages, fields)))
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 def bm25_scores(index: DataFrame, stats: DataFrame, queries: DataFrame, lists: dict[str, tuple[str, ...]], k1: float = K1, b: float = B, boosts: dict[str, float] = BOOSTS) -> DataFrame:
     """(query_id, pid, one score for each of ``lists``): boosted BM25 in micro units, a query's terms OR-ed over the fields of a list.
 
@@ -40,14 +64,20 @@ def bm25_scores(index: DataFrame, stats: DataFrame, queries: DataFrame, lists: d
     and the titles alone, come from one pass; a passage without a hit in a list has a null score there. A query without terms has no hits.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("query")))).alias("term"))
-    known = index.join(asked.select("term").distinct(), "term", "left_semi")
+    terms = asked.select("term").distinct()
+    if "bucket" in index.columns:  # a stored index: only the directories of the asked terms are read
+        some = [r["b"] for r in terms.select(bucket(F.col("term")).alias("b")).distinct().collect()]  # at most BUCKETS numbers
+        known = index.where(F.col("bucket").isin(some)).drop("bucket").join(terms, "term", "left_semi")
+    else:
+        known = index.join(terms, "term", "left_semi")
     df = known.groupBy("field", "term").agg(F.count("*").alias("df"))
     weight = F.create_map(*[x for f, w in boosts.items() for x in (F.lit(f), F.lit(w))])[F.col("field")]
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = known.join(df, ["field", "term"]).join(F.broadcast(stats), "field").select("term", "pid", "field", part.alias("part"))  # stats: one row a field
     total = lambda fields: F.floor(F.sum(F.when(F.col("field").isin(*fields), F.col("part"))) * 1e6 + 0.5).cast("long")
-    return asked.join(scored, "term").groupBy("query_id", "pid").agg(*[total(fields).alias(name) for name, fields in lists.items()])
+    met = salted(scored, "pid", SALTS).join(replicated(asked, SALTS), ["term", "_salt"])  # the postings of a common term are scored in several tasks
+    return met.groupBy("query_id", "pid").agg(*[total(fields).alias(name) for name, fields in lists.items()])
 
 
 def ranked(scores: DataFrame, name: str, k: int) -> DataFrame:

@@ -25,20 +25,53 @@ class Settings:
     fields: dict = field(default_factory=lambda: {"title": "title", "section": "section_path", "body": "text"})
 
 
+@dataclass(frozen=True)
+class LearnedFusion:
+    """A small fixed model over the cheap features: names of features, linear weights, one tanh layer."""
+
+    features: tuple[str, ...]
+    linear: list[float]
+    hidden: list[list[float]] = field(default_factory=list)
+    bias: list[float] = field(default_factory=list)
+    out: list[float] = field(default_factory=list)
+
+
 class Library:
-    """Passages (pid, article, title, section_path, text) with their index; made once, asked often."""
+    """Passages (pid, article, title, section_path, text; popularity and pack where there are any) with their index; made once, asked often.
 
-    def __init__(self, rows: DataFrame, settings: Settings | None = None) -> None:
+    The index is stored on first use, or given. ``dense`` and ``entities`` of ``pool`` are ranked lists (query_id, pid, score_micro, rank) that
+    other searches made, such as ``dense.probe_topk`` and ``titles.link``; without them the plan is sparse.
+    """
+
+    def __init__(self, rows: DataFrame, settings: Settings | None = None, index: sparse.Index | None = None) -> None:
         self.rows, self.settings = rows, settings or Settings()
-        self.index = sparse.postings(rows, self.settings.fields)
-        self.stats = sparse.field_stats(rows, self.settings.fields)
+        self.index = index or sparse.store(rows, self.settings.fields)
+
+    def pool(self, questions: DataFrame, dense: DataFrame | None = None, entities: DataFrame | None = None, model: LearnedFusion | None = None) -> DataFrame:
+        """(query_id, query, pid, …, pool_rank): the fused pool of each question (query_id, query).
 
-    def pool(self, questions: DataFrame) -> DataFrame:
-        """(query_id, query, pid, …, pool_rank): the fused pool of each question (query_id, query)."""
+        A hit's score is the sum of the reciprocal ranks of its lists, the entity list counting double, and the prior of its popularity; or
+        what the learned model says. Passages of linked entities stay in the pool.
+        """
         s = self.settings
-        hits = sparse.bm25(self.index, self.stats, questions, s.sparse_k).withColumn("score", fusion.reciprocal(F.col("rank") - 1))
+        found = sparse.bm25(self.index.postings, self.index.stats, questions, s.sparse_k)
+        if model is not None:
+            packs = self.rows.select("pid", (F.col("pack") if "pack" in self.rows.columns else F.lit("")).alias("pack"))
+            sizes = packs.groupBy("pack").agg(F.count("*").alias("_size"))
+            words = questions.select(F.col("query_id").alias("record_id"), F.size(F.split(F.trim("query"), r"\s+")).alias("_words"))
+            rows = fusion.candidates(found, dense, entities, packs).join(words, "record_id").join(sizes, "pack")
+            scored = fusion.cheap_features(rows, F.col("_words"), F.col("_size"), F.lit(False))
+            score = fusion.learned_score([F.col(f"f_{n}") for n in model.features], model.linear, model.hidden, model.bias, model.out)
+            hits = scored.select(F.col("record_id").alias("query_id"), F.col("passage_id").alias("pid"), F.floor(score * 1e6 + 0.5).alias("score"), F.col("e").isNotNull().alias("linked"))
+        else:
+            lists = [(df.withColumn("rank", F.col("rank").cast("long")), n) for df, n in ((found, "sparse"), (dense, "dense"), (entities, "entity")) if df is not None]
+            merged = fusion.merge_lists(lists)
+            weight = {"sparse": fusion.W_SPARSE, "dense": fusion.W_DENSE, "entity": fusion.W_ENTITY}
+            hits = merged.withColumn("score", sum(weight[n] * fusion.reciprocal(F.col(n) - 1) for _, n in lists)).withColumn("linked", F.col("entity").isNotNull() if entities is not None else F.lit(False))
         loaded = hits.join(self.rows, "pid")
-        return fusion.fused_pool(loaded, "score", ["query_id"], ["article"], ["pid"], keep=s.fuse_keep).join(questions, "query_id")
+        if "popularity" in self.rows.columns and model is None:
+            loaded = loaded.withColumn("score", F.col("score") + fusion.prior(F.col("popularity")))
+        return fusion.fused_pool(loaded, "score", ["query_id"], ["article"], ["pid"], keep=s.fuse_keep, pinned="linked").join(questions, "query_id")
 
     def ranked(self, questions: DataFrame, make: Callable[[], models.PairScorer] = models.OverlapScorer) -> DataFrame:
         """The pool reranked, cut to diverse hits; ``rank`` from 1."""

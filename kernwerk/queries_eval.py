@@ -129,7 +129,7 @@ def round_robin_sheet(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    return E.bootstrap(_records(spark, d), "total_ms", key="record_id")
+    return E.bootstrap(_records(spark, d), "total_ms", "record_id")
 
 
 def most_common_source(spark, d):
@@ -202,11 +202,12 @@ def top_articles(spark, d):
 
 
 def evidence_pack(spark, d):
-    from kernwerk.queries_retrieval import FIELDS, _asked, _passages
+    from kernwerk.queries_retrieval import _asked, _passages, stored_index
     from kernwerk.operators import sparse as S
 
     p = _passages(spark, d)
-    hits = S.bm25(S.postings(p, FIELDS), S.field_stats(p, FIELDS), _asked(spark, d), 24)
+    i = stored_index(spark, d)
+    hits = S.bm25(i.postings, i.stats, _asked(spark, d), 24)
     full = hits.join(p.select("pid", F.coalesce("text", F.lit("")).alias("text")), "pid").join(_asked(spark, d), "query_id")
     return P.evidence(full, 600)
 

@@ -8,6 +8,7 @@ from kernwerk.operators import conversation as C
 from kernwerk.operators import factstore as K
 from kernwerk.operators import models as M
 from kernwerk.plans.ask import Library
+from kernwerk.queries_retrieval import stored_index
 from kernwerk.queries_text import micro
 from kernwerk.session import table
 from kernwerk.sources.packs import get_passages, notices
@@ -17,7 +18,7 @@ from kernwerk.streaming import telemetry as ST
 
 def _library(spark, d):
     docs = table(spark, d, "documents")
-    return Library(docs.select(F.col("doc_id").alias("pid"), F.coalesce("collection", F.lit("")).alias("article"), F.coalesce("title", F.lit("")).alias("title"), "section_path", F.coalesce("text", F.lit("")).alias("text")))
+    return Library(docs.select(F.col("doc_id").alias("pid"), F.coalesce("collection", F.lit("")).alias("article"), F.coalesce("title", F.lit("")).alias("title"), "section_path", F.coalesce("text", F.lit("")).alias("text")), index=stored_index(spark, d))
 
 
 def _questions(spark, d):

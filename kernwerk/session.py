@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``. Only where it is unset and all runs on one machine (tests) a temporary folder is
     used; a cluster without a shared folder is an error.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set first where it is unset."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = sc.getConf().get("spark.checkpoint.dir")
         if not configured and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="kernwerk-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame, name: str, by: str) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder, in one directory for each value of ``by``, and read from there."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
