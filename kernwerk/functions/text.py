@@ -210,3 +210,8 @@ def number_found(answer: Column, expected: Column, tolerance: float = 0.01) -> C
         return F.regexp_replace(F.regexp_extract(x, r"^([0-9,.]+)", 1), ",", "").try_cast("double") * scale
 
     return F.exists(raw, lambda x: F.abs(value(x) - expected) <= tolerance * F.abs(expected))
+
+
+def today() -> Column:
+    """The session's date as text, year first."""
+    return F.date_format(F.current_date(), "yyyy-MM-dd")

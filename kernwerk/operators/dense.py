@@ -153,3 +153,16 @@ def probe_topk(queries: DataFrame, index: DataFrame, lists: DataFrame, info: Dat
     one = Window.partitionBy("index_name", "query_id")
     near = near.withColumn("_h", F.row_number().over(one.orderBy("distance", "list_id", "passage_id", F.desc("score_micro")))).where(F.col("_h") <= hamming_k).drop("_h")
     return near.withColumn("rank", F.row_number().over(one.orderBy(F.desc("score_micro"), "list_id", "passage_id", "distance")).cast("long")).where(F.col("rank") <= k)
+
+
+def single_list(vectors: DataFrame, vector: str = "vector") -> DataFrame:
+    """(list_id, n, centroid): one list 0 for a small index, its centroid the mean of all vectors, scaled to length 1. No vectors, no list."""
+    places = vectors.where(F.col(vector).isNotNull()).select(F.posexplode(vector).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
+    mean = places.agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("c")).where("n is not null")
+    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x * x))
+    return mean.select(F.lit(0).alias("list_id"), "n", F.when(norm > 0, F.transform("c", lambda x: x / norm)).otherwise(F.col("c")).alias("centroid"))
+
+
+def quantized(vector: Column, steps: int = 127) -> Column:
+    """A vector of numbers in [-1, 1] as whole numbers of a byte; halves round away from zero."""
+    return F.transform(vector, lambda x: F.greatest(F.lit(-steps), F.least(F.lit(steps), F.round(x * steps).cast("int"))).cast("tinyint"))

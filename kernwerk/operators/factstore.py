@@ -99,3 +99,38 @@ def compare(values: DataFrame, n: int = 2) -> DataFrame:
 
 def lines(rows: DataFrame, entity: str, label: str, value: str, at: str) -> DataFrame:
     return rows.withColumn("line", fact_line(F.col(entity), F.col(label), F.col(value), F.col(at)))
+
+
+def unit_shown(facts: DataFrame, overrides: DataFrame, codes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``facts`` with the unit as it is shown: of the entity key at the end of ``unit`` the override, else the code, else the label, else the key
+    itself; a unit without a key stays as written. The three tables have qid and unit; the first of several by the alphabet counts."""
+    key = F.regexp_extract(F.coalesce("unit", F.lit("")), r"Q\d+$", 0)
+    named = lambda df, name: df.where(F.trim("unit") != "").groupBy(F.col("qid").alias("_unit_key")).agg(F.min(F.trim("unit")).alias(name))
+    rows = facts.withColumn("_unit_key", F.nullif(key, F.lit("")))
+    for df, name in ((overrides, "_override"), (codes, "_code"), (labels, "_label")):
+        rows = rows.join(named(df, name), "_unit_key", "left")
+    return rows.withColumn("unit_shown", F.coalesce("_override", "_code", "_label", "_unit_key", "unit")).drop("_unit_key", "_override", "_code", "_label")
+
+
+def comparison_lines(values: DataFrame) -> DataFrame:
+    """(query_id, line) for each question that compares two entities by one number: its difference and its quotient, and which is greater.
+
+    ``values`` has query_id, place (0 and 1), entity, label, value, unit; units must agree, and a quotient by zero is left out.
+    """
+    a, b = (values.where(F.col("place") == i).select("query_id", F.col("entity").alias(f"e{i}"), F.col("label").alias(f"l{i}"), F.col("value").alias(f"v{i}"), F.coalesce("unit", F.lit("")).alias(f"u{i}")) for i in (0, 1))
+    j = a.join(b, "query_id").where((F.col("l0") == F.col("l1")) & (F.col("u0") == F.col("u1")) & F.col("v0").isNotNull() & F.col("v1").isNotNull())
+    two = lambda x: format_number(F.when(F.abs(x) < 0.01, x).otherwise(F.round(x, 2)))
+    unit = F.when(F.col("u0") != "", F.concat(F.lit(" "), F.col("u0"))).otherwise("")
+    sign = F.when(F.col("v0") > F.col("v1"), " > ").when(F.col("v0") < F.col("v1"), " < ").otherwise(" = ")
+    order = F.concat("l0", F.lit(": "), "e0", sign, "e1")
+    gap = F.concat("l0", F.lit(" of "), "e0", F.lit(" − "), "e1", F.lit(" = "), two(F.col("v0") - F.col("v1")), unit)
+    ratio_ = F.when(F.col("v1") != 0, F.concat("l0", F.lit(" of "), "e0", F.lit(" ÷ "), "e1", F.lit(" = "), two(F.col("v0") / F.col("v1"))))
+    return j.select("query_id", F.posexplode(F.filter(F.array(order, gap, ratio_), lambda x: x.isNotNull())).alias("ord", "line"))
+
+
+def travel_lines(lengths: DataFrame) -> DataFrame:
+    """(query_id, line): hours and days that a length takes at a stated speed; ``lengths`` has query_id, entity, label, metres, shown, speed (m/s)."""
+    hours = F.col("metres") / F.col("speed") / 3600
+    two = lambda x: format_number(F.when(F.abs(x) < 0.01, x).otherwise(F.round(x, 2)))
+    line = F.concat("label", F.lit(" of "), "entity", F.lit(" = "), "shown", F.lit(": "), two(hours), F.lit(" hours = "), two(hours / 24), F.lit(" days"))
+    return lengths.where((F.col("speed") > 0) & F.col("metres").isNotNull()).select("query_id", line.alias("line"))

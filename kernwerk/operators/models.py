@@ -58,21 +58,22 @@ class SilentGenerator:
         return ""
 
 
-def encode(df: DataFrame, text: str, out: str, make: Callable[[], Encoder] = HashEncoder, batch: int = 64) -> DataFrame:
-    """Adds vectors of a text column; the model is made once for each worker, batches go longest first within an Arrow batch."""
+def encode(df: DataFrame, text: str, out: str, make: Callable[[], Encoder] = HashEncoder, batch: int = 64, prefix: str = "", dims: int | None = None) -> DataFrame:
+    """Adds vectors of a text column; the model is made once for each worker, batches go longest first within an Arrow batch. ``prefix`` stands
+    before each text, as models want it for questions; of ``dims`` the first numbers stay, scaled to length 1 again."""
     from pyspark.sql.types import ArrayType, FloatType
 
     @F.pandas_udf(ArrayType(FloatType()))
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for p in parts:
-            texts = [t or "" for t in p.tolist()]
+            texts = [prefix + (t or "") for t in p.tolist()]
             order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
             got: list = [None] * len(texts)
             for b in range(0, len(order), batch):
                 at = order[b : b + batch]
                 for i, v in zip(at, model.encode([texts[i] for i in at])):
-                    got[i] = v
+                    got[i] = v if dims is None else v[:dims] / (float(np.linalg.norm(v[:dims])) or 1.0)
             yield pd.Series(got)
 
     return df.withColumn(out, run(F.col(text)))

@@ -93,6 +93,8 @@ _SEGMENTS = ArrayType(StructType([StructField("kind", StringType()), StructField
 
 
 def citation_segments():
+    """A function of (answer, number of sources, known numbers)."""
+
     @F.pandas_udf(_SEGMENTS)
     def run(answers: pd.Series, sources: pd.Series, numbers: pd.Series) -> pd.Series:
         return pd.Series([[{"kind": k, "text": t, "n": n} for k, t, n in prose.check_citations(a or "", int(s), set(e if e is not None else ()))] for a, s, e in zip(answers.tolist(), sources.tolist(), numbers.tolist())], dtype="object")
@@ -100,6 +102,22 @@ def citation_segments():
     return run
 
 
+def supported_segments():
+    """A function of (answer, number of sources, known numbers, evidence, rarities of the answer's terms): a sentence without a citation must have
+    enough of its terms, weighted by rarity, in the evidence."""
+
+    @F.pandas_udf(_SEGMENTS)
+    def run(answers: pd.Series, sources: pd.Series, numbers: pd.Series, evidence: pd.Series, rarity: pd.Series) -> pd.Series:
+        out = []
+        for a, s, e, text, r in zip(answers.tolist(), sources.tolist(), numbers.tolist(), evidence.tolist(), rarity.tolist()):
+            known, weight = set(prose.term_list(text or "")), dict(r) if r is not None else {}
+            got = prose.check_citations(a or "", int(s), set(e if e is not None else ()), lambda x: prose.supported(x, weight, known))  # noqa: B023
+            out.append([{"kind": k, "text": t, "n": n} for k, t, n in got])
+        return pd.Series(out, dtype="object")
+
+    return run
+
+
 def citation_stats(segments: DataFrame) -> DataFrame:
     """Per answer: text and unverified segments, and distinct sources cited."""
     s = segments.select("id", F.explode_outer("segments").alias("s"))

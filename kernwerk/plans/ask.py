@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from kernwerk.functions.prose import number_list
-from kernwerk.operators import fusion, models, passages, sparse
+from kernwerk.functions import arithmetic
+from kernwerk.functions.text import STEM, terms
+from kernwerk.operators import evidence, fusion, models, passages, sparse
+from kernwerk.session import cut_lineage
 
 
 @dataclass
@@ -25,6 +27,12 @@ class Settings:
     fields: dict = field(default_factory=lambda: {"title": "title", "section": "section_path", "body": "text"})
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def stated_lines(questions: pd.Series) -> pd.Series:
+    """What questions state to be computed: percentages and conversions."""
+    return pd.Series([[x for x in (arithmetic.percent_line(q or ""), arithmetic.conversion_line(q or "")) if x] for q in questions.tolist()], dtype="object")
+
+
 @dataclass(frozen=True)
 class LearnedFusion:
     """A small fixed model over the cheap features: names of features, linear weights, one tanh layer."""
@@ -73,29 +81,38 @@ class Library:
             loaded = loaded.withColumn("score", F.col("score") + fusion.prior(F.col("popularity")))
         return fusion.fused_pool(loaded, "score", ["query_id"], ["article"], ["pid"], keep=s.fuse_keep, pinned="linked").join(questions, "query_id")
 
-    def ranked(self, questions: DataFrame, make: Callable[[], models.PairScorer] = models.OverlapScorer) -> DataFrame:
-        """The pool reranked, cut to diverse hits; ``rank`` from 1."""
+    def ranked(self, questions: DataFrame, make: Callable[[], models.PairScorer] = models.OverlapScorer, **lists) -> DataFrame:
+        """The pool reranked, cut to diverse hits; ``rank`` from 1. ``lists`` are those of ``pool``."""
         s = self.settings
-        scored = models.rerank(self.pool(questions), "query", "text", make=make)
+        scored = models.rerank(self.pool(questions, **lists), "query", "text", make=make)
         score = F.floor((F.col("rerank") - fusion.list_penalty(F.col("title"))) * 1e6 + 0.5)
         picked = fusion.select_diverse(scored.withColumn("final", score), "final", ["query_id"], ["article"], ["pool_rank"], s.rerank_keep, s.per_article)
         return picked.withColumn("rank", F.col("pick_rank"))
 
-    def ask(self, questions: DataFrame, make_scorer: Callable[[], models.PairScorer] = models.OverlapScorer, make_generator: Callable[[], models.Generator] = models.SilentGenerator) -> DataFrame:
-        """(query_id, evidence, answer, segments): the numbered evidence of each question, the generator's answer and its checked segments."""
-        hits = self.ranked(questions, make_scorer)
-        shown = passages.evidence(hits.select("query_id", "query", "rank", "pid", "text"), self.settings.budget)
-        joined = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "shown"))).alias("s"))
-        rendered = joined.join(questions, "query_id").withColumn("evidence", F.array_join(F.transform("s", lambda x: F.concat(F.lit("["), x["n"].cast("string"), F.lit("] "), x["shown"])), "\n\n"))
+    def rarities(self, answers: DataFrame) -> DataFrame:
+        """(query_id, rarity): for each answer the rarity of its terms in the library's bodies, as a map; a stem is as common as its commonest word."""
+        asked = answers.select("query_id", F.explode(F.array_distinct(terms(F.col("answer")))).alias("term"))
+        known = sparse.rarity(self.index.postings, self.rows).groupBy(F.substring("term", 1, STEM).alias("term")).agg(F.min("rarity").alias("r"))
+        return asked.join(known, "term").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "r"))).alias("rarity"))
+
+    def ask(self, questions: DataFrame, make_scorer: Callable[[], models.PairScorer] = models.OverlapScorer, make_generator: Callable[[], models.Generator] = models.SilentGenerator, facts: DataFrame | None = None, dated: str = "", **lists) -> DataFrame:
+        """(query_id, evidence, answer, segments): the numbered evidence of each question, the generator's answer and its checked segments.
+
+        ``facts`` (query_id, ord, entity, line) become sources after the passages; what the question itself states to be computed follows.
+        """
+        hits = self.ranked(questions, make_scorer, **lists)
+        has = self.rows.columns
+        hits = hits.select("query_id", "query", "rank", "pid", "title", F.col("section_path").alias("section"), (F.col("pack") if "pack" in has else F.lit("library")).alias("pack"), "text", (F.col("cards") if "cards" in has else F.lit(None).cast("array<string>")).alias("cards"))
+        if facts is None:
+            facts = questions.limit(0).select("query_id", F.lit(0).alias("ord"), F.lit("").alias("entity"), F.lit("").alias("line"))
+        computed = questions.select("query_id", F.posexplode(stated_lines(F.col("query"))).alias("ord", "line"))
+        shown = evidence.render(evidence.assemble(hits, facts, computed, self.settings.budget, dated), dated=dated).drop("query").join(questions, "query_id")
 
         @F.pandas_udf(StringType())
-        def generate(query: pd.Series, evidence: pd.Series) -> pd.Series:
+        def generate(query: pd.Series, text: pd.Series) -> pd.Series:
             g = make_generator()
-            return pd.Series([g.generate(f"Question: {q}\n\nSources:\n{e}") for q, e in zip(query.tolist(), evidence.tolist())])
-
-        @F.pandas_udf(ArrayType(StringType()))
-        def known(evidence: pd.Series) -> pd.Series:
-            return pd.Series([number_list(e) for e in evidence.tolist()], dtype="object")
+            return pd.Series([g.generate(f"Question: {q}\n\nSources:\n{e}") for q, e in zip(query.tolist(), text.tolist())])
 
-        out = rendered.withColumn("answer", generate("query", "evidence"))
-        return out.select("query_id", "evidence", "answer", passages.citation_segments()(F.col("answer"), F.size("s"), known("evidence")).alias("segments"))
+        out = cut_lineage(shown.withColumn("answer", generate("query", "evidence")))  # answered once, though the answers are read twice
+        checked = out.join(self.rarities(out), "query_id", "left")
+        return checked.select("query_id", "evidence", "answer", passages.supported_segments()(F.col("answer"), F.size("sources") + F.size("facts"), F.col("numbers"), F.col("evidence"), F.map_entries("rarity")).alias("segments"))

@@ -7,11 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from kernwerk.functions import arithmetic as AR
 from kernwerk.functions.keys import spelling
 from kernwerk.operators import evaluation as E
 from kernwerk.operators import history as H
 from kernwerk.operators import passages as P
+from kernwerk.plans.ask import stated_lines
 from kernwerk.queries_text import micro
 from kernwerk.session import table
 
@@ -222,17 +222,12 @@ def sentence_claims(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(P.core_sentences("text")).cast("long").alias("sentences"), F.size(P.claims("text")).cast("long").alias("claims"))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _computed(q: pd.Series) -> pd.Series:
-    return pd.Series([[x for x in (AR.percent_line(t or ""), AR.conversion_line(t or "")) if x] for t in q.tolist()], dtype="object")
-
-
 def computed_lines(spark, d):
     p = table(spark, d, "part")
     n, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 6
     forms = ("what is {n}% of 240?", "what is {n},5 percent of 200", "convert {n} ft to in", "{n}-60 miles in km", "how many cups are in {n} gallons?", "what is {n}% of {n} people")
     asked = F.element_at(F.array(*[F.regexp_replace(F.lit(f), r"\{n\}", n) for f in forms]), (kind + 1).cast("int"))
-    return p.select("p_partkey", F.array_join(_computed(asked), ";").alias("line"))
+    return p.select("p_partkey", F.array_join(stated_lines(asked), ";").alias("line"))
 
 
 QUERIES = {f.__name__: f for f in (recall_at_k, hit_at_k, ndcg_at_k, auc_pairwise, pairwise_summary, change_list, sign_test, order_outcomes, latency_percentiles, latency_nearest_rank, stage_times, judged_report, gate_checks, run_summary_rollup, release_gate, stratified_sample, round_robin_sheet, bootstrap_ci, most_common_source, run_islands, history_lookback, recent_ring, telemetry_windows, history_turns, followup_join, chunk_documents, pack_articles, dense_ids, first_passages, top_articles, evidence_pack, citation_check, sentence_claims, computed_lines)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -200,8 +201,12 @@ def _parts(f):
     return run
 
 
-def book_chapters(docs: DataFrame, column: str = "value") -> DataFrame:
-    """(title, text) of the chapters of books given as one JSON text each; their trees may be of any depth."""
+def book_chapters(docs: DataFrame, column: str = "value", licences: DataFrame | None = None) -> DataFrame:
+    """(title, text) of the chapters of books given as one JSON text each; their trees may be of any depth. With ``licences`` (book, licence),
+    books, named by the column ``book`` of ``docs``, under a non-commercial licence are left out."""
+    if licences is not None:
+        closed = licences.where(F.lower("licence").rlike(r"\bnc\b|by-nc|non-?commercial")).select("book")
+        docs = docs.join(closed, "book", "left_anti")
     return docs.select(F.explode(_parts(_book_chapters)(F.col(column))).alias("p")).select("p.title", "p.text")
 
 
@@ -251,7 +256,7 @@ def guide_pages(pages: DataFrame) -> DataFrame:
 CLAIM_SCHEMA = "id STRING, property STRING, datatype STRING, rank STRING, datavalue STRUCT<id: STRING, string: STRING, text: STRING, language: STRING, amount: STRING, unit: STRING, time: STRING, precision: LONG, latitude: DOUBLE, longitude: DOUBLE>, qualifiers ARRAY<STRUCT<property: STRING, value: ARRAY<STRUCT<time: STRING>>>>"
 
 
-def flatten_claims(claims: DataFrame, keep: list[str]) -> DataFrame:
+def flatten_claims(claims: DataFrame, keep: list[str], *extra: str) -> DataFrame:
     """Statements of kept properties that are not deprecated, flat; ``pit`` is the first point-in-time qualifier, ``has_end`` whether an end is given."""
     q = lambda p: F.get(F.filter("qualifiers", lambda x: x["property"] == p), F.lit(0))
     rows = claims.where(F.col("property").isin(keep) & (F.col("rank") != "deprecated"))
@@ -259,10 +264,28 @@ def flatten_claims(claims: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(
         F.col("id").alias("qid"), F.col("property").alias("pid"), "datatype", F.when(F.col("rank") == "preferred", 2).otherwise(1).alias("rank"), v["id"].alias("vid"), v["string"].alias("vstr"), v["text"].alias("text"), v["language"].alias("language"),
         v["amount"].try_cast("double").alias("amount"), F.regexp_extract(v["unit"], r"Q\d+$", 0).alias("unit"), v["time"].alias("time"), v["precision"].alias("prec"), v["latitude"].alias("lat"), v["longitude"].alias("lon"),
-        F.get(q("P585")["value"], F.lit(0))["time"].alias("pit"), q("P582").isNotNull().alias("has_end"),
+        F.get(q("P585")["value"], F.lit(0))["time"].alias("pit"), q("P582").isNotNull().alias("has_end"), *extra,
     )
 
 
+def numbered_claims(claims: DataFrame, keep: list[str]) -> DataFrame:
+    """``flatten_claims`` with ``ord``: the place of a statement in its file, so that rows of one group keep the file's order."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return flatten_claims(claims.withColumn("_ord", at), keep, "_ord").withColumnRenamed("_ord", "ord")
+
+
+def revisions(pages: DataFrame, absent: DataFrame | None = None) -> DataFrame:
+    """(page_id, revision) of the latest revision of each page; of ``absent`` page ids there are none."""
+    rows = pages.where(F.col("revision").isNotNull()).groupBy("page_id").agg(F.max("revision").alias("revision"))
+    return rows if absent is None else rows.join(absent.select("page_id"), "page_id", "left_anti")
+
+
+def picked(rows: DataFrame, ids: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
+    """The rows of a test set with one of some ids or categories; all rows if neither is given."""
+    wanted = [F.col(c).isin(v) for c, v in (("id", ids), ("category", categories)) if v]
+    return rows.where(reduce(lambda a, b: a | b, wanted)) if wanted else rows
+
+
 def jsonl(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
     """JSON lines, plain or gzip; blank and broken lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(paths)

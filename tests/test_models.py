@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -171,3 +173,97 @@ def test_pool_of_three_lists(spark):
     assert min((r for r in learned), key=lambda r: r.pool_rank).pid == 50 and 51 in {r.pid for r in learned}
     cand = {r.passage_id: r for r in FU.candidates(ranked([1, 2, 3]), ranked([3, 4]), ranked([4]), rows.select("pid", "pack")).collect()}
     assert cand[3].s.rank == 2 and cand[3].s.prank == 1 and cand[3].d.prank == 0 and cand[4].e == 0 and cand[4].s is None and cand[4].d.prank == 0
+
+
+def test_linking_in_context(spark):
+    from kernwerk.operators import linking as LI
+
+    cols = "query_id string, start int, name string, lowercase boolean, article_id long, title string, key string, popularity long, score double, classes array<string>"
+    rows = [
+        ("q", 0, "mercury", False, 1, "Mercury (planet)", "mercury (planet)", 900, 0.0, ["planet"]), ("q", 0, "mercury", False, 2, "Mercury", "mercury", 1000, 0.0, ["element"]),
+        ("q", 0, "mercury", False, 3, "Mercury (car)", "mercury (car)", 5, 9.0, ["car"]), ("q", 3, "venus", False, 4, "Venus", "venus", 800, 0.0, ["planet"]),
+        ("r", 0, "mercury", False, 1, "Mercury (planet)", "mercury (planet)", 900, 0.0, ["planet"]), ("r", 0, "mercury", False, 2, "Mercury", "mercury", 1000, 0.0, ["element"]),
+        ("s", 0, "bridge", True, 7, "Bridge (music)", "bridge (music)", 50, 0.0, None), ("t", 0, "bridge", True, 8, "Bridge", "bridge", 50, 0.0, None), ("t", 0, "bridge", True, 7, "Bridge (music)", "bridge (music)", 500, 9.0, None),
+    ]
+    got = {(r.query_id, r.start): r.article_id for r in LI.link_in_context(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {("q", 0): 1, ("q", 3): 4, ("r", 0): 2, ("t", 0): 8}
+    e = spark.createDataFrame([("q", 1, ["country"]), ("q", 2, ["country", "island"]), ("q", 3, ["number"]), ("p", 1, ["country"]), ("p", 1, ["country"])], "query_id string, article_id long, classes array<string>")
+    assert {(r.query_id, r.article_id) for r in LI.compared_things(e).collect()} == {("q", 1), ("q", 2)}
+    assert LI.link_in_context(spark.createDataFrame([], cols)).count() == 0
+
+
+def test_evidence_in_budget(spark):
+    from kernwerk.operators import evidence as EV
+
+    hits = spark.createDataFrame([("q", "kiln", k, k, f"T{k}", None, "w", "word " * n, None) for k, n in ((1, 70), (2, 90), (3, 5))] + [("z", None, 1, 9, "Z", "S", "w", None, [])], "query_id string, query string, rank int, pid long, title string, section string, pack string, text string, cards array<string>")
+    facts = spark.createDataFrame([("q", 5, "Mars", "moons: 2"), ("q", 4, "Venus", "moons: 0"), ("only", 1, "Mars", "moons: 2")], "query_id string, ord int, entity string, line string")
+    computed = spark.createDataFrame([("q", 1, "b"), ("q", 0, "a")], "query_id string, ord int, line string")
+    got = {r.query_id: r for r in EV.render(EV.assemble(hits, facts, computed, 160, "2024"), dated="2024").collect()}
+    assert [s.pid for s in got["q"].sources] == [1, 3] and got["q"].numbers == ["2024"]
+    assert got["q"].evidence.split("\n\n")[2:] == ["[3] Venus (wikidata, as of 2024):\n- moons: 0", "[4] Mars (wikidata, as of 2024):\n- moons: 2", "COMPUTED: a\nCOMPUTED: b"]
+    assert got["only"].evidence.startswith("[1] Mars") and got["z"].evidence.startswith("[1] Z — S (w):")
+    assert EV.assemble(hits.limit(0), facts.limit(0), computed.limit(0), 9).count() == 0
+
+
+def test_support_is_checked(spark):
+    from kernwerk.plans.ask import Library
+
+    rows = spark.createDataFrame([(i, f"a{i}", f"Kiln {i}", "", f"The amber kiln number {i} was built beside the harbour and holds bricks.") for i in range(30)], "pid long, article string, title string, section_path string, text string")
+
+    class Talk:
+        def generate(self, prompt):
+            return "The amber kiln holds bricks. Zebras juggle violet thunder nightly. What is stated is computed."
+
+    q = spark.createDataFrame([("q", "which amber kiln holds bricks"), ("c", "what is 15% of 240?")], "query_id string, query string")
+    got = {r.query_id: r for r in Library(rows).ask(q, make_generator=Talk).collect()}
+    assert "COMPUTED: 15% of 240 = 36" in got["c"].evidence
+    said = {s.text.strip(): s.kind for s in got["q"].segments}
+    assert said["The amber kiln holds bricks."] == "text" and any(k == "unverified" and "Zebras" in t for t, k in said.items())
+
+
+def test_heads_and_spans():
+    import itertools
+
+    from kernwerk.functions import prose as P
+
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        n, longest = int(rng.integers(1, 12)), int(rng.integers(1, 6))
+        a, b = rng.integers(-5, 6, n).tolist(), rng.integers(-5, 6, n).tolist()
+        best = max((a[i] + b[j] for i, j in itertools.product(range(n), repeat=2) if i <= j < i + longest))
+        got = P.best_span(a, b, 0.0, longest)
+        assert (got is None) == (best <= 0) and (got is None or (got[2] == best and a[got[0]] + b[got[1]] == best and 0 <= got[1] - got[0] < longest))
+    assert P.best_span([], [], -1.0) is None
+    states = [[1.0, 0.0], [3.0, 2.0], [0.0, 0.0]]
+    assert P.span_logits(states, [(0, 2), (2, 3), (2, 4), (1, 1)], [1.0, 1.0], 0.5) == [3.5, 0.5, None, None]
+    assert P.span_logits(states, [(0, 2)], [2.0], 1.0, [[1.0, -4.0]], [1.0]) == [1.0]
+
+
+def test_near_duplicates_match_brute_force(spark):
+    import random
+    import re as re_
+
+    from kernwerk.operators import selection as X
+
+    rng = random.Random(3)
+    words = "kiln река 窯 heron of the in lute amber orbit canal".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 7)))) for i in range(120)] + [(500, None), (501, "?!")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("w", F.lit("clash"))
+    sets: dict = {}
+    for i, t in rows:
+        w = frozenset(re_.findall(r"\w+", (t or "").lower()))
+        if w:
+            sets[w] = min(i, sets.get(w, i))
+    want = {(min(i, j), max(i, j)) for (a, i), (b, j) in itertools.combinations(sets.items(), 2) if len(a & b) >= 0.6 * len(a | b)}
+    assert {tuple(r) for r in X.near_duplicates(df, "id", "text").collect()} == want and want
+    assert X.near_duplicates(df.limit(0), "id", "text").count() == 0
+
+
+def test_nearest_rank_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in rng.choice([1.0, 2.5, -3.0, 1e9, 0.0, 7.25], int(rng.integers(1, 40)))] + [("a", None), ("z", None), ("a", float("nan"))]
+    got = {(r.g, r.p): r.value for r in E.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "g", "v", (0.0, 0.5, 0.9, 1.0)).collect()}
+    for g in ("a", "b", None):
+        v = sorted(x for h, x in rows if h == g and x is not None and x == x)
+        assert all(got[g, p] == v[int(np.floor((len(v) - 1) * p + 0.5))] for p in (0.0, 0.5, 0.9, 1.0))
+    assert ("z", 0.5) not in got
