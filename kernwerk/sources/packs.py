@@ -75,14 +75,26 @@ def bundle(pack: str, out: str, part_size: int = 1 << 30) -> list[dict]:
         t.add(pack, arcname=os.path.basename(pack.rstrip("/")))
     parts = []
     with whole.open("rb") as f:
-        while data := f.read(part_size):
+        while f.peek(1):
             p = Path(f"{out}.{len(parts):03d}")
-            p.write_bytes(data)
-            parts.append({"path": str(p), "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()})
+            with p.open("wb") as to:
+                n, digest = _copied(f, to, part_size)
+            parts.append({"path": str(p), "bytes": n, "sha256": digest})
     whole.unlink()
     return parts
 
 
+def _copied(source, to, most: int, chunk: int = 1 << 20, seen: Callable[[int], None] = lambda n: None) -> tuple[int, str]:
+    """Bytes copied from one open file to another, at most ``most``, and their hash; a chunk at a time is in memory."""
+    digest, n = hashlib.sha256(), 0
+    while n < most and (data := source.read(min(chunk, most - n))):
+        to.write(data)
+        digest.update(data)
+        n += len(data)
+        seen(len(data))
+    return n, digest.hexdigest()
+
+
 def install(spark: SparkSession, parts: Iterable[dict], library: str, accept: Callable[[dict], bool] = lambda m: True, progress: Callable[[int], None] = lambda n: None) -> str:
     """Check and unpack a bundle into a library; nothing is installed unless every part and every file is right. Returns the pack's folder."""
     stage = Path(library) / ".staging"
@@ -92,11 +104,10 @@ def install(spark: SparkSession, parts: Iterable[dict], library: str, accept: Ca
         whole = stage / "pack.tar"
         with whole.open("wb") as f:
             for p in parts:
-                data = Path(p["path"]).read_bytes()
-                if len(data) != p["bytes"] or hashlib.sha256(data).hexdigest() != p["sha256"]:
+                with open(p["path"], "rb") as part:
+                    got = _copied(part, f, p["bytes"] + 1, seen=progress)
+                if got != (p["bytes"], p["sha256"]):
                     raise ValueError(f"damaged part {p['path']}")
-                f.write(data)
-                progress(len(data))
         with tarfile.open(whole) as t:
             t.extractall(stage, filter="data")  # refuses paths that leave the folder
         whole.unlink()

@@ -39,6 +39,19 @@ def append_jsonl(records: DataFrame, path: str, checkpoint: str):
     return records.writeStream.format("json").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
 
 
+def pruned(records: DataFrame, most_bytes: int = 1 << 20, order: str = "ts") -> DataFrame:
+    """The latest records whose JSON lines fit ``most_bytes`` together, for a log that must stay small: a histogram of sizes by day drops whole
+    days first, so that only the day on which the limit falls is put in order."""
+    from pyspark.sql import Window
+
+    rows = records.withColumn("_size", F.octet_length(F.to_json(F.struct(*records.columns))) + 1).withColumn("_day", F.to_date(order))
+    newer = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each day of the log
+    days = rows.groupBy("_day").agg(F.sum("_size").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0))).where(F.col("_before") < most_bytes).select(F.col("_day").alias("_d"), "_before")
+    kept = rows.join(days, F.col("_day").eqNullSafe(F.col("_d")))
+    upto = F.sum("_size").over(Window.partitionBy("_day").orderBy(F.desc(order), *sorted(c for c in records.columns if c != order)).rowsBetween(Window.unboundedPreceding, 0))
+    return kept.withColumn("_upto", F.col("_before") + upto).where(F.col("_upto") <= most_bytes).select(*records.columns)
+
+
 def resume(requests: DataFrame, done: DataFrame, key: str = "id", failed: Column | None = None) -> DataFrame:
     """Requests without a finished row; rows that failed are tried again."""
     finished = done if failed is None else done.where(~failed)

@@ -134,3 +134,50 @@ def test_trees_archives_and_guides(spark):
     guide = spark.createDataFrame([(1, "Town", "== See ==\n{{see|name=Tower|price=5|content=Old.}}", None)], "page_id long, title string, text string, redirect string")
     (r,) = R.guide_pages(guide).collect()
     assert "- Tower: Old. (5)" in r.text
+
+
+def test_small_readers(spark, tmp_path):
+    import json
+
+    from kernwerk.sources import readers as R
+
+    claim = lambda i, p, rank: {"id": f"Q{i}", "property": p, "datatype": "string", "rank": rank, "datavalue": {"string": f"v{i}"}}
+    path = tmp_path / "claims.parquet"
+    spark.createDataFrame([json.dumps(claim(i, "P1" if i % 2 else "P2", "deprecated" if i == 5 else "normal")) for i in range(8)], "string").select(F.from_json("value", R.CLAIM_SCHEMA).alias("c")).select("c.*").coalesce(1).write.parquet(str(path))
+    got = R.numbered_claims(spark.read.parquet(str(path)), ["P1"]).orderBy("ord").collect()
+    assert [r.qid for r in got] == ["Q1", "Q3", "Q7"] and [r.ord.row for r in got] == [1, 3, 7]
+    pages = spark.createDataFrame([(1, 10), (1, 12), (2, None), (3, 7)], "page_id long, revision long")
+    assert {tuple(r) for r in R.revisions(pages, spark.createDataFrame([(3,)], "page_id long")).collect()} == {(1, 12)}
+    tests = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "id string, category string")
+    assert {r.id for r in R.picked(tests, ["a"], ["y"]).collect()} == {"a", "b"} and R.picked(tests).count() == 3
+    book = json.dumps({"title": "T", "chapters": []})
+    docs = spark.createDataFrame([("b1", book), ("b2", book)], "book string, value string")
+    assert R.book_chapters(docs, licences=spark.createDataFrame([("b1", "CC BY-NC-SA 4.0"), ("b2", "CC BY 4.0")], "book string, licence string")).columns == ["title", "text"]
+
+
+def test_pruned_log(spark):
+    import datetime as dt
+
+    from kernwerk.streaming import telemetry as T
+
+    rows = [(i, dt.datetime(2024, 1, 1 + i // 10, i % 10)) for i in range(50)]
+    df = spark.createDataFrame(rows, "i long, ts timestamp")
+    sizes = {r.i: r.n for r in df.select("i", (F.octet_length(F.to_json(F.struct("i", "ts"))) + 1).alias("n")).collect()}
+    want, used = set(), 0
+    for i in range(49, -1, -1):
+        used += sizes[i]
+        if used > 700:
+            break
+        want.add(i)
+    assert {r.i for r in T.pruned(df, 700).collect()} == want and T.pruned(df).count() == 50 and T.pruned(df.limit(0)).count() == 0
+
+
+def test_dates_as_sql_functions(spark):
+    from kernwerk.functions import dates as D
+
+    D.register(spark)
+    rows = [("+1952-03-11T00:00:00Z", 11, "11 March 1952"), ("+1952-03-00T00:00:00Z", 11, "March 1952"), ("+1952-03-11T00:00:00Z", 10, "March 1952"), ("+1952-00-00T00:00:00Z", 9, "1952"), ("+1952-00-00T00:00:00Z", 8, "1950s"), ("+1952-00-00T00:00:00Z", 7, "20th century"), ("-0044-03-15T00:00:00Z", 11, "15 March 44 BC"), ("-0044-00-00T00:00:00Z", 7, "1st century BC"), ("-0044-00-00T00:00:00Z", 8, "44 BC"), ("x", 11, None), (None, 9, None)]
+    df = spark.createDataFrame(rows, "t string, p int, want string")
+    bad = df.select("t", "p", "want", D.time_text(F.col("t"), F.col("p")).alias("a"), F.expr("kw_time_text(t, p)").alias("b")).collect()
+    assert [(r.t, r.p, r.a, r.b) for r in bad if not r.want == r.a == r.b] == []
+    assert spark.sql("SELECT kw_time_year('-0044-03-15T') AS y, kw_time_month('+1-02-03T') AS m, kw_time_day('+1-02-03T') AS d").first() == (-44, 2, 3)
