@@ -50,7 +50,11 @@ def store(passages: DataFrame, fields: dict[str, str]) -> Index:
     their terms. The postings of a frequent term are spread over several files of its bucket."""
     rows = postings(passages, fields).withColumn("bucket", bucket(F.col("term")))
     spread = rows.repartition("bucket", F.pmod(F.xxhash64("pid"), F.lit(SALTS)))
-    return Index(stored(spread, "postings", "bucket"), cut_lineage(field_stats(passages, fields)))
+    written = stored(spread, "postings", "bucket")
+    sizes = written.groupBy("field").agg(F.sum("tf").alias("all"))  # the texts are read once: their lengths are the sums of their terms
+    n = passages.agg(F.count("*").alias("n"), F.array(*[F.lit(f) for f in fields]).alias("f")).select("n", F.explode("f").alias("field"))
+    stats = n.join(sizes, "field", "left").select("field", "n", (F.coalesce("all", F.lit(0)) / F.col("n")).alias("avg_len"))
+    return Index(written, cut_lineage(stats))
 
 
 def bucket(term: Column) -> Column:

@@ -177,7 +177,9 @@ def list_penalty(spark, d):
 def _dense_list(spark, d):
     """A dense list for each test question: the two-stage search of the index "main" with one of its centroids, picked by hash, as the vector."""
     place = (F.conv(F.substring(F.md5("query_id"), 1, 4), 16, 10).cast("long") % 64).alias("list_id")
-    found = ivf_probe_topk(spark, d).where("index_name = 'main'").select(F.col("query_id").alias("list_id"), F.col("passage_id").alias("pid"), "score_micro", "rank")
+    main = lambda name: table(spark, d, name).where("index_name = 'main'")
+    centroids = main("dense_lists").groupBy(F.col("list_id").cast("long").alias("query_id")).agg(F.min("centroids").alias("vector"))
+    found = D.probe_topk(centroids, main("dense_index"), main("dense_lists"), main("dense_info")).select(F.col("query_id").alias("list_id"), F.col("passage_id").alias("pid"), "score_micro", "rank")
     return _asked(spark, d).select("query_id", place).join(found, "list_id").select("query_id", "pid", "score_micro", "rank")
 
 
