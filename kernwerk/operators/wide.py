@@ -34,19 +34,22 @@ def attributes(rows: DataFrame, limit: int = MAX_ATTRIBUTES) -> list[tuple[str,
     return sorted((r["pid"], r["datatype"]) for r in bounded_rows(rows.groupBy("pid").agg(F.min("datatype").alias("datatype")), limit, "attributes"))
 
 
-def _winner(pid: str) -> Column:
-    """One conditional aggregation: the best fact of one attribute. Highest rank, then latest year (null earliest), then smallest fact_id."""
-    order = F.struct(-F.coalesce(F.col("rank"), F.lit(-1)), -F.coalesce(point_year(F.col("point_in_time")), F.lit(-1_000_000_000)), F.col("fact_id").alias("fact_id"), F.col("value_num").alias("value_num"), F.col("value_text").alias("value_text"))
-    return F.min(F.when(F.col("pid") == pid, order)).alias(pid)
+def best_facts(rows: DataFrame, values: bool = True) -> DataFrame:
+    """(qid, pid, best): of the facts of one cell the one of the highest rank, then of the latest year (null earliest), then of the smallest fact_id.
+
+    ``best`` is a struct that ends in fact_id and, if ``values`` are wanted, the fact's value; equal facts do not change it.
+    """
+    order = [(-F.coalesce(F.col("rank"), F.lit(-1))).alias("r"), (-F.coalesce(point_year(F.col("point_in_time")), F.lit(-1_000_000_000))).alias("y"), F.col("fact_id")]
+    return rows.groupBy("qid", "pid").agg(F.min(F.struct(*order, *(["value_num", "value_text"] if values else []))).alias("best"))
 
 
-def pivot_cells(rows: DataFrame, pids: list[str]) -> DataFrame:
-    """One row per qid with one struct<…, fact_id, value_num, value_text> column per attribute; null where the entity has no usable fact.
+def pivot_cells(rows: DataFrame, pids: list[str], values: bool = True) -> DataFrame:
+    """One row per qid with one struct<…, fact_id, value_num, value_text> column per attribute (without ``values`` it ends in fact_id); null where the entity has no usable fact.
 
-    One grouping for all attributes, with partial aggregation before the shuffle: an entity with very many facts arrives as one row per task.
-    Repeated facts do not change a minimum. An empty input gives no rows.
+    Each cell is resolved first, with partial aggregation before the shuffle, so that an entity with very many facts arrives as one row for each
+    task and attribute; then one grouping has a conditional aggregation for each attribute. An empty input gives no rows.
     """
-    return rows.groupBy("qid").agg(*[_winner(p) for p in pids]) if pids else rows.select("qid").distinct()
+    return best_facts(rows, values).groupBy("qid").agg(*[F.min(F.when(F.col("pid") == p, F.col("best"))).alias(p) for p in pids]) if pids else rows.select("qid").distinct()
 
 
 def wide_table(rows: DataFrame, attrs: list[tuple[str, str]]) -> DataFrame:
@@ -67,6 +70,6 @@ def filled_cells(rows: DataFrame, attrs: list[tuple[str, str]]) -> DataFrame:
     """(qid, pid, fact_id) of each filled cell of the wide table."""
     if not attrs:
         return rows.select("qid", "pid", "fact_id").where(F.lit(False))
-    wide = pivot_cells(rows, [p for p, _ in attrs])
+    wide = pivot_cells(rows, [p for p, _ in attrs], values=False)
     cells = F.array(*[F.struct(F.lit(p).alias("pid"), F.col(f"`{p}`")["fact_id"].alias("fact_id")) for p, _ in attrs])
     return wide.select("qid", F.explode(F.filter(cells, lambda x: x["fact_id"].isNotNull())).alias("c")).select("qid", "c.pid", "c.fact_id")
