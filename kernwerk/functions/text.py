@@ -96,16 +96,23 @@ def licence_name(c: Column) -> Column:
     return F.when(kind != "", F.concat_ws(" ", name, version)).when(plain != "", plain).otherwise("not stated")
 
 
+# The address of a page in each kind of pack; {t} is its escaped name, {s} the set before ": " in its title.
+_WIKIS = {"wikipedia": "en.wikipedia.org", "enwiki": "en.wikipedia.org", "wiktionary": "en.wiktionary.org", "wiktionary-en": "en.wiktionary.org", "wikibooks-en": "en.wikibooks.org", "wikiversity-en": "en.wikiversity.org", "wikivoyage-en": "en.wikivoyage.org", "wikiquote-en": "en.wikiquote.org", "wikem-en": "wikem.org"}
+PAGE_FORMS = {pack: f"https://{host}/wiki/{{t}}" for pack, host in _WIKIS.items()} | {"archwiki-en": "https://wiki.archlinux.org/title/{t}", "arxiv": "https://arxiv.org/abs/{t}", "arxiv-abs": "https://arxiv.org/abs/{t}", "cdc-travel": "https://wwwnc.cdc.gov/{t}", "medlineplus": "https://medlineplus.gov/{t}.html", "stackexchange": "https://{t}", "devdocs-en": "https://devdocs.io/{s}/{t}"}
+_ESCAPED = {"%": "%25", " ": "_", "?": "%3F", "#": "%23"}  # in this order
+
+
 def page_url(pack: Column, title: Column, url_title: Column) -> Column:
-    """The page of an article, by the pack's URL form; null for packs without pages."""
-    slug = F.replace(F.coalesce(url_title, title), F.lit(" "), F.lit("_"))
-    return (
-        F.when(pack == "wikipedia", F.concat(F.lit("https://en.wikipedia.org/wiki/"), slug))
-        .when(pack == "wiktionary", F.concat(F.lit("https://en.wiktionary.org/wiki/"), slug))
-        .when(pack == "arxiv", F.concat(F.lit("https://arxiv.org/abs/"), F.coalesce(url_title, title)))
-        .when(pack == "medlineplus", F.concat(F.lit("https://medlineplus.gov/"), F.coalesce(url_title, title), F.lit(".html")))
-        .when(pack == "stackexchange", F.concat(F.lit("https://"), F.coalesce(url_title, title)))
-    )
+    """The page of an article, by the pack's URL form, or the page name itself if it is an address. Null for packs without pages, for unknown or
+    empty page names, and where a title lacks the set that its form needs."""
+    name = F.coalesce(url_title, F.lit(""))
+    escaped = name
+    for a, b in _ESCAPED.items():
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
+    form = F.create_map(*[F.lit(x) for kv in PAGE_FORMS.items() for x in kv])[pack]
+    needs_set = form.contains("{s}") & ~F.coalesce(title, F.lit("")).contains(": ")
+    filled = F.replace(F.replace(form, F.lit("{s}"), F.lower(F.substring_index(F.coalesce(title, F.lit("")), ": ", 1))), F.lit("{t}"), escaped)
+    return F.when((name == "") | name.contains("__unknown__"), None).when(name.rlike("^https?://"), name).when(~needs_set, filled)
 
 
 def url_page(url: Column) -> Column:

@@ -59,7 +59,7 @@ def txt_paragraphs(spark, d):
 
 def txt_strip_html(spark, d):
     t = F.concat(L("<p>"), F.replace(F.col("text"), L("\n"), L("<br>")), L("</p><div>&amp; "), F.coalesce("title", L("")), L("</div>"))
-    return _docs(spark, d).where("text is not null and not contains(text, '<')").select("doc_id", F.regexp_count(T.strip_html(t), L("\\S+")).cast("long").alias("words"))
+    return _docs(spark, d).where("text is not null").select("doc_id", F.regexp_count(T.strip_html(t), L("\\S+")).cast("long").alias("words"))
 
 
 def txt_strip_markdown(spark, d):
@@ -72,7 +72,12 @@ def txt_licence(spark, d):
 
 
 def txt_page_url(spark, d):
-    return table(spark, d, "articles").select("article_id", T.page_url(L("wikipedia"), F.col("title"), F.col("url_title")).alias("url")).distinct()
+    """Page addresses of all articles, as if they were of packs of several kinds, some with characters that would end a path."""
+    packs = F.array(*[L(p) for p in ("wikipedia", "wiktionary-en", "medlineplus", "devdocs-en", "factbook", "stackexchange")])
+    k = F.col("article_id")
+    name = F.when(k % 7 == 0, F.concat("url_title", L(" 50%? #1"))).when(k % 11 == 0, L("__unknown__/x")).otherwise(F.col("url_title"))
+    title = F.when(k % 5 == 0, F.col("title")).otherwise(F.concat(L("Set: "), "title"))
+    return table(spark, d, "articles").select("article_id", T.page_url(F.element_at(packs, (k % 6 + 1).cast("int")), title, name).alias("url")).distinct()
 
 
 def txt_url_page(spark, d):
@@ -161,7 +166,10 @@ ORACLE = {
     "txt_paragraphs": r"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n[ \t]*(?:\n[ \t]*)+'), lambda p: " + _SQ.format(c="p") + "), lambda p: p <> ''))::BIGINT AS n_paragraphs FROM documents WHERE text IS NOT NULL",
     "txt_strip_markdown": r"SELECT doc_id, " + _SQ.format(c=r"regexp_replace(replace(replace(replace('**' || title || '** `x`', '*', ''), '__', ''), '`', ''), '\\([\\`*_{}\[\]()#+.!-])', '\1', 'g')") + " AS plain FROM documents WHERE title IS NOT NULL",
     "txt_licence": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'MIT' WHEN doc_id % 3 = 0 THEN 'CC BY 4.0' WHEN doc_id % 3 = 1 THEN 'CC BY-SA 4.0' ELSE 'CC BY-NC 4.0' END AS licence FROM documents",
-    "txt_page_url": "SELECT DISTINCT article_id, 'https://en.wikipedia.org/wiki/' || replace(coalesce(url_title, title), ' ', '_') AS url FROM articles",
+    "txt_page_url": r"""WITH a AS (SELECT DISTINCT article_id, article_id % 6 AS p, CASE WHEN article_id % 5 = 0 THEN title ELSE 'Set: ' || title END AS title, CASE WHEN article_id % 7 = 0 THEN url_title || ' 50%? #1' WHEN article_id % 11 = 0 THEN '__unknown__/x' ELSE url_title END AS u FROM articles),
+e AS (SELECT *, replace(replace(replace(replace(u, '%', '%25'), ' ', '_'), '?', '%3F'), '#', '%23') AS t FROM a)
+SELECT DISTINCT article_id, CASE WHEN coalesce(u, '') = '' OR contains(u, '__unknown__') THEN NULL WHEN starts_with(u, 'https://') OR starts_with(u, 'http://') THEN u WHEN p = 0 THEN 'https://en.wikipedia.org/wiki/' || t WHEN p = 1 THEN 'https://en.wiktionary.org/wiki/' || t WHEN p = 2 THEN 'https://medlineplus.gov/' || t || '.html'
+  WHEN p = 3 AND contains(title, ': ') THEN 'https://devdocs.io/' || lower(split_part(title, ': ', 1)) || '/' || t WHEN p = 5 THEN 'https://' || t END AS url FROM e""",
     "txt_url_page": "SELECT DISTINCT article_id, 'wikipedia' AS pack, replace(url_title, '_', ' ') AS title FROM articles WHERE regexp_full_match(url_title, '[A-Za-z_()]+')",
     "txt_coordinates": "SELECT s_suppkey, printf('%.4f°%s, %.4f°%s', abs(s_suppkey % 180 - 90)::DOUBLE, CASE WHEN s_suppkey % 180 >= 90 THEN 'N' ELSE 'S' END, abs(s_suppkey % 360 - 180)::DOUBLE, CASE WHEN s_suppkey % 360 >= 180 THEN 'E' ELSE 'W' END) AS at FROM supplier",
     "txt_content_id": "SELECT doc_id, 'doc-' || substr(sha256(title || chr(0) || replace(text, chr(12), chr(0))), 1, 10) AS content_id FROM documents WHERE text IS NOT NULL AND title IS NOT NULL",
